@@ -54,7 +54,7 @@ INPUTS = {
         (
             "l_orderkey",
             "l_linenumber",
-            "cast(l_extendedprice * 100 AS bigint) AS cents",
+            "cast(floor(l_extendedprice) AS bigint) * 100 AS price",
             "CASE l_linenumber % 7 WHEN 0 THEN 0 WHEN 1 THEN l_partkey "
             "WHEN 2 THEN cast(l_quantity AS bigint) * 1024 "
             "WHEN 3 THEN cast(l_quantity AS bigint) * 1048576 + l_partkey "

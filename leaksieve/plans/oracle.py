@@ -296,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
     )
     out["redact"] = f"SELECT c_custkey, {redact_sql('value')} AS redacted FROM ({derive_sql('names')})"
     out["format_bytes"] = (
-        f"SELECT l_orderkey, l_linenumber, {bytes_sql('size_bytes')} AS shown, {bytes_sql('cents')} AS cents_shown "
+        f"SELECT l_orderkey, l_linenumber, {bytes_sql('size_bytes')} AS shown, {bytes_sql('price')} AS price_shown "
         f"FROM ({derive_sql('sizes')})"
     )
     out["rule_label"] = (
@@ -437,6 +437,12 @@ def oracle_sql() -> dict[str, str]:
         "SELECT doc_id, score, risk_level, total_findings FROM levelled ORDER BY score DESC, doc_id LIMIT 50"
     )
 
+    # files: each document ends with a line break of its own
+    out["file_scan"] = (
+        "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS characters, "
+        f"CAST(sum(len({matches_sql('email')})) AS BIGINT) AS emails FROM documents GROUP BY source"
+    )
+
     # decoding
     latin = r"regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g')"
     decoded = f"CASE WHEN doc_id % 3 = 2 THEN {latin} ELSE text END"

@@ -52,7 +52,6 @@ from ..sources import (
     report_violations,
     request_violations,
     shared_folder,
-    spread,
 )
 from ..streaming import read_stream, start_scan
 from .corpus import TABLES, keys_of, texts
@@ -180,7 +179,7 @@ def human_sizes(spark, sf_dir):
         "l_orderkey",
         "l_linenumber",
         format_bytes(F.col("size_bytes")).alias("shown"),
-        format_bytes(F.col("cents")).alias("cents_shown"),
+        format_bytes(F.col("price")).alias("price_shown"),
     )
 
 
@@ -382,17 +381,20 @@ def binary_decode(spark, sf_dir):
 
 
 def file_scan(spark, sf_dir):
-    """Texts written out as files, listed, gated, decoded and reported.
+    """Documents written out as text files per source, listed, gated, decoded and scanned.
 
-    Spark writes the files itself, one or more per source, under the shared folder.
+    A file holds many documents, one after the other, but stays below the size cap.
     """
     folder = shared_folder(spark, "files")
-    texts(spark, sf_dir, "documents").select("source", "text").write.partitionBy("source").text(folder)
-    files = extract_text(read_files(spark, f"{folder}/*/*.txt"))
-    passed = spread(files.where(F.col("status") == "ok"), None)
-    reports = report(passed, size_bytes="size_bytes").select("filename", "score", "risk_level")
-    shown = quarantine(files).select("filename", F.lit(None).cast("int").alias("score"), "detail")
-    return reports.unionByName(shown, allowMissingColumns=True)
+    documents = texts(spark, sf_dir, "documents").select("source", "text")
+    documents.write.partitionBy("source").option("maxRecordsPerFile", 100).text(folder)
+    files = extract_text(read_files(spark, folder)).where(F.col("status") == "ok")
+    source = F.regexp_extract("path", "/source=([^/]+)/", 1)
+    scanned = scan(files.select(source.alias("source"), "text"), rules=only_rules("email"))
+    emails = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
+    return scanned.groupBy("source").agg(
+        F.sum("total_characters").alias("characters"), F.sum(emails).alias("emails")
+    )
 
 
 def file_gates(spark, sf_dir):

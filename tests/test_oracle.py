@@ -21,7 +21,7 @@ def duck():
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"file_scan", "file_gates"}
+    assert set(QUERIES) - set(ORACLE) == {"file_gates"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
