@@ -8,6 +8,7 @@ pattern then finds the same matches on every JDK.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from . import fixed_values as fv
@@ -39,6 +40,11 @@ class Profile:
         """The Java pattern that finds what ``pattern`` means under this profile."""
         if pattern.startswith("(?i)"):
             pattern, ignore_case = pattern[4:], True
+        # a leading boundary is costly to test at every character, so the character
+        # that must follow it (unless it is optional) is tested first
+        first = re.match(r"\\b(\[(?:[^\]\\]|\\.)+\]|\w)(?![?*]|\{0|\{,)", pattern)
+        if first:
+            pattern = f"(?={first[1]}){pattern}"
         boundary = f"(?:(?<!{self.word})(?={self.word})|(?<={self.word})(?!{self.word}))"
         body = pattern.replace(r"\b", boundary).replace(r"\d", self.digit).replace(r"\s", self.space)
         return (self.ignore_case if ignore_case else "") + body

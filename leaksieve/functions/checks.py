@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..dialect import BACKEND, Profile, resolve
+from .constants import constant
 
 # Every non-ASCII decimal digit and its ASCII value, from the Unicode database.
 _WIDE_DIGITS = "".join(
@@ -48,8 +49,8 @@ def luhn_valid(value: Column, profile: Profile | str = BACKEND) -> Column:
 
 def verhoeff_valid(value: Column, profile: Profile | str = BACKEND) -> Column:
     """True for exactly 12 digits (separators ignored) with a zero Verhoeff checksum."""
-    mult = F.lit([int(x) for x in "".join(fv.VERHOEFF_D)])
-    perm = F.lit([int(x) for x in "".join(fv.VERHOEFF_P)])
+    mult = constant([int(x) for x in "".join(fv.VERHOEFF_D)], "array<int>")
+    perm = constant([int(x) for x in "".join(fv.VERHOEFF_P)], "array<int>")
 
     def holds(digits: Column) -> Column:
         def fold(check: Column, position: Column) -> Column:

@@ -3,30 +3,24 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..dialect import BACKEND, Profile, resolve
-
-
-def lookup(table: dict, key: Column) -> Column:
-    """``table[key]`` from a literal map; null for a key it does not hold."""
-    entries = F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
-    return F.try_element_at(entries, key)
+from .constants import lookup
 
 
 def severity_weight(key: Column, weights: dict | None = None, default: int = fv.DEFAULT_WEIGHT) -> Column:
     """Base points of a rule key."""
-    return F.coalesce(lookup(weights or fv.WEIGHTS, key), F.lit(default))
+    return F.coalesce(lookup(weights or fv.WEIGHTS, key, "int"), F.lit(default))
 
 
 def confidence_factor(confidence: Column) -> Column:
     """Factor of a confidence; an unknown or absent one counts as MEDIUM."""
-    factors = {k: Decimal(v) for k, v in fv.CONFIDENCE_FACTORS.items()}
-    return F.coalesce(lookup(factors, confidence), F.lit(Decimal(fv.DEFAULT_FACTOR)))
+    factor = lookup(fv.CONFIDENCE_FACTORS, confidence, "decimal(2,1)")
+    return F.coalesce(factor, F.lit(Decimal(fv.DEFAULT_FACTOR)))
 
 
 def volume_multiplier(count: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..dialect import BACKEND, Profile, resolve
-from ..functions.scoring import lookup
+from ..functions.constants import constant, lookup
 from ..rules import RULES, Rule, weights_of
 
 
@@ -26,15 +26,15 @@ def recommendations(
         F.transform(
             findings,
             lambda f, position: F.struct(
-                (-F.coalesce(lookup(weights, f["key"]), F.lit(0))).alias("neg_weight"),
+                (-F.coalesce(lookup(weights, f["key"], "int"), F.lit(0))).alias("neg_weight"),
                 position.alias("position"),
                 f["key"].alias("key"),
             ),
         )
     )
     keys = F.array_distinct(F.transform(ordered, lambda f: f["key"]))
-    texts = F.filter(F.transform(keys, lambda k: lookup(profile.advice, k)), F.isnotnull)
-    always = F.array(*[F.lit(t) for t in profile.advice_always])
+    texts = F.filter(F.transform(keys, lambda k: lookup(profile.advice, k, "string")), F.isnotnull)
+    always = constant(list(profile.advice_always), "array<string>")
     return F.when(F.size(findings) > 0, F.concat(texts, always)).otherwise(
         F.array().cast("array<string>")
     )

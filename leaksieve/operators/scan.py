@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..dialect import BACKEND, Profile, resolve
+from ..functions.constants import constant
 from ..functions.strings import redact, text_length
 from ..rules import RULES, Rule
 
@@ -39,8 +40,9 @@ def _findings(text: Column, rules: Sequence[Rule], profile: Profile) -> Column:
             for r in rules
         ]
     )
-    about = F.array(
-        *[F.struct(*[F.lit(getattr(r, name)).alias(name) for name in _ABOUT]) for r in rules]
+    fields = ", ".join(f"{name}: string" for name in _ABOUT)
+    about = constant(
+        [{name: getattr(r, name) for name in _ABOUT} for r in rules], f"array<struct<{fields}>>"
     )
     # one lambda for all rules: each match list is bound once, counted and sampled
     counted = F.transform(
@@ -69,7 +71,7 @@ def _rank(idx: Column, rules: Sequence[Rule], profile: Profile) -> Column:
     if not profile.order_by_confidence:
         return F.lit(0)
     ranks = [_CONFIDENCE_RANK.get(r.confidence, len(_CONFIDENCE_RANK)) for r in rules]
-    return F.get(F.lit(ranks), idx)
+    return F.get(constant(ranks, "array<int>"), idx)
 
 
 def scan(

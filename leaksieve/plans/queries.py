@@ -368,7 +368,7 @@ def binary_decode(spark, sf_dir):
     text = F.col("text")
     latin1 = F.encode(F.regexp_replace(text, "[^\\x00-\\xff]", "?"), "ISO-8859-1")
     content = (
-        F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("﻿"), text), "UTF-8"))
+        F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8"))
         .when(F.col("doc_id") % 3 == 1, F.encode(text, "UTF-8"))
         .otherwise(latin1)
     )
