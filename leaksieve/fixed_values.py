@@ -43,9 +43,6 @@ PATTERNS = {
 # The rules whose pattern the browser profile reads case-insensitively.
 BROWSER_IGNORE_CASE = ("db_conn",)
 
-# The prefixes named in the aws_access pattern.
-AWS_ID_PREFIXES = ("AKIA", "ASIA", "AGPA", "AIDA", "AROA", "AIPA", "ANPA", "ANVA", "ASCA")
-
 # Severity weights, and the weight of a key without one.
 WEIGHTS = {
     "aadhaar": 35,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +13,8 @@ from .. import fixed_values as fv
 from ..dialect import BACKEND, Profile, resolve
 from ..functions.constants import constant
 from ..functions.strings import redact, text_length
-from ..rules import RULES, Rule
+from ..rules import RULES, Hint, Rule
 
-_HINT = "_hint_"
 _ABOUT = ("key", "label", "category", "severity", "confidence")
 _CONFIDENCE_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 
@@ -30,16 +31,19 @@ def matches(text: Column, rule: Rule, profile: Profile | str = BACKEND) -> Colum
     return found
 
 
-def _findings(text: Column, rules: Sequence[Rule], profile: Profile) -> Column:
+def _findings(
+    text: Column, rules: Sequence[Rule], profile: Profile, hinted: dict[Hint, Column]
+) -> Column:
     nothing = F.array().cast("array<string>")
-    per_rule = F.array(
-        *[
-            F.when(F.col(_HINT + r.hint.name), matches(text, r, profile)).otherwise(nothing)
-            if r.hint
-            else matches(text, r, profile)
-            for r in rules
-        ]
-    )
+
+    def found_by(rule: Rule) -> Column:
+        found = matches(text, rule, profile)
+        if not rule.hints:
+            return found
+        worthwhile = reduce(or_, [hinted[h] for h in rule.hints])
+        return F.when(worthwhile, found).otherwise(nothing)
+
+    per_rule = F.array(*[found_by(r) for r in rules])
     fields = ", ".join(f"{name}: string" for name in _ABOUT)
     about = constant(
         [{name: getattr(r, name) for name in _ABOUT} for r in rules], f"array<struct<{fields}>>"
@@ -96,19 +100,21 @@ def scan(
     if not rules:
         raise ValueError("scan needs at least one rule")
     keep = [c for c in df.columns if c != text] if keep is None else list(keep)
-    hints = {r.hint.name: r.hint for r in rules if r.hint}
-    body = F.coalesce(F.col(text), F.lit(""))
-    prepared = df.select(*keep, body.alias("_text")).select(
+    hints = list(dict.fromkeys(h for r in rules for h in r.hints))
+    text_, lower = F.col("_text"), F.col("_lower")
+    prepared = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    prepared = prepared.select(*keep, text_, F.lower(text_).alias("_lower")).select(
         *keep,
-        F.col("_text"),
-        text_length(F.col("_text"), profile).cast("int").alias("total_characters"),
-        *[h.holds(F.col("_text")).alias(_HINT + h.name) for h in hints.values()],
+        text_,
+        text_length(text_, profile).cast("int").alias("total_characters"),
+        *[h.holds(text_, lower).alias(f"_hint_{i}") for i, h in enumerate(hints)],
     )
+    hinted = {h: F.col(f"_hint_{i}") for i, h in enumerate(hints)}
     # explode(array(x)) is one row in, one row out. It stops the optimizer from
     # copying the patterns into later filters and projections, so that each
     # pattern runs once per document whatever is done with the findings.
     return prepared.select(
         *keep,
         "total_characters",
-        F.explode(F.array(_findings(F.col("_text"), rules, profile))).alias("findings"),
+        F.explode(F.array(_findings(text_, rules, profile, hinted))).alias("findings"),
     )

@@ -15,19 +15,30 @@ from .functions.checks import luhn_valid, pan_valid, verhoeff_valid
 
 @dataclass(frozen=True)
 class Hint:
-    """A cheap condition every match of a rule implies about the whole text.
+    """Something a text must contain for a rule to match: a word or a cheap pattern.
 
-    Documents that fail it skip the rule's pattern. Rules sharing a hint share
-    one evaluation per document.
+    A word in ``any_case`` is written in lower case.
     """
 
-    name: str
-    holds: Callable[[Column], Column]
+    contains: str
+    any_case: bool = False
+    is_pattern: bool = False
+
+    def holds(self, text: Column, lower_text: Column) -> Column:
+        if self.is_pattern:
+            return text.rlike(self.contains)
+        return F.contains(lower_text if self.any_case else text, F.lit(self.contains))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One detection rule. ``check`` is a Column function applied to each match."""
+    """One detection rule.
+
+    ``check`` is a Column function applied to each match. ``hints`` and ``starts``
+    only save work: every match must contain one of the hints (none given: any text
+    may match) and begin with a character of the class ``starts``. Texts without a
+    hint skip the pattern; a hint named by several rules is looked for once.
+    """
 
     key: str
     label: str
@@ -37,55 +48,56 @@ class Rule:
     pattern: str
     check: Callable[[Column, Profile], Column] | None = None
     weight: int = fv.DEFAULT_WEIGHT
-    hint: Hint | None = None
+    hints: tuple[Hint, ...] = ()
+    starts: str | None = None
     browser_ignore_case: bool = False
 
     def compiled(self, profile: Profile) -> str:
         ignore_case = self.browser_ignore_case and not profile.unicode
-        return profile.compile(self.pattern, ignore_case)
+        return profile.compile(self.pattern, ignore_case, self.starts)
 
 
-def _any_of(text: Column, words: Iterable[str]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+_DIGIT_RUN = (Hint(r"\p{Nd}{4}", is_pattern=True),)
 
 
-def _any_word(text: Column, words: Iterable[str]) -> Column:
-    """``_any_of`` for lower-case words in any case.
+def _words(*words: str) -> tuple[Hint, ...]:
+    return tuple(Hint(w) for w in words)
 
-    Lower-casing maps every character that a case-insensitive pattern takes for an
-    ASCII letter to that letter, but for two: the dotted and dotless i, which no
-    word here contains, and the long s, which counts as a hit by itself.
-    """
-    return _any_of(F.lower(text), words) | F.contains(text, F.lit("\u017f"))
 
+def _any_case(*words: str) -> tuple[Hint, ...]:
+    # Lower-casing maps every character that a case-insensitive pattern takes for an
+    # ASCII letter to that letter, but for two: the dotted and dotless i, which no
+    # word here contains, and the long s, which counts as a hint by itself.
+    return (*(Hint(w, any_case=True) for w in words), Hint("\u017f"))
 
-HAS_AT = Hint("at", lambda t: _any_of(t, ["@"]))
-HAS_DIGIT_RUN = Hint("digit_run", lambda t: t.rlike(r"\p{Nd}{4}"))
-HAS_KEY_WORD = Hint("key_word", lambda t: _any_word(t, ["key", "secret"]))
-HAS_SECRET_WORD = Hint("secret_word", lambda t: _any_word(t, ["secret"]))
-HAS_PASSWORD_WORD = Hint(
-    "password_word", lambda t: _any_word(t, ["passw", "pwd", "secret", "token", "key"])
-)
-HAS_AWS_PREFIX = Hint("aws_prefix", lambda t: _any_of(t, fv.AWS_ID_PREFIXES))
-HAS_JWT_PREFIX = Hint("jwt_prefix", lambda t: _any_of(t, ["eyJ"]))
-HAS_URI = Hint("uri", lambda t: _any_of(t, ["://"]))
 
 _HINTS = {
-    "email": HAS_AT,
-    "phone_in": HAS_DIGIT_RUN,
-    "pan": HAS_DIGIT_RUN,
-    "aadhaar": HAS_DIGIT_RUN,
-    "passport": HAS_DIGIT_RUN,
-    "credit_card": HAS_DIGIT_RUN,
-    "api_key": HAS_KEY_WORD,
-    "aws_access": HAS_AWS_PREFIX,
-    "aws_secret": HAS_SECRET_WORD,
-    "jwt": HAS_JWT_PREFIX,
-    "password": HAS_PASSWORD_WORD,
-    "db_conn": HAS_URI,
+    "email": _words("@"),
+    "phone_in": _DIGIT_RUN,
+    "pan": _DIGIT_RUN,
+    "aadhaar": _DIGIT_RUN,
+    "passport": _DIGIT_RUN,
+    "credit_card": _DIGIT_RUN,
+    "api_key": _any_case("key", "secret"),
+    "aws_access": (),  # its first letter is selective enough
+    "aws_secret": _any_case("secret"),
+    "jwt": _words("eyJ"),
+    "password": _any_case("passw", "pwd", "secret", "token", "key"),
+    "db_conn": _words("://"),
+}
+_STARTS = {
+    "email": r"[A-Za-z0-9._%+\-]",
+    "phone_in": "[+0-9]",
+    "pan": "[A-Z]",
+    "aadhaar": "[2-9]",
+    "passport": "[A-Z]",
+    "credit_card": "[3-6]",
+    "api_key": "[a]",
+    "aws_access": "[A]",
+    "aws_secret": "[a]",
+    "jwt": "[e]",
+    "password": "[pst]",
+    "db_conn": "[pmrosa]",
 }
 _CHECKS = {"pan": pan_valid, "aadhaar": verhoeff_valid, "credit_card": luhn_valid}
 
@@ -95,7 +107,8 @@ RULES: tuple[Rule, ...] = tuple(
         pattern=fv.PATTERNS[row[0]],
         check=_CHECKS.get(row[0]),
         weight=fv.WEIGHTS[row[0]],
-        hint=_HINTS[row[0]],
+        hints=_HINTS[row[0]],
+        starts=_STARTS[row[0]],
         browser_ignore_case=row[0] in fv.BROWSER_IGNORE_CASE,
     )
     for row in fv.RULE_ROWS
