@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..dialect import BACKEND, Profile, resolve
 from ..functions.constants import constant, lookup
 from ..rules import RULES, Rule, weights_of
+from .views import with_hits
 
 
 def recommendations(
@@ -50,6 +51,6 @@ def with_recommendations(
 
 def numbered_recommendations(advised: DataFrame, by: Iterable[str]) -> DataFrame:
     """One row per recommendation, numbered from 1."""
-    return advised.select(
-        *by, F.posexplode("recommendations").alias("_pos", "recommendation")
+    return with_hits(advised).select(
+        *by, F.posexplode_outer("recommendations").alias("_pos", "recommendation")
     ).select(*by, (F.col("_pos") + 1).alias("number"), "recommendation")

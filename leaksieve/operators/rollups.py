@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .views import with_hits
+
 
 def exposure_by(scanned: DataFrame, *by: str) -> DataFrame:
     """Documents hit and matches found, by finding fields and kept columns.
@@ -37,10 +39,10 @@ def exposure_by(scanned: DataFrame, *by: str) -> DataFrame:
         per_document = F.transform(
             groups, lambda g: F.struct(*[g[c].alias(c) for c in of_finding], total(g).alias("_n"))
         )
-        rows = scanned.select(*of_row, F.inline(per_document))
+        rows = with_hits(scanned).select(*of_row, F.inline_outer(per_document))
     else:
         total_all = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
-        rows = scanned.where(F.size("findings") > 0).select(*of_row, total_all.alias("_n"))
+        rows = with_hits(scanned).select(*of_row, total_all.alias("_n"))
     return rows.groupBy(*by).agg(
         F.count("*").alias("documents"), F.sum("_n").alias("matches")
     )

@@ -25,7 +25,8 @@ def matches(text: Column, rule: Rule, profile: Profile | str = BACKEND) -> Colum
     Raw values: use inside larger expressions, never as an output column.
     """
     profile = resolve(profile)
-    found = F.regexp_extract_all(text, F.lit(rule.compiled(profile)), F.lit(0))
+    pattern, group = rule.compiled(profile)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     if rule.check is not None:
         found = F.filter(found, lambda value: rule.check(value, profile))
     return found

@@ -24,6 +24,15 @@ def sample_table(scanned: DataFrame, by: Sequence[str]) -> DataFrame:
     ).select(*by, "key", (F.col("_pos") + 1).alias("number"), "sample")
 
 
+def with_hits(scanned: DataFrame) -> DataFrame:
+    """The documents in which something was found.
+
+    Use before an ``_outer`` generator over a computed array: the plain generators
+    make the optimizer compute that array twice, once to drop rows without entries.
+    """
+    return scanned.where(F.size("findings") > 0)
+
+
 def breakdown_table(scored: DataFrame, by: Sequence[str]) -> DataFrame:
     """One row per breakdown entry, greatest contribution first, with display label.
 
@@ -40,7 +49,7 @@ def breakdown_table(scored: DataFrame, by: Sequence[str]) -> DataFrame:
             ),
         )
     )
-    return scored.select(*by, F.posexplode(ranked).alias("_pos", "_b")).select(
+    return with_hits(scored).select(*by, F.posexplode_outer(ranked).alias("_pos", "_b")).select(
         *by,
         (F.col("_pos") + 1).alias("rank"),
         F.col("_b.key").alias("key"),

@@ -50,11 +50,14 @@ class Rule:
     weight: int = fv.DEFAULT_WEIGHT
     hints: tuple[Hint, ...] = ()
     starts: str | None = None
+    scan_pattern: str | None = None
     browser_ignore_case: bool = False
 
-    def compiled(self, profile: Profile) -> str:
+    def compiled(self, profile: Profile) -> tuple[str, int]:
+        """The Java pattern to scan with, and the group that holds the match."""
         ignore_case = self.browser_ignore_case and not profile.unicode
-        return profile.compile(self.pattern, ignore_case, self.starts)
+        pattern, group = (self.scan_pattern, 1) if self.scan_pattern else (self.pattern, 0)
+        return profile.compile(pattern, ignore_case, self.starts), group
 
 
 _DIGIT_RUN = (Hint(r"\p{Nd}{4}", is_pattern=True),)
@@ -95,10 +98,21 @@ _STARTS = {
     "api_key": "[a]",
     "aws_access": "[A]",
     "aws_secret": "[a]",
-    "jwt": "[e]",
+    "jwt": r"[A-Za-z0-9_\-]",
     "password": "[pst]",
     "db_conn": "[pmrosa]",
 }
+# Both patterns begin with a run of characters that either is followed by the right
+# sign (@ or a dot) or not, whichever of its characters a match would begin with. So
+# they are tried once per run, at the first place after the run's start or after the
+# previous match where they can begin, instead of at every such place: long runs of
+# encoded data cost one pass, not one pass per place.
+_LOCAL = r"[A-Za-z0-9._%+\-]"
+_PART = r"[A-Za-z0-9_\-]"
+_SCAN_PATTERNS = {
+    "email": rf"(?:\G|(?<!{_LOCAL}))(?>{_LOCAL}*?\b)({_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)",
+    "jwt": rf"(?:\G|(?<!{_PART}))(?>{_PART}*?(?=\beyJ))(eyJ{_PART}++\.{_PART}+\.{_PART}+\b)",
+}
 _CHECKS = {"pan": pan_valid, "aadhaar": verhoeff_valid, "credit_card": luhn_valid}
 
 RULES: tuple[Rule, ...] = tuple(
@@ -109,6 +123,7 @@ RULES: tuple[Rule, ...] = tuple(
         weight=fv.WEIGHTS[row[0]],
         hints=_HINTS[row[0]],
         starts=_STARTS[row[0]],
+        scan_pattern=_SCAN_PATTERNS.get(row[0]),
         browser_ignore_case=row[0] in fv.BROWSER_IGNORE_CASE,
     )
     for row in fv.RULE_ROWS

@@ -12,17 +12,27 @@ from .gates import gate
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def read_files(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
+def read_files(
+    spark: SparkSession, folder: str, streaming: bool = False, files_per_batch: int = 10000
+) -> DataFrame:
     """The files under a folder as ``filename, size_bytes, content, path``.
 
-    Spark leaves out empty files when it lists a folder, so the empty-file gate can
-    only act on tables that carry a size.
+    Files above the size cap are listed without their content, which is never
+    loaded. Spark leaves out empty files when it lists a folder, so the empty-file
+    gate can only act on tables that carry a size.
     """
     if streaming:
-        files = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
+        reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     else:
-        files = spark.read.format("binaryFile")
-    return files.option("recursiveFileLookup", True).load(folder).select(
+        reader = spark.read.format("binaryFile")
+    files = reader.option("recursiveFileLookup", True).load(folder)
+    # a condition on the length reaches the reader, which then skips the content
+    small = files.where(F.col("length") <= fv.MAX_BYTES)
+    large = files.where(F.col("length") > fv.MAX_BYTES).withColumn(
+        "content", F.lit(None).cast("binary")
+    )
+    return small.unionByName(large).select(
         F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.col("length").alias("size_bytes"),
         "content",

@@ -46,9 +46,7 @@ def gate(
 ) -> DataFrame:
     """Add ``extension, status, http_code, detail``; a row that passes is ``ok`` with 200.
 
-    Reads the name and the size only. Filter on ``status`` before using the content
-    and the content of rejected files is never read. ``any_extension`` waives the
-    type gate.
+    Looks at the name and the size only. ``any_extension`` waives the type gate.
     """
     profile = resolve(profile)
     name = F.coalesce(F.col(filename), F.lit(""))

@@ -18,10 +18,16 @@ def read_stream(
     path: str,
     schema: StructType | str,
     format: str = "parquet",
+    files_per_batch: int = 1000,
     options: Mapping[str, object] | None = None,
 ) -> DataFrame:
-    """A stream of the files arriving under a folder. File streams need their schema."""
-    return spark.readStream.format(format).schema(schema).options(**(options or {})).load(path)
+    """A stream of the files arriving under a folder. File streams need their schema.
+
+    A backlog is worked off in batches of ``files_per_batch``, so a lost batch is a
+    bounded loss of work.
+    """
+    reader = spark.readStream.format(format).schema(schema)
+    return reader.options(maxFilesPerTrigger=files_per_batch, **(options or {})).load(path)
 
 
 def start_scan(

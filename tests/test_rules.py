@@ -1,6 +1,7 @@
 """Every rule against Python's own regex engine, and the hints against the rules."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def candidates(spark, rows, profile):
     """All matches before checks: rules stripped of check and, second, of hint too."""
     df = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
     return df.select(
-        "i", *[F.regexp_extract_all("text", F.lit(r.compiled(profile)), F.lit(0)).alias(r.key) for r in RULES]
+        "i", *[F.regexp_extract_all("text", *map(F.lit, r.compiled(profile))).alias(r.key) for r in RULES]
     ).orderBy("i").collect()
 
 
@@ -111,13 +112,45 @@ def test_browser_whitespace_and_case(spark):
 def test_hints_lose_nothing(spark, profile):
     """A rule with its hint finds what it finds without."""
     df = spark.createDataFrame(list(enumerate(texts(3000, 4) + [g[0] for g in GOLDEN])), "i int, text string")
-    bare = [Rule(**{**r.__dict__, "hints": (), "starts": None}) for r in RULES]
+    bare = [Rule(**{**r.__dict__, "hints": (), "starts": None, "scan_pattern": None}) for r in RULES]
     plain_run = scan(df, rules=bare, profile=profile).orderBy("i").collect()
     hinted = scan(df, profile=profile).orderBy("i").collect()
     assert hinted == plain_run
     assert sum(len(r.findings) for r in hinted) > 1000
 
 
+ODD = ["\u00e9", "\u00b2", "\u0301", " ", "/"]
+
+
+@pytest.mark.parametrize("profile", [BACKEND, BROWSER])
+@pytest.mark.parametrize("key, alphabet", [
+    ("email", ["a", "b1", "Z", "_", ".", "-", "%", "+", "@", "@", ".co", ".com", "x@y.zz"]),
+    ("jwt", ["eyJ", "eyJ", "eyJa", "a", "_", "-", ".", ".", "eyJ.", ".b-", "eyJa.b.c"]),
+])
+def test_scan_patterns_are_equivalent(spark, profile, key, alphabet):
+    rng = random.Random(9)
+    rows = ["".join(rng.choices(alphabet + ODD, k=rng.randint(1, 16))) for _ in range(30000)]
+    pattern = (plain.COMPILED if profile is BACKEND else plain.COMPILED_BROWSER)[key]
+    found = 0
+    for text, row in zip(rows, candidates(spark, rows, profile)):
+        want = [m.group(0) for m in pattern.finditer(text)]
+        assert row[key] == want, text
+        found += len(want)
+    assert found > 1000
+
+
+def test_long_runs_take_linear_time(spark):
+    """Texts on which a naive scan takes time with the square of their length."""
+    n = 400_000
+    hostile = ["a.b-" * n + " x@y.zz", "%20ab" * n + "@", "a@" * n, "x@" + "a.1-" * n, "." * n + "@", "api_key" + " " * n,
+               "password=" + "x" * n, "redis://" + "/" * n, "eyJ" + "a" * n, "-eyJ" * n, "eyJ." * n, "4111-" * n, "9" * n, "token " * n]
+    df = spark.createDataFrame(list(enumerate(hostile)), "i int, text string").repartition(len(hostile))
+    start = time.perf_counter()
+    rows = {r.i: [f.key for f in r.findings] for r in scan(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert rows[0] == ["email"] and rows[6] == ["password"] and rows[3] == []
+
+
 def test_extending_the_registry(spark):
     ticket = Rule("ticket", "Ticket \"no.\" 'x' \\", "PII", "low", "MEDIUM", r"\bTCK-\d{4}\b", weight=7,
                   check=lambda v, p: ~v.endswith("0"), hints=(Hint("TCK-"),))

@@ -81,6 +81,18 @@ def test_folder_of_files(spark, tmp_path):
     assert open_kind["d.exe"].text == "MZ a@b.cc" and open_kind["d.exe"].status == "ok"
 
 
+def test_content_above_the_cap_is_never_loaded(spark, tmp_path):
+    (tmp_path / "big.txt").write_bytes(b"x" * (CAP + 1))
+    (tmp_path / "ok.txt").write_bytes(b"a@b.cc")
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", CAP)  # loading more would fail
+    try:
+        rows = {r.filename: r for r in extract_text(read_files(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert (rows["big.txt"].http_code, rows["ok.txt"].http_code) == (413, 200)
+
+
 def test_text_extracted_elsewhere(spark):
     df = spark.createDataFrame([("a.pdf", 9, bytearray(b"%PDF"), "a@b.cc"), ("b.docx", 9, bytearray(b"PK"), None)],
                                "filename string, size_bytes bigint, content binary, extracted string")
