@@ -110,8 +110,8 @@ _STARTS = {
 _LOCAL = r"[A-Za-z0-9._%+\-]"
 _PART = r"[A-Za-z0-9_\-]"
 _SCAN_PATTERNS = {
-    "email": rf"(?:\G|(?<!{_LOCAL}))(?>{_LOCAL}*?\b)({_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)",
-    "jwt": rf"(?:\G|(?<!{_PART}))(?>{_PART}*?(?=\beyJ))(eyJ{_PART}++\.{_PART}+\.{_PART}+\b)",
+    "email": rf"(?:(?<!{_LOCAL})|\G)(?>{_LOCAL}*?\b)({_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)",
+    "jwt": rf"(?:(?<!{_PART})|\G)(?>{_PART}*?(?=\beyJ))(eyJ{_PART}++\.{_PART}+\.{_PART}+\b)",
 }
 _CHECKS = {"pan": pan_valid, "aadhaar": verhoeff_valid, "credit_card": luhn_valid}
 
