@@ -31,10 +31,14 @@ def volume_multiplier(count: Column) -> Column:
     return out.otherwise(F.lit(Decimal(fv.VOLUME_ABOVE)))
 
 
+def points(weight: Column, factor: Column, volume: Column) -> Column:
+    """Weight x confidence factor x volume multiplier, to the cent."""
+    return (weight * factor * volume).cast("decimal(10,2)")
+
+
 def contribution(key: Column, count: Column, confidence: Column, weights: dict | None = None) -> Column:
-    """Points one finding adds: weight x confidence factor x volume multiplier."""
-    points = severity_weight(key, weights) * confidence_factor(confidence) * volume_multiplier(count)
-    return points.cast("decimal(10,2)")
+    """Points one finding adds to the raw score."""
+    return points(severity_weight(key, weights), confidence_factor(confidence), volume_multiplier(count))
 
 
 def cooccurrence_bonus(types: Column, profile: Profile | str = BACKEND) -> Column:

@@ -13,6 +13,7 @@ from ..functions.scoring import (
     contribution,
     cooccurrence_bonus,
     final_score,
+    points,
     risk_level,
     severity_weight,
     volume_multiplier,
@@ -24,13 +25,15 @@ _ZERO = "0.00"
 
 def breakdown_entry(key: Column, count: Column, confidence: Column, weights: dict) -> Column:
     """How one finding's contribution comes about."""
+    weight, factor = severity_weight(key, weights), confidence_factor(confidence)
+    volume = volume_multiplier(count)
     return F.struct(
         count.cast("int").alias("count"),
         confidence.alias("confidence"),
-        severity_weight(key, weights).alias("severity_weight"),
-        confidence_factor(confidence).alias("confidence_factor"),
-        volume_multiplier(count).alias("volume_multiplier"),
-        contribution(key, count, confidence, weights).alias("contribution"),
+        weight.alias("severity_weight"),
+        factor.alias("confidence_factor"),
+        volume.alias("volume_multiplier"),
+        points(weight, factor, volume).alias("contribution"),
     )
 
 
@@ -84,11 +87,11 @@ def score_findings(
     profile, weights = resolve(profile), weights_of(rules)
     n = F.coalesce(F.col(count), F.lit(0))
     active = n != 0
-    points = F.when(active, contribution(F.col(key), n, F.col(confidence), weights))
+    added = F.when(active, contribution(F.col(key), n, F.col(confidence), weights))
     return (
         findings.groupBy(*by)
         .agg(
-            F.coalesce(F.sum(points), F.lit(_ZERO)).cast("decimal(18,2)").alias("raw_score"),
+            F.coalesce(F.sum(added), F.lit(_ZERO)).cast("decimal(18,2)").alias("raw_score"),
             F.count_if(active).cast("int").alias("active_types"),
             F.sum(n).alias("total_findings"),
         )
