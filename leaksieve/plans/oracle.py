@@ -268,6 +268,15 @@ def oracle_sql() -> dict[str, str]:
     out["secrets_only"] = scan_ctes("derived", keys=("api_key", "aws_access", "aws_secret", "jwt", "password", "db_conn")) + (
         "SELECT doc_id, total_findings, types, score, risk_level FROM levelled"
     )
+    token_points = f"CAST(50 * 0.4 * {volume_sql('tokens')} AS DECIMAL(10,2))"
+    email_points = f"CAST(10 * 0.7 * {volume_sql('emails')} AS DECIMAL(10,2))"
+    out["custom_rule"] = f"""
+      WITH n AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\btoken\\b')) AS INTEGER) AS tokens,
+          CAST(len({matches_sql('email')}) AS INTEGER) AS emails FROM documents),
+      s AS (SELECT *, {final_sql(token_points + ' + ' + email_points,
+          'CASE WHEN tokens > 0 AND emails > 0 THEN 5 ELSE 0 END')} AS score FROM n)
+      SELECT doc_id, score, 'token_word' AS key, tokens AS count FROM s WHERE tokens > 0
+      UNION ALL SELECT doc_id, score, 'email', emails FROM s WHERE emails > 0"""
     catalog = ", ".join(
         f"({i}, {', '.join(q(v) for v in r)}, {fv.WEIGHTS[r[0]]}, {r[0] in ('pan', 'aadhaar', 'credit_card')})"
         for i, r in enumerate(fv.RULE_ROWS)
@@ -449,4 +458,9 @@ def oracle_sql() -> dict[str, str]:
     out["binary_decode"] = (
         f"SELECT doc_id, md5({decoded}) AS text_md5, CAST(length({decoded}) AS INTEGER) AS chars FROM documents"
     )
+    replaced = r"regexp_replace(text, '[\x{80}-\x{ff}]', chr(65533), 'g')"
+    decoded = f"CASE WHEN doc_id % 3 = 2 THEN {replaced} ELSE text END"
+    out["binary_decode_browser"] = (
+        f"SELECT doc_id, md5({decoded}) AS text_md5, CAST(length({decoded}) AS INTEGER) AS chars FROM documents"
+    )
     return out

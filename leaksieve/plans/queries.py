@@ -41,7 +41,7 @@ from ..operators import (
     with_recommendations,
     with_risk,
 )
-from ..rules import coverage, only_rules, rule_catalog, rule_keys
+from ..rules import Hint, Rule, coverage, only_rules, rule_catalog, rule_keys, with_rules
 from ..sources import (
     as_json,
     decode_text,
@@ -139,6 +139,16 @@ def secrets_only(spark, sf_dir):
     )
 
 
+def custom_rule(spark, sf_dir):
+    rule = Rule(
+        "token_word", "The word token", "Secrets", "low", "LOW", r"(?i)\btoken\b",
+        weight=50, hints=(Hint("token", any_case=True),),
+    )
+    rules = only_rules("token_word", "email", base=with_rules(rule))
+    scored = with_risk(_scanned(spark, sf_dir, "documents", rules=rules), rules)
+    return findings_table(scored, ["doc_id", "score"]).select("doc_id", "score", "key", "count")
+
+
 def rule_catalog_usage(spark, sf_dir):
     # the catalog has one row per rule and the roll-up at most as many
     hits = exposure_by(_scanned(spark, sf_dir, "derived"), "key")
@@ -363,21 +373,25 @@ def _top(corpus: str, k: int) -> Query:
     )
 
 
-def binary_decode(spark, sf_dir):
+def _binary_decode(profile: str) -> Query:
     """Texts as bytes in three encodings (marked UTF-8, UTF-8, Latin-1), decoded again."""
-    text = F.col("text")
-    latin1 = F.encode(F.regexp_replace(text, "[^\\x00-\\xff]", "?"), "ISO-8859-1")
-    content = (
-        F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8"))
-        .when(F.col("doc_id") % 3 == 1, F.encode(text, "UTF-8"))
-        .otherwise(latin1)
-    )
-    decoded = texts(spark, sf_dir, "documents").select(
-        "doc_id", decode_text(content).alias("decoded")
-    )
-    return decoded.select(
-        "doc_id", F.md5("decoded").alias("text_md5"), F.length("decoded").alias("chars")
-    )
+
+    def query(spark, sf_dir):
+        text = F.col("text")
+        latin1 = F.encode(F.regexp_replace(text, "[^\\x00-\\xff]", "?"), "ISO-8859-1")
+        content = (
+            F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8"))
+            .when(F.col("doc_id") % 3 == 1, F.encode(text, "UTF-8"))
+            .otherwise(latin1)
+        )
+        decoded = texts(spark, sf_dir, "documents").select(
+            "doc_id", decode_text(content, profile).alias("decoded")
+        )
+        return decoded.select(
+            "doc_id", F.md5("decoded").alias("text_md5"), F.length("decoded").alias("chars")
+        )
+
+    return query
 
 
 def file_scan(spark, sf_dir):
@@ -432,6 +446,7 @@ def queries() -> dict[str, Query]:
         sensitive_flag=sensitive_flag,
         text_length_browser=text_length_browser,
         secrets_only=secrets_only,
+        custom_rule=custom_rule,
         rule_catalog=rule_catalog_usage,
         coverage=coverage_usage,
         luhn=luhn,
@@ -477,7 +492,8 @@ def queries() -> dict[str, Query]:
         docs_by_level_source=_levels("documents", "source"),
         top_k_risky=_top("documents", 20),
         top_k_risky_derived=_top("derived", 50),
-        binary_decode=binary_decode,
+        binary_decode=_binary_decode("backend"),
+        binary_decode_browser=_binary_decode("browser"),
         file_scan=file_scan,
         file_gates=file_gates,
         stream_scan=stream_scan,

@@ -24,6 +24,11 @@ def test_every_oracle_has_a_query():
     assert set(QUERIES) - set(ORACLE) == {"file_gates"}
 
 
+def test_entry(spark):
+    result = entry.entry(spark)
+    assert result.count() == 200 and result.columns[0] == "doc_id"
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF_DIR)
