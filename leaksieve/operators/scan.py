@@ -98,8 +98,8 @@ def scan(
     serves a table and a stream.
     """
     profile, rules = resolve(profile), tuple(rules)
-    if not rules:
-        raise ValueError("scan needs at least one rule")
+    if not rules or len({r.key for r in rules}) < len(rules):
+        raise ValueError("scan needs at least one rule, and rules with different keys")
     keep = [c for c in df.columns if c != text] if keep is None else list(keep)
     hints = list(dict.fromkeys(h for r in rules for h in r.hints))
     text_, lower = F.col("_text"), F.col("_lower")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import plain
 from leaksieve import (
-    assess, exposure_by, findings_table, flat_report, report, scan, scan_log, text_table, top_risky,
+    RULES, assess, exposure_by, findings_table, flat_report, report, scan, scan_log, text_table, top_risky,
     with_risk,
 )
 from leaksieve import fixed_values as fv
@@ -206,5 +206,7 @@ def test_spread(spark):
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         scan(documents(spark), rules=[])
+    with pytest.raises(ValueError):
+        scan(documents(spark), rules=[RULES[0], RULES[0]])
     with pytest.raises(ValueError):
         scan(documents(spark), profile="desktop")

@@ -1,6 +1,6 @@
 """A stream gives what the batch gives, also across a restart."""
 
-from leaksieve import assess, flat_report, read_stream, start_scan, text_table
+from leaksieve import assess, flat_report, read_stream, start_scan
 from leaksieve.plans.corpus import texts
 from leaksieve.sources import decode_text
 from leaksieve.sources.files import read_files
