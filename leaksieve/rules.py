@@ -91,7 +91,6 @@ _HINTS = {
     "db_conn": _words("://"),
 }
 _STARTS = {
-    "email": r"[A-Za-z0-9._%+\-]",
     "phone_in": "[+0-9]",
     "pan": "[A-Z]",
     "aadhaar": "[2-9]",
@@ -100,7 +99,6 @@ _STARTS = {
     "api_key": "[a]",
     "aws_access": "[A]",
     "aws_secret": "[a]",
-    "jwt": r"[A-Za-z0-9_\-]",
     "password": "[pst]",
     "db_conn": "[pmrosa]",
 }
@@ -109,11 +107,11 @@ _STARTS = {
 # they are tried once per run, at the first place after the run's start or after the
 # previous match where they can begin, instead of at every such place: long runs of
 # encoded data cost one pass, not one pass per place.
-_LOCAL = r"[A-Za-z0-9._%+\-]"
-_PART = r"[A-Za-z0-9_\-]"
+_LOCAL = r"[\w.%+\-]"  # \w is ASCII in both profiles
+_PART = r"[\w\-]"
 _SCAN_PATTERNS = {
-    "email": rf"(?:(?<!{_LOCAL})|\G)(?>{_LOCAL}*?\b)({_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)",
-    "jwt": rf"(?:(?<!{_PART})|\G)(?>{_PART}*?(?=\beyJ))(eyJ{_PART}++\.{_PART}+\.{_PART}+\b)",
+    "email": rf"(?:(?<!{_LOCAL})|\G)(?={_LOCAL}++@)(?>{_LOCAL}*?\b)({_LOCAL}++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)",
+    "jwt": rf"(?:(?<!{_PART})|\G)(?={_PART}++\.)(?>{_PART}*?(?=eyJ)\b)(eyJ{_PART}++\.{_PART}+\.{_PART}+\b)",
 }
 _CHECKS = {"pan": pan_valid, "aadhaar": verhoeff_valid, "credit_card": luhn_valid}
 
@@ -124,7 +122,7 @@ RULES: tuple[Rule, ...] = tuple(
         check=_CHECKS.get(row[0]),
         weight=fv.WEIGHTS[row[0]],
         hints=_HINTS[row[0]],
-        starts=_STARTS[row[0]],
+        starts=_STARTS.get(row[0]),
         scan_pattern=_SCAN_PATTERNS.get(row[0]),
         browser_ignore_case=row[0] in fv.BROWSER_IGNORE_CASE,
     )
