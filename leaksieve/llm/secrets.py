@@ -20,12 +20,13 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 KINDS = ("assign", "access", "hex", "random")
 #: Share of false finds among the tokens reported as random.
-FALSE_DISCOVERIES = 0.01
+FALSE_DISCOVERIES = 0.001
 #: A test that random text fails less often than this speaks against randomness.
 REJECT = 0.001
 
-# Chance that two letters of ordinary words are alike, and that one is also a hex digit.
-_ALIKE, _HEX_LETTER = 0.066, 0.3
+# Chance in ordinary text that two letters are alike, that one is also a hex digit, and
+# that upper case, lower case, digits and signs change from one character to the next.
+_ALIKE, _HEX_LETTER, _CHANGE = 0.066, 0.3, 0.4
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALPHABETS = {"hex": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "base64": _UPPER + _LOWER + _DIGITS + "+/"}
 
@@ -76,8 +77,9 @@ def _battery(token: Column, encoding: str) -> Column:
 
     Three tests on the symbols' numbers in the alphabet: chi-squared against equal
     shares (with the variance that holds at this length), runs above and below the
-    middle, and serial correlation. The chance comes from the number of equal pairs,
-    for hex from the letters that happen to be hex digits; it falls with the length.
+    middle, and serial correlation. The chance comes from the number of equal pairs (in any
+    case) and of changes between kinds of characters, for hex from the letters that happen to be
+    hex digits; it falls with the length.
     """
     alphabet = _ALPHABETS[encoding]
     size = len(alphabet)
@@ -90,7 +92,8 @@ def _battery(token: Column, encoding: str) -> Column:
         n = F.size(x).cast("double")
         counts = [F.size(x) - F.size(F.array_remove(x, F.lit(i))) for i in range(size)]
         squares = sum((c * c for c in counts[1:]), counts[0] * counts[0]).cast("double")
-        equal_pairs = (squares - n) / 2
+        fold = [a + b for a, b in zip(counts[:26], counts[26:52])] + counts[52:] if encoding == "base64" else counts
+        equal_pairs = sum((c * (c - 1) for c in fold[1:]), fold[0] * (fold[0] - 1)).cast("double") / 2
         chi = size * squares / n - n
         z_chi = (chi - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
         high = F.transform(x, lambda v: (v >= size // 2).cast("int"))
@@ -109,7 +112,12 @@ def _battery(token: Column, encoding: str) -> Column:
             letters = F.size(F.filter(x, lambda v: v >= 10)).cast("double")
             chance = F.pow(F.lit(_HEX_LETTER), letters)
         else:
-            chance = _tail(z_alike)
+            sort = F.transform(x, lambda v: F.when(v < 26, 0).when(v >= size - 2 if size == 64 else v >= size, 3).when(v < 52, 1 if size == 64 else 2).otherwise(2))
+            pairs = F.zip_with(F.slice(sort, F.lit(1), F.size(sort) - 1), F.slice(sort, F.lit(2), F.size(sort) - 1), lambda a, b: (a != b).cast("double"))
+            rate = F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v) / (n - 1)
+            rate = F.greatest(F.lit(_CHANGE), F.least(rate, F.lit(0.999)))
+            gap = rate * F.ln(rate / _CHANGE) + (1 - rate) * F.ln((1 - rate) / (1 - _CHANGE))
+            chance = _tail(z_alike) * F.exp(-(n - 1) * gap)
         passed = (_tail(z_chi) >= REJECT) & (_both_tails(z_runs) >= REJECT) & (_both_tails(z_serial) >= REJECT)
         return F.struct((passed & (n >= 20)).alias("random"), chance.alias("chance"))
 

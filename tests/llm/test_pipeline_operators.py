@@ -176,7 +176,7 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     rng = random.Random(7)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     keys = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(60)]
-    plain = ["TheQuickBrownFoxJumpsOver2LazyDogs", "internationalization-of-applications-2024", "aaaaaaaaaaaaaaaaaaaaAAAAAAAAAA1111111111", "/usr/share/Documents/Projects2/README", "20240101123456789012345678901"]
+    plain = ["OrganizationServiceConfiguration2Factory", "internationalization-of-applications-2024", "aaaaaaaaaaaaaaaaaaaaAAAAAAAAAA1111111111", "/usr/share/Documents/Projects2/README", "20240101123456789012345678901"]
     df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + plain)], "doc_id long, text string")
     found = {i for i, r in by_id(secrets.secret_spans(df)).items() if any(s.kind == 3 for s in r.spans)}
     assert len(found & set(range(60))) >= 54
@@ -221,8 +221,8 @@ def test_languages(spark):
     kept_out = [r for r in rows if got[r[0]].held_out]
     assert 60 < len(kept_out) < 140
     assert sum(got[i].lang_pred == lang for i, _, lang in kept_out) >= 0.98 * len(kept_out)
-    mixed = table(spark, [(1, EN * 6 + FR * 3, None), (2, FR * 5, None), *ODD])
-    out = by_id(langid.identify(mixed.where("doc_id < 3 and text is not null"), model))
+    mixed = table(spark, [(1, EN * 6 + FR * 3, None), (2, FR * 5, None)])
+    out = by_id(langid.identify(mixed, model))
     assert [x.lang for x in out[1].languages] == ["en", "fr"] and 0.5 < out[1].score < 0.8
     assert [x.lang for x in out[2].languages] == ["fr"]
     odd = langid.identify(table(spark, ODD), model).collect()
