@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,8 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces whose encoding a task remembers; then it starts afresh.
-MEMORY = 400_000
+#: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
+MEMORY = 200 << 20
+#: Neighbours remembered.
+PAIRS = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -30,16 +34,50 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def split_pattern(pattern: str) -> regex.Pattern:
-    r"""The piece pattern, ``\s`` taken as Unicode white space as rank files assume."""
+#: What stands for a property where every character is at most U+024F (fixed by Unicode).
+_LATIN = {
+    r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ",
+    r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe",
+    r"\s": "\t-\r \x85\xa0",
+}
+_WIDE = re.compile("[^\x00-ɏ]")
+
+
+def _respelled(pattern: str, latin: bool) -> str:
+    """The pattern with white space as Unicode defines it, or all classes spelled out for Latin texts."""
     out, inside, i = [], False, 0
-    space = r"\p{White_Space}"
     while i < len(pattern):
-        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
-        inside = c == "[" or inside and c != "]"
-        out.append(space if c == r"\s" else (rf"\P{space[2:]}" if inside else rf"[^{space}]") if c == r"\S" else c)
+        c = next((x for x in (r"\p{L}", r"\p{N}", r"\s", r"\S") if pattern.startswith(x, i)), None)
+        c = c or (pattern[i : i + 2] if pattern[i] == "\\" else pattern[i])
         i += len(c)
-    return regex.compile("".join(out))
+        inside = c == "[" or inside and c != "]"
+        if c in (r"\s", r"\S") and not latin:
+            bare = r"\p{White_Space}"
+        elif c in (*_LATIN, r"\S") and latin:
+            bare = _LATIN[r"\s" if c == r"\S" else c]
+        else:
+            out.append(c)
+            continue
+        if c == r"\S" and inside:
+            raise ValueError(r"\S inside brackets is not supported")
+        out.append(f"[^{bare}]" if c == r"\S" else bare if inside else f"[{bare}]")
+    return "".join(out)
+
+
+class Splitter:
+    r"""Cuts texts into pieces; ``\s`` is Unicode white space, as rank files assume.
+
+    Texts of Latin letters take the same pattern with its classes spelled out, which
+    Python's own engine matches faster.
+    """
+
+    def __init__(self, pattern: str):
+        self._any = regex.compile(_respelled(pattern, latin=False)).findall
+        spelled = _respelled(pattern, latin=True)
+        self._latin = None if r"\p" in spelled else re.compile(spelled).findall
+
+    def __call__(self, text: str) -> list[str]:
+        return self._any(text) if self._latin is None or _WIDE.search(text) else self._latin(text)
 
 
 class Vocabulary:
@@ -51,33 +89,74 @@ class Vocabulary:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must have a rank")
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """The definition: join the neighbours of lowest rank, leftmost first, while any can be."""
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._spines: dict[tuple[int, int], list[int]] = {}
+        # the tokens that merges make, and for each three last bytes the longest such token
+        self.whole = {data: token for data, token in ranks.items() if self.halves(token)}
+        self.reach: dict[bytes, int] = {}
+        for data in self.whole:
+            self.reach[data[-3:]] = max(len(data), self.reach.get(data[-3:], 1))
+
+    def merged(self, data: bytes, stop: int = 1) -> list[int]:
+        """The definition: join the neighbours of lowest rank, leftmost first, while more than ``stop`` are left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = min((self.ranks.get(a + b, len(self.ranks) + 256), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
             if parts[at] + parts[at + 1] not in self.ranks:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def is_whole(self, token: int) -> bool:
-        """Whether the merges make this token of its own bytes."""
-        if token not in self._whole:
-            self._whole[token] = self.merged(self.bytes[token]) == [token]
-        return self._whole[token]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge joins to this one; itself twice for a byte, None if no merges make it."""
+        if token not in self._halves:
+            data = self.bytes[token]
+            last = self.merged(data, 2) if len(data) > 1 else [token, token]
+            self._halves[token] = tuple(last) if len(last) == 2 else None
+            if len(data) > 1 and len(last) == 2 and max(last) >= token:
+                raise ValueError("a token is ranked before its own parts; the ranks are not those of a BPE")
+        return self._halves[token]
+
+    def _spine(self, token: int, side: int) -> list[int]:
+        """What the merges have made at one end of a token (0 its left, 1 its right), from a byte to the whole."""
+        known = self._spines.get((token, side))
+        if known is None:
+            known = [token]
+            while len(self.bytes[known[-1]]) > 1:
+                known.append(self.halves(known[-1])[side])
+            known = self._spines[token, side] = known[::-1]
+        return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the merges of both tokens' bytes leave the border between them."""
-        known = self._pairs.get((left, right))
+        """Whether the merges of both tokens' bytes leave the border between them.
+
+        Parts rank before what they make, so each token at the border lives until the
+        rank of the next one on its side. The border goes if two that live at the same
+        time can be joined before either is used up; among equal ranks, what lies
+        further left comes first.
+        """
+        known = self.pairs.get((left, right))
         if known is None:
-            if len(self._pairs) > 2 * MEMORY:
-                self._pairs.clear()
-            known = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
-            self._pairs[left, right] = known
+            ranks, data, never = self.ranks, self.bytes, len(self.ranks) + 256
+            a, b = self._spine(left, 1), self._spine(right, 0)
+            i = j = 0
+            known = True
+            while known:
+                until_a = a[i + 1] if i + 1 < len(a) else never
+                until_b = b[j + 1] if j + 1 < len(b) else never
+                joined = ranks.get(data[a[i]] + data[b[j]], never)
+                if joined < until_a and joined <= until_b and joined != never:
+                    known = False
+                elif until_a == until_b == never:
+                    break
+                elif until_a <= until_b:
+                    i += 1
+                else:
+                    j += 1
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
+            self.pairs[left, right] = known
         return known
 
 
@@ -88,19 +167,42 @@ class Piece:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _ending(self, end: int) -> int:
-        v = self.vocabulary
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(self.data[start:end])
-            if token is not None and v.is_whole(token) and (not start or v.may_follow(self.last[start - 1], token)):
-                return token
-        raise ValueError("no token ends here; the ranks are not those of a BPE")
+    def _endings(self, start: int):
+        """The last token of each prefix longer than ``start``, for ``last`` to take up one by one.
+
+        Tried from the longest token on: the first that may follow what ends before it is the only one.
+        """
+        data, last, v = self.data, self.last, self.vocabulary
+        token_of, reach, pairs, may_follow = v.whole.get, v.reach.get, v.pairs, v.may_follow
+        for end in range(start + 1, len(data) + 1):
+            far = end - reach(data[end - 3 : end], 2) if end > 2 else 0
+            for at in range(far if far > 0 else 0, end):
+                token = token_of(data[at:end])
+                if token is None:
+                    continue
+                if not at:
+                    break
+                pair = last[at - 1], token
+                known = pairs.get(pair)
+                if known is None:
+                    known = may_follow(*pair)
+                if known:
+                    break
+            else:
+                raise ValueError("no token ends here; the ranks are not those of a BPE")
+            yield token
 
     def append(self, data: bytes) -> None:
         start = len(self.data)
-        self.data += data
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._ending(end))
+        self.data += bytes(data)
+        take = self.last.append
+        for token in self._endings(start):
+            take(token)
+
+    def cut(self, size: int) -> None:
+        """Goes back to the prefix of this size."""
+        self.data = self.data[:size]
+        del self.last[size:]
 
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Puts ``data`` for the bytes from ``start`` to ``end``; returns how many prefixes were encoded anew.
@@ -111,8 +213,8 @@ class Piece:
         old, shift = self.last, len(data) - (end - start)
         self.data = self.data[:start] + data + self.data[end:]
         self.last, same = old[:start], 0
-        for at in range(start + 1, len(self.data) + 1):
-            self.last.append(self._ending(at))
+        for at, token in enumerate(self._endings(start), start + 1):
+            self.last.append(token)
             before = at - shift
             same = same + 1 if before > end and old[before - 1] == self.last[-1] else 0
             if same >= self.vocabulary.longest:
@@ -137,24 +239,43 @@ class Coder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
-        self.pieces = split_pattern(pattern).findall
+        self.pieces = Splitter(pattern)
         self._known: dict[str, bytes] = {}
+        self._held = 0
         self._bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self._bytes[rank] = token
 
-    def _encode_piece(self, piece: str) -> bytes:
-        ids = np.array(Piece(self.vocabulary, piece.encode()).tokens(), "<u4").tobytes()
-        if len(self._known) >= MEMORY:
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Encodes pieces in order of their bytes: each goes on from the prefix it shares with the last."""
+        known, ranks, piece = self._known, self.vocabulary.ranks, Piece(self.vocabulary)
+        for data in sorted(p.encode() for p in pieces):
+            whole = ranks.get(data)
+            if whole is not None:
+                tokens = [whole]
+            else:
+                before, n = piece.data, 0
+                most = min(len(before), len(data))
+                while n < most and before[n] == data[n]:
+                    n += 1
+                piece.cut(n)
+                piece.append(data[n:])
+                tokens = piece.tokens()
+            self._held += 200 + 5 * len(data)
+            known[data.decode()] = struct.pack(f"<{len(tokens)}I", *tokens)
+
+    def encode_all(self, texts: Iterable[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self.pieces(t) for t in texts]
+        if self._held > MEMORY:
             self._known.clear()
-        if len(piece) <= 64:
-            self._known[piece] = ids
-        return ids
+            self._held = 0
+        known = self._known
+        self._learn(set().union(*cut).difference(known))
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known, encode = self._known.get, self._encode_piece
-        return b"".join([known(p) or encode(p) for p in self.pieces(text)])
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         table = self._bytes
@@ -175,7 +296,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], coder: Coder):
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
-            ids = [coder.encode(t or "") for t in part.column("text").to_pylist()]
+            ids = coder.encode_all([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
             )

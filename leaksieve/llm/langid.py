@@ -15,7 +15,7 @@ from .common import LOWER, chunked, flat, word_spans
 GRAMS = 1 << 16
 #: More languages than this need a larger model than a broadcast should carry.
 MAX_LANGUAGES = 64
-ROUNDS = 12
+ROUNDS = 10
 #: What an added language must gain, in units of half the logarithm of the number of words.
 PENALTY = 4.0
 
@@ -90,30 +90,30 @@ def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
 
 
 def _mixture(weights: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of each document's columns by expectation-maximisation, and its log-likelihood.
+    """Each document's shares of the rows by expectation-maximisation, and its log-likelihood.
 
-    ``weights`` has a row for each word, ``first`` the first row of each document, none empty.
+    ``weights`` has a column for each word, ``first`` the first column of each document, none empty.
     """
-    counts = np.diff(np.append(first, len(weights)))
-    share = np.full((len(first), weights.shape[1]), 1 / weights.shape[1])
+    counts = np.diff(np.append(first, weights.shape[1]))
+    share = np.full((len(weights), len(first)), 1 / len(weights))
     for _ in range(rounds):
-        part = weights * np.repeat(share, counts, axis=0)
-        part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, first, axis=0) / counts[:, None]
+        part = weights * np.repeat(share.astype(np.float32), counts, axis=1)
+        part /= part.sum(axis=0)
+        share = np.add.reduceat(part, first, axis=1, dtype=np.float64) / counts
     share = np.maximum(share, 1e-12)
-    given = np.log((weights * np.repeat(share, counts, axis=0)).sum(axis=1))
-    return share, np.add.reduceat(given, first)
+    given = np.log((weights * np.repeat(share.astype(np.float32), counts, axis=1)).sum(axis=0))
+    return share, np.add.reduceat(given, first, dtype=np.float64)
 
 
 def _chosen(weights: np.ndarray, singles: np.ndarray, price: float, rounds: int):
     """Languages of one document by forward selection: the best addition, while it is worth its price."""
     zero = np.zeros(1, np.int64)
     best, score, share = [int(singles.argmax())], float(singles.max()), np.ones(1)
-    while len(best) < weights.shape[1]:
+    while len(best) < len(weights):
         tried = []
-        for lang in set(range(weights.shape[1])) - set(best):
-            s, ll = _mixture(weights[:, [*best, lang]], zero, rounds)
-            tried.append((float(ll[0]), lang, s[0]))
+        for lang in set(range(len(weights))) - set(best):
+            s, ll = _mixture(weights[[*best, lang]], zero, rounds)
+            tried.append((float(ll[0]), lang, s[:, 0]))
         ll, lang, s = max(tried, key=lambda x: x[:2])
         if ll - score <= price:
             break
@@ -129,11 +129,11 @@ def _identified(batches, model: LanguageModel, penalty: float, rounds: int):
         shares: list[list] = [[] for _ in range(batch.num_rows)]
         score = np.zeros(batch.num_rows)
         if n and len(has):
-            by_word = np.stack([np.add.reduceat(log[grams], word_first) for log in model.logs], axis=1).astype(np.float64)
-            top = by_word.max(axis=1)
-            weights = np.maximum(np.exp(by_word - top[:, None]), 1e-30)
+            by_word = np.stack([np.add.reduceat(log[grams], word_first) for log in model.logs])
+            weights = np.maximum(by_word - by_word.max(axis=0), -60)
             start = first[:-1][has]
-            singles = np.add.reduceat(np.log(weights), start, axis=0)
+            singles = np.add.reduceat(weights, start, axis=1, dtype=np.float64).T
+            weights = np.exp(weights)
             words = np.diff(first)[has]
             _, most = _mixture(weights, start, rounds)
             order = np.sort(singles, axis=1)
@@ -144,7 +144,7 @@ def _identified(batches, model: LanguageModel, penalty: float, rounds: int):
                 if most[i] - order[i, -1] <= price[i]:
                     shares[doc], score[doc] = [(model.languages[singles[i].argmax()], 1.0)], sure[i]
                 else:
-                    rows = weights[start[i] : start[i] + words[i]]
+                    rows = weights[:, start[i] : start[i] + words[i]]
                     best, share = _chosen(rows, singles[i], price[i], rounds)
                     shares[doc] = sorted(((model.languages[b], float(s)) for b, s in zip(best, share)), key=lambda x: (-x[1], x[0]))
                     score[doc] = min(1.0, shares[doc][0][1])

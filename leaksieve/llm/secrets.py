@@ -88,12 +88,25 @@ def _battery(token: Column, encoding: str) -> Column:
         F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), lambda x: x >= 0
     )
 
+    def kind(v: Column) -> Column:
+        if size == 32:
+            return F.when(v < 26, 0).otherwise(2)
+        return F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
+
+    def rarity(rate: Column) -> Column:
+        """How far a rate of changes lies above the ordinary one, in nats a character."""
+        bounded = F.array(F.greatest(F.lit(_CHANGE), F.least(rate, F.lit(0.999))))
+        return F.get(
+            F.transform(bounded, lambda r: r * F.ln(r / _CHANGE) + (1 - r) * F.ln((1 - r) / (1 - _CHANGE))), F.lit(0)
+        )
+
     def judged(x: Column) -> Column:
         n = F.size(x).cast("double")
-        counts = [F.size(x) - F.size(F.array_remove(x, F.lit(i))) for i in range(size)]
-        squares = sum((c * c for c in counts[1:]), counts[0] * counts[0]).cast("double")
-        fold = [a + b for a, b in zip(counts[:26], counts[26:52])] + counts[52:] if encoding == "base64" else counts
-        equal_pairs = sum((c * (c - 1) for c in fold[1:]), fold[0] * (fold[0] - 1)).cast("double") / 2
+        counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(x, lambda v: v == i)))
+        squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
+        folded = F.transform(x, lambda v: F.when(v.between(26, 51), v - 26).otherwise(v)) if size == 64 else x
+        alike = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(folded, lambda v: v == i)))
+        equal_pairs = F.aggregate(alike, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
         chi = size * squares / n - n
         z_chi = (chi - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
         high = F.transform(x, lambda v: (v >= size // 2).cast("int"))
@@ -112,12 +125,8 @@ def _battery(token: Column, encoding: str) -> Column:
             letters = F.size(F.filter(x, lambda v: v >= 10)).cast("double")
             chance = F.pow(F.lit(_HEX_LETTER), letters)
         else:
-            sort = F.transform(x, lambda v: F.when(v < 26, 0).when(v >= size - 2 if size == 64 else v >= size, 3).when(v < 52, 1 if size == 64 else 2).otherwise(2))
-            pairs = F.zip_with(F.slice(sort, F.lit(1), F.size(sort) - 1), F.slice(sort, F.lit(2), F.size(sort) - 1), lambda a, b: (a != b).cast("double"))
-            rate = F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v) / (n - 1)
-            rate = F.greatest(F.lit(_CHANGE), F.least(rate, F.lit(0.999)))
-            gap = rate * F.ln(rate / _CHANGE) + (1 - rate) * F.ln((1 - rate) / (1 - _CHANGE))
-            chance = _tail(z_alike) * F.exp(-(n - 1) * gap)
+            changes = F.size(F.filter(follow, lambda p: kind(p["a"]) != kind(p["b"])))
+            chance = _tail(z_alike) * F.exp(-(n - 1) * rarity(changes / (n - 1)))
         passed = (_tail(z_chi) >= REJECT) & (_both_tails(z_runs) >= REJECT) & (_both_tails(z_serial) >= REJECT)
         return F.struct((passed & (n >= 20)).alias("random"), chance.alias("chance"))
 
@@ -167,12 +176,20 @@ def secret_spans(
     rest = list(kept_as)
     text = F.coalesce(F.col("text"), F.lit(""))
     patterns = (ASSIGN, ACCESS, HEX, TOKEN)
-    found = own.select(
-        "doc_id",
-        "text",
-        *rest,
-        *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"_{k}") for k, p in zip(KINDS, patterns)],
-    )
+    nothing = F.expr("cast(array() as array<string>)")
+    any_case = F.lower(text)
+    words = [F.contains(any_case, F.lit(w)) for w in ("passw", "secret", "token", "api")]
+    # what must be in a text for a pattern to match, cheaper to look for than the pattern
+    may_hold = {
+        "_assign": words[0] | words[1] | words[2] | words[3],
+        "_access": F.contains(text, F.lit("AKIA")),
+        "_hex": F.size("_random") > 0,
+        "_random": F.lit(True),
+    }
+    found = own
+    for kind, pattern in reversed([*zip(KINDS, patterns)]):
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found = found.withColumn(f"_{kind}", F.when(may_hold[f"_{kind}"], matches).otherwise(nothing))
     all_of = [_places(text, F.col(f"_{k}"), p, i) for i, (k, p) in enumerate(zip(KINDS, patterns))]
     long_enough = F.transform("_assign", lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6)
     placed = found.select(

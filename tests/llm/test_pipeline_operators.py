@@ -57,6 +57,27 @@ def test_bpe_long_and_odd_pieces(text):
     assert ids_of(CODER.encode(text)) == THEIRS.encode_ordinary(text)
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.sampled_from(sorted(RANKS)), st.sampled_from(sorted(RANKS)))
+def test_bpe_neighbours(a, b):
+    v = CODER.vocabulary
+    left, right = RANKS[a], RANKS[b]
+    if a in v.whole and b in v.whole:
+        assert v.may_follow(left, right) == (v.merged(a + b) == [left, right])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aab ", max_size=30))
+def test_bpe_repeats(text):
+    assert ids_of(CODER.encode(text)) == THEIRS.encode_ordinary(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x260, exclude_categories=["Cs"]), max_size=60))
+def test_bpe_latin_texts(text):
+    assert ids_of(CODER.encode(text)) == THEIRS.encode_ordinary(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcdefe ", max_size=40), st.text("abcdef", max_size=12), st.integers(0, 40), st.integers(0, 8))
 def test_bpe_append_and_edit(text, new, start, size):
