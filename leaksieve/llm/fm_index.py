@@ -104,6 +104,10 @@ class FMIndex:
             lo[on], hi[on] = self._before(symbol, lo[on]), self._before(symbol, hi[on])
         return lo, np.maximum(lo, hi)
 
+    def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of longer patterns: a symbol put before each."""
+        return self._before(symbols + 1, lo), self._before(symbols + 1, hi)
+
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """The start of the suffix in each row: steps back until a stored position."""
         rows, out, steps = rows.copy(), np.zeros(len(rows), np.int64), 0
