@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.llm import bpe, decontaminate, langid, secrets, simhash
-from leaksieve.llm.common import written
+from leaksieve.llm.common import ship, written
 
 #: Language identification and byte-level BPE are no SQL.
 ORACLE_SQL = None
@@ -73,6 +73,7 @@ STAGES = [
 
 
 def _given(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
 
 

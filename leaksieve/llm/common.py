@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_leaksieve_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="leaksieve-")) / "leaksieve.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._leaksieve_shipped = True
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the folder that ``spark.checkpoint.dir`` names; gone when the JVM ends.
 
