@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
-MEMORY = 200 << 20
+MEMORY = 96 << 20
 #: Neighbours remembered.
-PAIRS = 800_000
+PAIRS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -242,9 +242,6 @@ class Coder:
         self.pieces = Splitter(pattern)
         self._known: dict[str, bytes] = {}
         self._held = 0
-        self._bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self._bytes[rank] = token
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encodes pieces in order of their bytes: each goes on from the prefix it shares with the last."""
@@ -277,6 +274,15 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+
+class Decoder:
+    """Ids to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self._bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self._bytes[rank] = token
+
     def decode(self, ids: bytes) -> bytes:
         table = self._bytes
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
@@ -321,7 +327,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     )
 
 
-def _decoded(batches, coder: Coder):
+def _decoded(batches, coder: Decoder):
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
@@ -332,17 +338,17 @@ def _decoded(batches, coder: Coder):
             )
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The bytes that ids stand for: adds ``decoded`` to ``doc_id, ids``; null ids give no bytes."""
-    key, ranks = _shared(encoded.sparkSession, ranks_path, pattern)
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     return encoded.select("doc_id", "ids").mapInArrow(
-        lambda batches: _decoded(batches, _coder(key, ranks.value, pattern)), "doc_id long, ids binary, decoded binary"
+        lambda batches: _decoded(batches, Decoder(ranks.value)), "doc_id long, ids binary, decoded binary"
     )
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document the number of tokens and the digests of its ids and of what they decode to."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
+    both = decode(encode(docs, ranks_path, pattern), ranks_path)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

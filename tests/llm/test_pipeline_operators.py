@@ -49,7 +49,7 @@ def ids_of(data: bytes) -> list[int]:
 def test_bpe_any_text(text):
     ids = CODER.encode(text)
     assert ids_of(ids) == THEIRS.encode_ordinary(text)
-    assert CODER.decode(ids) == text.encode()
+    assert bpe.Decoder(RANKS).decode(ids) == text.encode()
 
 
 @pytest.mark.parametrize("text", ["a" * 3000, " " * 500, "ab" * 700, "\n" * 300 + "x", "\x1c\x85　 a", "don't they'Re", "0" * 400])
