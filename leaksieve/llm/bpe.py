@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
-MEMORY = 96 << 20
+MEMORY = 64 << 20
 #: Neighbours remembered.
-PAIRS = 300_000
+PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -346,10 +346,22 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     )
 
 
+def _round_trip(batches, coder: Coder, decoder: Decoder):
+    return _decoded(_encoded(batches, coder), decoder)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` in one step, so that a task needs one Python worker: ``doc_id, ids, decoded``."""
+    key, ranks = _shared(docs.sparkSession, ranks_path, pattern)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
+        lambda batches: _round_trip(batches, _coder(key, ranks.value, pattern), Decoder(ranks.value)),
+        "doc_id long, ids binary, decoded binary",
+    )
+
+
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document the number of tokens and the digests of its ids and of what they decode to."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path)
-    return both.select(
+    return round_trip(docs, ranks_path, pattern).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

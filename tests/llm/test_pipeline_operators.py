@@ -104,6 +104,8 @@ def test_bpe_odd_rows(spark):
     want = sorted((str(i), len(THEIRS.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, _ in ODD)
     assert sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in got) == want
     assert bpe.token_digests(table(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
+    both = bpe.decode(bpe.encode(table(spark, ODD), PATH, public_tokenizers.PATTERN), PATH)
+    assert sorted(bytes(r.decoded) for r in both.collect()) == sorted((t or "").encode() for _, t, _ in ODD)
 
 
 # --- benchmark decontamination
