@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
-MEMORY = 64 << 20
+MEMORY = 32 << 20
 #: Neighbours remembered.
-PAIRS = 200_000
+PAIRS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

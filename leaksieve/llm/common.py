@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a task; longer documents make a chunk of their own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 #: Bytes that end a word where words are `[^\x20\x09-\x0D]+`.
 NOT_SPACE = np.ones(256, bool)

@@ -138,7 +138,7 @@ def benchmark_hits(
     A phrase is ``window`` consecutive words of an item, or all words of a shorter one.
     ``spans`` are the merged runs of words inside any occurrence, as word numbers, end
     exclusive; ``items`` the ids of the items found, in order. Documents are cut into
-    shards of about 2 MB; each shard's FM-index is searched for all phrases at once, and
+    shards of about 1 MB; each shard's FM-index is searched for all phrases at once, and
     occurrences are located by sampled suffix positions. Items go out in blocks of
     ``block_bytes``, so what a task holds is bounded; a second block costs a second pass
     and a merge by document.
