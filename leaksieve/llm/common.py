@@ -40,17 +40,21 @@ def ship(spark: SparkSession) -> None:
     context._leaksieve_shipped = True
 
 
+@lru_cache(maxsize=1)
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="leaksieve-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the folder that ``spark.checkpoint.dir`` names; gone when the JVM ends.
 
-    Where that is unset (local tests) a temporary folder is set for the session.
+    Where that is unset (local tests) a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="leaksieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
