@@ -39,15 +39,42 @@ class Profile:
         """The Java pattern that finds what ``pattern`` means under this profile.
 
         ``starts`` is a character class every match begins with. Tested first, it
-        spares most characters the costlier look at their neighbours.
+        spares most characters the costlier look at their neighbours. ``\\w`` and ``\\W``
+        are ASCII in both profiles.
         """
         if pattern.startswith("(?i)"):
             pattern, ignore_case = pattern[4:], True
         boundary = f"(?:(?={self.word})(?<!{self.word})|(?!{self.word})(?<={self.word}))"
         first = f"(?={starts})" if starts else ""
-        body = (first + pattern).replace(r"\b", boundary)
-        body = body.replace(r"\d", self.digit).replace(r"\s", self.space)
-        return (self.ignore_case if ignore_case else "") + body
+        inner = f"(?:(?={self.word})(?<={self.word})|(?!{self.word})(?<!{self.word}))"
+        outside = {"b": boundary, "B": inner, "d": self.digit, "D": f"(?!{self.digit})(?s:.)",
+                   "s": f"[{self.space}]", "S": f"[^{self.space}]"}
+        within = {"b": r"\x08", "d": self.digit, "s": self.space, "S": f"[^{self.space}]",
+                  "D": r"\P{Nd}" if self.unicode else "[^0-9]"}
+        body, in_class, at = [first], False, 0
+        while at < len(pattern):
+            char = pattern[at]
+            if char == "\\":
+                escape = pattern[at + 1 : at + 2]
+                if in_class and escape == "B":
+                    raise ValueError(r"\B has no meaning inside brackets")
+                body.append((within if in_class else outside).get(escape, char + escape))
+                at += 2
+                continue
+            if char == "[" and not in_class:
+                in_class = True
+                end = at + 1 + pattern.startswith("^", at + 1)
+                if pattern.startswith("]", end):  # a bracket that comes first stands for itself
+                    body.append(pattern[at:end] + r"\]")
+                    at = end + 1
+                    continue
+            elif char == "]":
+                in_class = False
+            elif in_class and char in "[&":
+                char = "\\" + char  # nested classes and intersections are Java's alone
+            body.append(char)
+            at += 1
+        return (self.ignore_case if ignore_case else "") + "".join(body)
 
 
 BACKEND = Profile(

@@ -63,8 +63,8 @@ def final_score(raw: Column, bonus: Column, profile: Profile | str = BACKEND) ->
 
 
 def risk_level(score: Column) -> Column:
-    """LOW, MEDIUM, HIGH or CRITICAL."""
-    out = F
+    """LOW, MEDIUM, HIGH or CRITICAL; null for a null score."""
+    out = F.when(score.isNull(), F.lit(None).cast("string"))
     for top, level in fv.LEVELS:
         out = out.when(score <= top, level)
     return out.otherwise(fv.LEVEL_ABOVE)

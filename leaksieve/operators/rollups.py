@@ -22,10 +22,13 @@ def exposure_by(scanned: DataFrame, *by: str) -> DataFrame:
     source and category, where a document counts once however many rules hit.
     """
     fields = ("key", "label", "category", "severity", "confidence")
+    clash = [c for c in by if c in fields and c in scanned.columns]
+    if clash:
+        raise ValueError(f"kept columns are named like finding fields, rename them first: {clash}")
     unknown = [c for c in by if c not in fields and c not in scanned.columns]
     if unknown:
         raise ValueError(f"no such column or finding field: {unknown}")
-    of_finding = [c for c in by if c in fields and c not in scanned.columns]
+    of_finding = [c for c in by if c in fields]
     of_row = [c for c in by if c not in of_finding]
     # totals within the document first, on the array: one entry per distinct group
     groups = F.transform("findings", lambda f: F.struct(*[f[c].alias(c) for c in of_finding]))

@@ -446,9 +446,9 @@ def oracle_sql() -> dict[str, str]:
         "SELECT doc_id, score, risk_level, total_findings FROM levelled ORDER BY score DESC, doc_id LIMIT 50"
     )
 
-    # files: each document ends with a line break of its own
+    # files
     out["file_scan"] = (
-        "SELECT source, CAST(sum(length(text) + 1) AS BIGINT) AS characters, "
+        "SELECT source, CAST(sum(length(text)) AS BIGINT) AS characters, "
         f"CAST(sum(len({matches_sql('email')})) AS BIGINT) AS emails FROM documents GROUP BY source"
     )
 

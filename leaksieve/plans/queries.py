@@ -48,7 +48,6 @@ from ..sources import (
     extract_text,
     gate,
     quarantine,
-    read_files,
     report_violations,
     request_violations,
     shared_folder,
@@ -395,27 +394,23 @@ def _binary_decode(profile: str) -> Query:
 
 
 def file_scan(spark, sf_dir):
-    """Documents written out as text files per source, listed, gated, decoded and scanned.
-
-    A file holds many documents, one after the other, but stays below the size cap.
-    """
-    folder = shared_folder(spark, "files")
-    documents = texts(spark, sf_dir, "documents").select("source", "text")
-    documents.write.partitionBy("source").option("maxRecordsPerFile", 100).text(folder)
-    files = extract_text(read_files(spark, folder)).where(F.col("status") == "ok")
-    source = F.regexp_extract("path", "/source=([^/]+)/", 1)
-    scanned = scan(files.select(source.alias("source"), "text"), rules=only_rules("email"))
-    emails = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
+    """Every document as a file of its own: gated, decoded and scanned with all rules, totals per source."""
+    documents = texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    files = documents.select(
+        "source",
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
+        F.octet_length("text").cast("bigint").alias("size_bytes"),
+        F.encode("text", "UTF-8").alias("content"),
+    )
+    read = extract_text(files).where(F.col("status") == "ok")
+    scanned = scan(read.select("source", "text"))
+    is_email = F.filter("findings", lambda f: f["key"] == "email")
+    emails = F.aggregate(is_email, F.lit(0), lambda n, f: n + f["count"])
     return scanned.groupBy("source").agg(
         F.sum("total_characters").alias("characters"), F.sum(emails).alias("emails")
     )
 
 
-def file_gates(spark, sf_dir):
-    """The given files themselves at the gate: names and sizes only, no content is read."""
-    return gate(read_files(spark, sf_dir).select("filename", "size_bytes"))
-
-
 def stream_scan(spark, sf_dir):
     """The document reports, produced by a stream that works off the table's files."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
@@ -495,7 +490,6 @@ def queries() -> dict[str, Query]:
         binary_decode=_binary_decode("backend"),
         binary_decode_browser=_binary_decode("browser"),
         file_scan=file_scan,
-        file_gates=file_gates,
         stream_scan=stream_scan,
     )
     return out

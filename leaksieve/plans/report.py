@@ -43,30 +43,31 @@ def report(
 
     ``size_bytes`` names the column with the size of the original file; without
     one, the UTF-8 length of the text stands in. Findings leave out the rule key in
-    the backend profile and keep it in the browser profile.
+    the backend profile and keep it in the browser profile. Where the input has a
+    ``status`` column, rows that are not ``ok`` come out with status ``error`` and null
+    results: what was not read is not reported as clean.
     """
     profile = resolve(profile)
+    gated = "status" in df.columns
+    status = F.when(F.col("status").eqNullSafe("ok"), "success").otherwise("error") if gated else F.lit("success")
     size = F.col(size_bytes) if size_bytes else F.octet_length(F.coalesce(F.col(text), F.lit("")))
     named = df.select(
         *keep,
         F.col(filename).alias("filename"),
         size.cast("bigint").alias("size_bytes"),
         F.col(text).alias("text"),
+        status.alias("_status"),
     )
-    done = assess(named, "text", [*keep, "filename", "size_bytes"], rules, profile)
+    done = assess(named, "text", [*keep, "filename", "size_bytes", "_status"], rules, profile)
     fields = ["category", "label", "count", "severity", "confidence", "samples"]
     if profile.keep_finding_key:
         fields.insert(0, "key")
     shown = F.transform("findings", lambda f: F.struct(*[f[c].alias(c) for c in fields]))
+    results = {c: F.col(c) for c in ("total_characters", *_SCORES)} | {"findings": shown} | {c: F.col(c) for c in _TAIL}
+    if gated:
+        results = {c: F.when(F.col("_status") == "success", x) for c, x in results.items()}
     return done.select(
-        *keep,
-        F.lit("success").alias("status"),
-        "filename",
-        "size_bytes",
-        "total_characters",
-        *_SCORES,
-        shown.alias("findings"),
-        *_TAIL,
+        *keep, F.col("_status").alias("status"), "filename", "size_bytes", *[x.alias(c) for c, x in results.items()]
     )
 
 

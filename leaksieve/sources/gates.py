@@ -10,14 +10,18 @@ from ..dialect import BACKEND, Profile, resolve
 from ..functions.strings import file_extension, format_bytes
 
 
-def _gates(name: Column, size: Column, profile: Profile, any_extension: bool) -> list[tuple[Column, int, Column]]:
+def _megabytes(size: int | None) -> str:
+    return f"{(size or 0) / 2**20:g} MB"
+
+
+def _gates(name: Column, size: Column, profile: Profile, any_extension: bool, max_bytes: int | None) -> list[tuple[Column, int, Column]]:
     """(fails, http code, detail) in the order that decides which error is reported."""
     ext = file_extension(name, profile)
     if profile.size_gate_first:
         allowed = ", ".join(fv.ALLOWED_EXTENSIONS_BROWSER)
         wrong_type = F.lit(f"Unsupported file type. Allowed: {allowed}")
         too_large = F.concat(
-            F.lit("File too large ("), format_bytes(size), F.lit("). Maximum is 10 MB.")
+            F.lit("File too large ("), format_bytes(size), F.lit(f"). Maximum is {_megabytes(max_bytes)}.")
         )
     else:
         allowed = str(list(fv.ALLOWED_EXTENSIONS))
@@ -27,13 +31,13 @@ def _gates(name: Column, size: Column, profile: Profile, any_extension: bool) ->
         too_large = F.concat(
             F.lit("File too large ("),
             F.format_number(size, 0),
-            F.lit(f" bytes). Maximum allowed size is {fv.MAX_BYTES:,} bytes (10 MB)."),
+            F.lit(f" bytes). Maximum allowed size is {max_bytes or 0:,} bytes ({_megabytes(max_bytes)})."),
         )
     by_type = (~ext.isin(*fv.ALLOWED_EXTENSIONS), 400, wrong_type)
-    by_size = (size > fv.MAX_BYTES, 413, too_large)
+    by_size = (size > max_bytes if max_bytes is not None else F.lit(False), 413, too_large)
     by_empty = (size == 0, 400, F.lit("Uploaded file is empty."))
     type_gate = [] if any_extension else [by_type]
-    by_content = [by_size, by_empty]
+    by_content = [(size.isNull(), 400, F.lit("File size is unknown.")), by_size, by_empty]
     return by_content + type_gate if profile.size_gate_first else type_gate + by_content
 
 
@@ -43,15 +47,17 @@ def gate(
     size_bytes: str = "size_bytes",
     profile: Profile | str = BACKEND,
     any_extension: bool = False,
+    max_bytes: int | None = fv.MAX_BYTES,
 ) -> DataFrame:
     """Add ``extension, status, http_code, detail``; a row that passes is ``ok`` with 200.
 
-    Looks at the name and the size only. ``any_extension`` waives the type gate.
+    Looks at the name and the size only; a null size is an error. ``any_extension``
+    waives the type gate, ``max_bytes=None`` the size cap.
     """
     profile = resolve(profile)
     name = F.coalesce(F.col(filename), F.lit(""))
     code, detail = F, F
-    for fails, http_code, text in _gates(name, F.col(size_bytes), profile, any_extension):
+    for fails, http_code, text in _gates(name, F.col(size_bytes), profile, any_extension, max_bytes):
         code, detail = code.when(fails, http_code), detail.when(fails, text)
     return df.withColumns(
         {

@@ -26,8 +26,16 @@ def write_reports(
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path every executor can reach.
 
-    Lies under the folder the session names in ``spark.checkpoint.dir``. Only where
-    that is unset, as in local tests, is a machine-local temporary folder used.
+    Lies under the folder the session names in ``spark.checkpoint.dir`` and is deleted
+    when the session's JVM ends. Only in local mode, where driver and executors are one,
+    may that be unset; a temporary folder is used then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leaksieve-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="leaksieve-")
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return folder

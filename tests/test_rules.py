@@ -165,3 +165,17 @@ def test_extending_the_registry(spark):
     assert len(replaced) == 12 and replaced[0].label == "E"
     with pytest.raises(ValueError):
         only_rules("nope")
+
+
+@pytest.mark.parametrize("pattern", [r"name:\s+\w+", r"name:\s*\w+", r"\D-\S", r"a\\d+", r"[\s\d]+x", r"[^\s]+", r"\Ba", r"[]a]+", r"[[&]+", r"x\S\Sy"])
+def test_custom_patterns_mean_what_python_means(spark, pattern):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from leaksieve.dialect import BACKEND
+
+    texts = ["name: bob", "name:\u00a0 x", "a-b 1-2", "a\\ddd \\d", " 12x", "banana a", "]a][&[", "x\n\u0663y xaby", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", F.regexp_extract_all("t", F.lit(BACKEND.compile(pattern)), F.lit(0)).alias("m")).collect()
+    assert {r.t: r.m for r in got} == {t: [m[0] for m in re.finditer(pattern, t)] for t in texts}

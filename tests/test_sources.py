@@ -87,7 +87,7 @@ def test_content_above_the_cap_is_never_loaded(spark, tmp_path):
     before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
     spark.conf.set("spark.sql.sources.binaryFile.maxLength", CAP)  # loading more would fail
     try:
-        rows = {r.filename: r for r in extract_text(read_files(spark, str(tmp_path))).collect()}
+        rows = {r.filename: r for r in extract_text(read_files(spark, str(tmp_path), max_bytes=CAP)).collect()}
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
     assert (rows["big.txt"].http_code, rows["ok.txt"].http_code) == (413, 200)
@@ -148,11 +148,43 @@ def test_text_table_formats(spark, tmp_path):
         assert sorted(map(tuple, table.collect())) == [(1, "a@b.cc"), (2, "x")]
 
 
-def session_with(folder):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default))
+def test_shared_folder_follows_the_session(spark, tmp_path):
+    def session_with(folder):
+        conf = SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default)
+        return SimpleNamespace(conf=conf, sparkContext=spark.sparkContext, _jvm=spark._jvm, _jsc=spark._jsc)
 
-
-def test_shared_folder_follows_the_session():
-    first, second = (shared_folder(session_with("/shared/place/"), "x") for _ in range(2))
-    assert first.startswith("/shared/place/x-") and first != second
+    first, second = (shared_folder(session_with(f"{tmp_path}/"), "x") for _ in range(2))
+    assert first.startswith(f"{tmp_path}/x-") and first != second
     assert "leaksieve-" in shared_folder(session_with(None), "x")
+
+
+def test_unread_files_are_not_reported_clean(spark, tmp_path):
+    secret = b"password=hunter2secret a@b.cc "
+    (tmp_path / "big.txt").write_bytes(secret + b"x" * 5000)
+    (tmp_path / "bad.exe").write_bytes(secret)
+    (tmp_path / "ok.txt").write_bytes(secret)
+    files = extract_text(read_files(spark, str(tmp_path), max_bytes=1000))
+    rows = {r.filename: r for r in report(files, size_bytes="size_bytes").collect()}
+    for name in ("big.txt", "bad.exe"):
+        assert (rows[name].status, rows[name].score, rows[name].risk_level, rows[name].findings) == ("error", None, None, None)
+    assert rows["ok.txt"].status == "success" and rows["ok.txt"].total_findings > 0
+    whole = {r.filename: r for r in report(extract_text(read_files(spark, str(tmp_path)))).collect()}
+    assert whole["big.txt"].total_findings == whole["ok.txt"].total_findings
+
+
+def test_unknown_size_is_an_error_and_no_score_has_no_level(spark):
+    from pyspark.sql import functions as F
+
+    from leaksieve.functions import risk_level
+
+    df = spark.createDataFrame([("a.txt", None)], "filename string, size_bytes bigint")
+    assert [(r.status, r.http_code) for r in gate(df).collect()] == [("error", 400)]
+    assert df.select(risk_level(F.col("size_bytes")).alias("l")).collect()[0].l is None
+
+
+def test_roll_up_refuses_columns_named_like_finding_fields(spark):
+    from leaksieve import exposure_by, scan
+
+    found = scan(spark.createDataFrame([("mine", "a@b.cc")], "category string, text string"))
+    with pytest.raises(ValueError):
+        exposure_by(found, "category")
