@@ -18,11 +18,13 @@ def recommendations(
 ) -> Column:
     """Advice texts, heaviest data type first, then the two general ones.
 
-    Ties keep the order of the findings, keys without a text are passed over and
+    A rule's own text goes before the profile's. Ties keep the order of the findings, keys without a text are passed over and
     a document without findings gets an empty list.
     """
-    profile = resolve(profile)
+    profile, rules = resolve(profile), tuple(rules)
     weights = weights_of(rules)
+    advice = {r.key: r.advice_in(profile) for r in rules}
+    advice = {**profile.advice, **{k: text for k, text in advice.items() if text}}
     ordered = F.array_sort(
         F.transform(
             findings,
@@ -34,7 +36,7 @@ def recommendations(
         )
     )
     keys = F.array_distinct(F.transform(ordered, lambda f: f["key"]))
-    texts = F.filter(F.transform(keys, lambda k: lookup(profile.advice, k, "string")), F.isnotnull)
+    texts = F.filter(F.transform(keys, lambda k: lookup(advice, k, "string")), F.isnotnull)
     always = constant(list(profile.advice_always), "array<string>")
     return F.when(F.size(findings) > 0, F.concat(texts, always)).otherwise(
         F.array().cast("array<string>")

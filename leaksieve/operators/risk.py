@@ -43,7 +43,8 @@ def with_risk(
     """Add ``total_findings, breakdown, raw_score, cooccurrence_bonus, score, risk_level``.
 
     Works on the ``findings`` array of each row, which holds at most one entry per
-    rule, so it needs no shuffle.
+    rule, so it needs no shuffle. The score does not go by way of the breakdown, which
+    is therefore only built where it is used.
     """
     profile, weights = resolve(profile), weights_of(rules)
     entries = F.transform(
@@ -54,12 +55,12 @@ def with_risk(
         ),
     )
     raw = F.aggregate(
-        F.map_values("breakdown"),
+        "findings",
         F.lit(_ZERO).cast("decimal(18,2)"),
-        lambda total, entry: (total + entry["contribution"]).cast("decimal(18,2)"),
+        lambda total, f: (total + contribution(f["key"], f["count"], f["confidence"], weights)).cast("decimal(18,2)"),
     )
     total = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
-    bonus = cooccurrence_bonus(F.size("breakdown"), profile)
+    bonus = cooccurrence_bonus(F.size("findings"), profile)
     return (
         scanned.withColumn("breakdown", F.map_from_entries(entries))
         .withColumns({"total_findings": total, "raw_score": raw, "cooccurrence_bonus": bonus})

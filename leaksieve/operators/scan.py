@@ -33,7 +33,7 @@ def matches(text: Column, rule: Rule, profile: Profile | str = BACKEND) -> Colum
 
 
 def _findings(
-    text: Column, rules: Sequence[Rule], profile: Profile, hinted: dict[Hint, Column]
+    text: Column, rules: Sequence[Rule], profile: Profile, hinted: dict[Hint, Column], samples: bool
 ) -> Column:
     nothing = F.array().cast("array<string>")
 
@@ -49,6 +49,10 @@ def _findings(
     about = constant(
         [{name: getattr(r, name) for name in _ABOUT} for r in rules], f"array<struct<{fields}>>"
     )
+    def shown(found: Column) -> list[Column]:
+        distinct = F.slice(F.array_distinct(found), 1, fv.MAX_SAMPLES)
+        return [F.transform(distinct, redact).alias("samples")] if samples else []
+
     # one lambda for all rules: each match list is bound once, counted and sampled
     counted = F.transform(
         per_rule,
@@ -57,7 +61,7 @@ def _findings(
             (-F.size(found)).alias("neg_count"),
             idx.alias("idx"),
             F.get(about, idx).alias("about"),
-            F.transform(F.slice(F.array_distinct(found), 1, fv.MAX_SAMPLES), redact).alias("samples"),
+            *shown(found),
         ),
     )
     hits = F.array_sort(F.filter(counted, lambda f: f["neg_count"] < 0))
@@ -66,7 +70,7 @@ def _findings(
         lambda f: F.struct(
             *[f["about"][name].alias(name) for name in _ABOUT],
             (-f["neg_count"]).alias("count"),
-            f["samples"].alias("samples"),
+            *([f["samples"].alias("samples")] if samples else []),
         ),
     )
 
@@ -85,12 +89,14 @@ def scan(
     keep: Sequence[str] | None = None,
     rules: Iterable[Rule] = RULES,
     profile: Profile | str = BACKEND,
+    samples: bool = True,
 ) -> DataFrame:
     """Add ``total_characters`` and ``findings`` to the ``keep`` columns of each row.
 
     ``findings`` holds one entry per rule that matched: ``key, label, category,
     severity, confidence, count, samples``. Every occurrence counts; samples are
-    the first three distinct values, redacted. Entries come by count, ties in
+    the first three distinct values, redacted (``samples=False`` leaves them out, for
+    roll-ups and scores that never show them). Entries come by count, ties in
     registry order (backend), or by confidence and then count (browser).
 
     ``keep`` defaults to every column but the text. A null text is scanned as an
@@ -117,5 +123,5 @@ def scan(
     return prepared.select(
         *keep,
         "total_characters",
-        F.explode(F.array(_findings(text_, rules, profile, hinted))).alias("findings"),
+        F.explode(F.array(_findings(text_, rules, profile, hinted, samples))).alias("findings"),
     )

@@ -39,6 +39,42 @@ DERIVED_TEXT = (
     + ", 'end')"
 )
 
+# Orders as texts: up to four different values of a kind in one document, parted by one
+# space, a dash or a comma. A document is one row, so no customer's texts meet in a group.
+ORDER_KEYS = (
+    "o_orderkey AS doc_id",
+    "o_orderkey AS k",
+    "o_custkey AS c",
+)
+
+
+def _padded(number: str, width: int) -> str:
+    return f"lpad(cast({number} AS varchar(20)), {width}, '0')"
+
+
+_ORDER_PIECES = (
+    (2, f"concat('a', {_padded('k', 6)}, '@mail.example.com b', {_padded('c', 6)}, '@mail.example.org,a', "
+        f"{_padded('k', 6)}, '@mail.example.com c', {_padded('k + c', 6)}, '@x.example d', {_padded('c', 6)}, '@y.example ')"),
+    (3, f"concat('+91-9', {_padded('k', 9)}, ' 91 8', {_padded('c', 9)}, ' 07', {_padded('k + c', 9)}, ' 6', "
+        f"{_padded('k + 7', 9)}, ' ')"),
+    (5, f"concat(cast(2000 + k % 8000 AS varchar(20)), ' ', {_padded('c % 10000', 4)}, ' ', {_padded('k % 10000', 4)}, ' x ', "
+        f"cast(2000 + c % 8000 AS varchar(20)), '-', {_padded('k % 10000', 4)}, '-', {_padded('(k + c) % 10000', 4)}, ' ')"),
+    (7, f"concat('4', {_padded('k % 1000', 3)}, '-', {_padded('c % 10000', 4)}, '-', {_padded('(k * 7) % 10000', 4)}, '-', "
+        f"{_padded('k % 10000', 4)}, ' y 5500 0000 ', {_padded('k % 10000', 4)}, ' ', {_padded('c % 10000', 4)}, ' ')"),
+    (11, f"concat('pwd=', {_padded('k', 8)}, ' password: ', {_padded('c', 8)}, ' token=', {_padded('k + c', 9)}, ' ')"),
+)
+ORDER_TEXT = (
+    "concat('order ', "
+    + ", ".join(f"CASE WHEN k % {j} = 0 THEN {piece} ELSE '' END" for j, piece in _ORDER_PIECES)
+    + ", 'end')"
+)
+
+# name -> (table, kept key expressions, text expression)
+COMPUTED = {
+    "derived": ("customer", DERIVED_KEYS, DERIVED_TEXT),
+    "orders": ("orders", ORDER_KEYS, ORDER_TEXT),
+}
+
 # name -> (table, text column, kept columns)
 TABLES = {
     "documents": ("documents", "text", ("doc_id", "lang", "source")),
@@ -49,24 +85,24 @@ TABLES = {
 
 
 def keys_of(name: str) -> tuple[str, ...]:
-    return ("doc_id",) if name == "derived" else TABLES[name][2]
+    return ("doc_id",) if name in COMPUTED else TABLES[name][2]
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The kept columns and ``text`` of a corpus."""
-    if name == "derived":
-        customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    if name in COMPUTED:
+        table, keys, text = COMPUTED[name]
         # the keys are dealt out, not the texts made from them
-        return spread(customers).selectExpr(*DERIVED_KEYS).selectExpr(
-            "doc_id", f"{DERIVED_TEXT} AS text"
-        )
+        rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*keys))
+        return rows.selectExpr("doc_id", f"{text} AS text")
     table, column, keep = TABLES[name]
     return text_table(spark, f"{sf_dir}/{table}.parquet", column, keep)
 
 
 def texts_sql(name: str) -> str:
     """The same corpus as SQL over the table views."""
-    if name == "derived":
-        return f"SELECT doc_id, {DERIVED_TEXT} AS text FROM (SELECT {', '.join(DERIVED_KEYS)} FROM customer) t"
+    if name in COMPUTED:
+        table, keys, text = COMPUTED[name]
+        return f"SELECT doc_id, {text} AS text FROM (SELECT {', '.join(keys)} FROM {table}) t"
     table, column, keep = TABLES[name]
     return f"SELECT {', '.join(keep)}, {column} AS text FROM {table}"

@@ -28,7 +28,9 @@ _DOUBLED = {
 }
 
 
-def matches_sql(key: str, browser: bool = False) -> str:
+def matches_sql(key: str, browser: bool = False, own: dict[str, str] | None = None) -> str:
+    if own and key in own:
+        return f"regexp_extract_all(text, {q(own[key])})"
     if key in _DOUBLED:
         doubled = r"regexp_replace(' ' || text || ' ', '([^0-9])', '\1\1', 'g')"
         return (
@@ -81,13 +83,13 @@ def factor_sql(c: str) -> str:
     return f"CASE WHEN {c} = 'HIGH' THEN 1.0 WHEN {c} = 'LOW' THEN 0.4 ELSE 0.7 END"
 
 
-def weight_sql(key: str, default: int = 10) -> str:
-    arms = " ".join(f"WHEN {q(k)} THEN {w}" for k, w in fv.WEIGHTS.items())
+def weight_sql(key: str, default: int = 10, own: dict[str, int] | None = None) -> str:
+    arms = " ".join(f"WHEN {q(k)} THEN {w}" for k, w in (fv.WEIGHTS | (own or {})).items())
     return f"CASE {key} {arms} ELSE {default} END"
 
 
-def points_sql(key: str, n: str, c: str) -> str:
-    return f"CAST({weight_sql(key)} * {factor_sql(c)} * {volume_sql(n)} AS DECIMAL(10,2))"
+def points_sql(key: str, n: str, c: str, own: dict[str, int] | None = None) -> str:
+    return f"CAST({weight_sql(key, own=own)} * {factor_sql(c)} * {volume_sql(n)} AS DECIMAL(10,2))"
 
 
 def bonus_sql(n: str, browser: bool = False) -> str:
@@ -129,9 +131,22 @@ def length_sql(text: str, browser: bool = False) -> str:
     return f"CAST(length({text}) + {wide} AS INTEGER)"
 
 
-def scan_ctes(corpus: str, browser: bool = False, keys: tuple[str, ...] | None = None) -> str:
+# the registry of the queries on own rules: (row, pattern, weight), one replaced and one added
+_OWN = (
+    (("email", "Internal address", "PII", "medium", "HIGH"), r"\bu\d+@mail\.example\.com\b", 30),
+    (("closing", "Closing word", "Notes", "low", "LOW"), r"\s+end\b", 50),
+)
+
+
+def scan_ctes(
+    corpus: str, browser: bool = False, keys: tuple[str, ...] | None = None, own: tuple = (),
+    source: str | None = None, kept: str | None = None,
+) -> str:
     """``docs``, ``rules``, ``found`` (one row per finding) and ``scored`` (one per document)."""
-    rows = [r for r in fv.RULE_ROWS if keys is None or r[0] in keys]
+    replaced = {r[0]: r for r, _, _ in own}
+    patterns, weights = {r[0]: p for r, p, _ in own}, {r[0]: w for r, _, w in own}
+    rows = [replaced.pop(r[0], r) for r in fv.RULE_ROWS if keys is None or r[0] in keys]
+    rows += replaced.values()
     rank = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
     rules = ", ".join(
         f"({i}, {', '.join(q(v) for v in r)}, {rank[r[4]]})" for i, r in enumerate(rows)
@@ -140,15 +155,15 @@ def scan_ctes(corpus: str, browser: bool = False, keys: tuple[str, ...] | None =
     hits = " UNION ALL ".join(
         f"SELECT rid, {i} AS idx, "
         + (f"list_filter({matches_sql(r[0], browser)}, lambda x: {checks[r[0]]})" if r[0] in checks
-           else matches_sql(r[0], browser))
+           else matches_sql(r[0], browser, patterns))
         + f" AS m FROM docs"
         for i, r in enumerate(rows)
     )
     order = "r.conf_rank, len(m) DESC, h.idx" if browser else "len(m) DESC, h.idx"
-    kept = ", ".join(keys_of(corpus))
+    kept = kept or ", ".join(keys_of(corpus))
     return f"""
     WITH docs AS MATERIALIZED (
-      SELECT row_number() OVER () AS rid, * FROM ({texts_sql(corpus)})),
+      SELECT row_number() OVER () AS rid, * FROM ({source or texts_sql(corpus)})),
     rules(idx, key, label, category, severity, confidence, conf_rank) AS (VALUES {rules}),
     hits AS MATERIALIZED ({hits}),
     found AS (
@@ -156,7 +171,7 @@ def scan_ctes(corpus: str, browser: bool = False, keys: tuple[str, ...] | None =
         CAST(len(m) AS INTEGER) AS count,
         list_transform(list_filter(m, lambda x, i: list_position(m, x) = i)[1:3],
                        lambda x: {redact_sql('x')}) AS samples,
-        {points_sql('r.key', 'len(m)', 'r.confidence')} AS contribution,
+        {points_sql('r.key', 'len(m)', 'r.confidence', weights)} AS contribution,
         CAST(row_number() OVER (PARTITION BY h.rid ORDER BY {order}) AS INTEGER) AS position
       FROM hits h JOIN rules r ON h.idx = r.idx WHERE len(m) > 0),
     sums AS (
@@ -183,14 +198,15 @@ def flat_sql(corpus: str, browser: bool = False) -> str:
     FROM levelled"""
 
 
-def advice_sql(corpus: str, browser: bool = False) -> str:
-    texts = fv.ADVICE_BROWSER if browser else fv.ADVICE_BACKEND
+def advice_sql(corpus: str, browser: bool = False, own: tuple = (), advice: dict | None = None) -> str:
+    texts = (fv.ADVICE_BROWSER if browser else fv.ADVICE_BACKEND) | (advice or {})
+    weights = {r[0]: w for r, _, w in own}
     always = fv.ADVICE_ALWAYS_BROWSER if browser else fv.ADVICE_ALWAYS_BACKEND
     arms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in texts.items())
     kept = ", ".join(keys_of(corpus))
-    return scan_ctes(corpus, browser) + f"""
+    return scan_ctes(corpus, browser, own=own) + f"""
     , lines AS (
-      SELECT rid, CAST(row_number() OVER (PARTITION BY rid ORDER BY {weight_sql('key', 0)} DESC, position) AS INTEGER)
+      SELECT rid, CAST(row_number() OVER (PARTITION BY rid ORDER BY {weight_sql('key', 0, weights)} DESC, position) AS INTEGER)
                AS number, CASE key {arms} END AS recommendation FROM found
       UNION ALL SELECT rid, types + 1, {q(always[0])} FROM sums WHERE types > 0
       UNION ALL SELECT rid, types + 2, {q(always[1])} FROM sums WHERE types > 0)
@@ -218,6 +234,21 @@ def gate_sql(name: str, size: str, browser: bool = False) -> dict[str, str]:
     return {"extension": ext, "code": f"CAST({code} AS INTEGER)", "detail": detail}
 
 
+UPLOAD_CAP = 5000
+_LATIN = r"regexp_replace(coalesce(text, ''), '[^\x{00}-\x{ff}]', '?', 'g')"
+_BEST_EFFORT = rf"regexp_replace({_LATIN}, '[\x{{80}}-\x{{ff}}]', chr(65533), 'g')"
+# documents as files: name, bytes of the encoding, and the text that decoding gives back
+_FILES_SQL = f"""
+    SELECT doc_id, source, CAST(doc_id AS VARCHAR) || suffix AS filename, lower(replace(suffix, '.', '')) AS kind,
+      CASE doc_id % 3 WHEN 0 THEN octet_length(encode(coalesce(text, ''))) + 3
+        WHEN 1 THEN octet_length(encode(coalesce(text, ''))) ELSE length({_LATIN}) END AS file_size,
+      CASE WHEN suffix IN ('.pdf', '.Docx') THEN coalesce(text, '')
+        WHEN doc_id % 3 = 2 THEN CASE WHEN suffix IN ('.txt', '.CSV') THEN {_LATIN} ELSE {_BEST_EFFORT} END
+        WHEN doc_id % 3 = 0 AND suffix NOT IN ('.txt', '.CSV') THEN chr(65279) || coalesce(text, '')
+        ELSE coalesce(text, '') END AS text
+    FROM (SELECT *, (['.txt', '.CSV', '.pdf', '.txt', '.exe', '', '.Docx'])[CAST(doc_id % 7 + 1 AS INTEGER)] AS suffix FROM documents)"""
+
+
 def violations_sql(source: str, columns: str, checks: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT {columns}, {q(name)} AS violation FROM ({source}) WHERE NOT coalesce({ok}, false)"
@@ -263,20 +294,17 @@ def oracle_sql() -> dict[str, str]:
     out["samples_derived"] = scan_ctes("derived") + """
       , s AS (SELECT rid, key, unnest(samples) AS sample, CAST(generate_subscripts(samples, 1) AS INTEGER) AS number FROM found)
       SELECT doc_id, key, number, sample FROM s JOIN docs USING (rid)"""
+    out["samples_distinct"] = out["samples_derived"].replace(scan_ctes("derived"), scan_ctes("orders"))
+    out["findings_distinct"] = flat_sql("orders")
     out["sensitive_flag"] = scan_ctes("documents") + "SELECT doc_id, types > 0 AS sensitive, total_findings FROM scored"
     out["text_length_browser"] = f"SELECT doc_id, {length_sql('text', True)} AS total_characters, CAST(length(text) AS INTEGER) AS code_points FROM documents"
     out["secrets_only"] = scan_ctes("derived", keys=("api_key", "aws_access", "aws_secret", "jwt", "password", "db_conn")) + (
         "SELECT doc_id, total_findings, types, score, risk_level FROM levelled"
     )
-    token_points = f"CAST(50 * 0.4 * {volume_sql('tokens')} AS DECIMAL(10,2))"
-    email_points = f"CAST(10 * 0.7 * {volume_sql('emails')} AS DECIMAL(10,2))"
-    out["custom_rule"] = f"""
-      WITH n AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\\btoken\\b')) AS INTEGER) AS tokens,
-          CAST(len({matches_sql('email')}) AS INTEGER) AS emails FROM documents),
-      s AS (SELECT *, {final_sql(token_points + ' + ' + email_points,
-          'CASE WHEN tokens > 0 AND emails > 0 THEN 5 ELSE 0 END')} AS score FROM n)
-      SELECT doc_id, score, 'token_word' AS key, tokens AS count FROM s WHERE tokens > 0
-      UNION ALL SELECT doc_id, score, 'email', emails FROM s WHERE emails > 0"""
+    out["custom_rule"] = scan_ctes("derived", own=_OWN) + (
+        "SELECT doc_id, score, position, key, label, count FROM found JOIN scored USING (rid)"
+    )
+    out["recommendations_custom"] = advice_sql("derived", own=_OWN, advice={"closing": "Check the closing notes."})
     catalog = ", ".join(
         f"({i}, {', '.join(q(v) for v in r)}, {fv.WEIGHTS[r[0]]}, {r[0] in ('pan', 'aadhaar', 'credit_card')})"
         for i, r in enumerate(fv.RULE_ROWS)
@@ -415,9 +443,11 @@ def oracle_sql() -> dict[str, str]:
             "cooccurrence_bonus": "cooccurrence_bonus >= 0",
         },
     )
-    out["own_report_violations"] = scan_ctes("documents") + (
-        "SELECT doc_id, score, CAST(NULL AS VARCHAR) AS violation FROM levelled WHERE score NOT BETWEEN 0 AND 100"
-    )
+    out["own_report_violations"] = scan_ctes("derived") + """
+      , spoilt(n, violation, needs_finding) AS (VALUES (1, 'score_range', false), (2, 'risk_level', false),
+        (3, 'total_findings', false), (4, 'total_characters', false), (5, 'cooccurrence_bonus', false),
+        (6, 'size_bytes', false), (7, 'finding_count', true), (8, 'breakdown_entry', true))
+      SELECT doc_id, violation FROM scored JOIN spoilt ON doc_id % 9 = n WHERE types > 0 OR NOT needs_finding"""
 
     # roll-ups
     for corpus, name in (("documents", "exposure_by_rule"), ("derived", "exposure_by_rule_derived")):
@@ -447,10 +477,49 @@ def oracle_sql() -> dict[str, str]:
     )
 
     # files
-    out["file_scan"] = (
-        "SELECT source, CAST(sum(length(text)) AS BIGINT) AS characters, "
-        f"CAST(sum(len({matches_sql('email')})) AS BIGINT) AS emails FROM documents GROUP BY source"
-    )
+    kept = "doc_id, source, filename, file_size, kind"
+    total = scan_ctes("documents", source=_FILES_SQL, kept=kept)
+    out["file_scan"] = total + """
+      SELECT source, file_size > 0 AS was_read, count(*) AS files, CAST(sum(total_characters) AS BIGINT) AS characters,
+        CAST(sum(total_findings) AS BIGINT) AS matches FROM scored GROUP BY ALL"""
+    out["any_extension"] = f"""
+      SELECT doc_id, filename, CASE WHEN file_size > 0 THEN 'ok' ELSE 'error' END AS status,
+        CASE WHEN file_size > 0 THEN 200 ELSE 400 END AS http_code,
+        CASE WHEN file_size > 0 THEN md5(text) END AS text_md5 FROM ({_FILES_SQL})"""
+    bad = f"kind IN ('exe', '') OR file_size > {UPLOAD_CAP} OR file_size = 0 OR kind IN ('pdf', 'docx')"
+    done = ["total_characters", "score", "risk_level", "total_findings", "types", "raw_score"]
+    out["report_uploads"] = total + f"""
+      SELECT doc_id, CASE WHEN {bad} THEN 'error' ELSE 'success' END AS status, filename,
+        CAST(file_size AS BIGINT) AS size_bytes, {', '.join(f"CASE WHEN NOT ({bad}) THEN {c} END AS {c}" for c in done)}
+      FROM levelled"""
+    out["stream_reports"] = out["report_uploads"]
+    out["stream_quarantine"] = f"""
+      SELECT filename, 'error' AS status,
+        CASE WHEN kind IN ('exe', '') THEN 400 WHEN file_size > {UPLOAD_CAP} THEN 413 WHEN file_size = 0 THEN 400 ELSE 422 END AS http_code,
+        CASE WHEN kind IN ('exe', '') THEN 'Unsupported file type ''.' || kind || '''. Allowed: [''csv'', ''docx'', ''pdf'', ''txt'']'
+          WHEN file_size > {UPLOAD_CAP} THEN 'File too large (' || format('{{:,}}', file_size)
+            || ' bytes). Maximum allowed size is 5,000 bytes (0.00476837 MB).'
+          WHEN file_size = 0 THEN 'Uploaded file is empty.'
+          ELSE 'No text extraction for ''.' || kind || ''' files.' END AS detail
+      FROM ({_FILES_SQL}) WHERE {bad}"""
+    finding = """'{"category":' || to_json(category) || ',"label":' || to_json(label) || ',"count":' || count
+        || ',"severity":' || to_json(severity) || ',"confidence":' || to_json(confidence) || ',"samples":' || to_json(samples) || '}'"""
+    entry = f"""to_json(key) || ':{{"count":' || count || ',"confidence":' || to_json(confidence) || ',"severity_weight":'
+        || {weight_sql('key')} || ',"confidence_factor":' || CAST({factor_sql('confidence')} AS DECIMAL(3,1)) || ',"volume_multiplier":'
+        || CAST({volume_sql('count')} AS DECIMAL(3,1)) || ',"contribution":' || contribution || '}}'"""
+    arms = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in fv.ADVICE_BACKEND.items())
+    always = ", ".join(q(a) for a in fv.ADVICE_ALWAYS_BACKEND)
+    out["report_json_full"] = scan_ctes("derived") + f"""
+      , nested AS (SELECT rid, string_agg({finding}, ',' ORDER BY position) AS findings,
+          string_agg({entry}, ',' ORDER BY position) AS breakdown,
+          to_json(list(CASE key {arms} END ORDER BY {weight_sql('key', 0)} DESC, position) || [{always}]) AS advice
+        FROM found GROUP BY rid)
+      SELECT '{{"status":"success","filename":"' || {record} || '","size_bytes":' || size_bytes || ',"total_characters":'
+        || total_characters || ',"score":' || score || ',"risk_level":"' || risk_level || '","total_findings":'
+        || total_findings || ',"findings":[' || coalesce(findings, '') || '],"breakdown":{{' || coalesce(breakdown, '')
+        || '}},"cooccurrence_bonus":' || cooccurrence_bonus || ',"raw_score":' || raw || ',"recommendations":'
+        || coalesce(advice, '[]') || '}}' AS report
+      FROM levelled LEFT JOIN nested USING (rid)"""
 
     # decoding
     latin = r"regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g')"

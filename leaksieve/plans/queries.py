@@ -51,6 +51,7 @@ from ..sources import (
     report_violations,
     request_violations,
     shared_folder,
+    spread,
 )
 from ..streaming import read_stream, start_scan
 from .corpus import TABLES, keys_of, texts
@@ -58,6 +59,8 @@ from .inputs import derive
 from .report import assess, flat_report, report, scan_log
 
 Query = Callable[[SparkSession, str], DataFrame]
+FILE_KINDS = (".txt", ".CSV", ".pdf", ".txt", ".exe", "", ".Docx")
+UPLOAD_CAP = 5000  # bytes, small enough for many documents to exceed it
 SECRETS = ("api_key", "aws_access", "aws_secret", "jwt", "password", "db_conn")
 
 
@@ -70,7 +73,7 @@ def _scanned(spark, sf_dir, corpus, **options) -> DataFrame:
 
 
 def _scored(spark, sf_dir, corpus, profile="backend") -> DataFrame:
-    return with_risk(_scanned(spark, sf_dir, corpus, profile=profile), profile=profile)
+    return with_risk(_scanned(spark, sf_dir, corpus, profile=profile, samples=False), profile=profile)
 
 
 def _flat(corpus: str, profile: str = "backend") -> Query:
@@ -138,24 +141,36 @@ def secrets_only(spark, sf_dir):
     )
 
 
-def custom_rule(spark, sf_dir):
-    rule = Rule(
-        "token_word", "The word token", "Secrets", "low", "LOW", r"(?i)\btoken\b",
-        weight=50, hints=(Hint("token", any_case=True),),
+def _own_rules() -> tuple[Rule, ...]:
+    """The whole registry with one rule added and one replaced."""
+    return with_rules(
+        Rule("closing", "Closing word", "Notes", "low", "LOW", r"\s+end\b", weight=50,
+             hints=(Hint("end"),), advice="Check the closing notes."),
+        Rule("email", "Internal address", "PII", "medium", "HIGH", r"\bu\d+@mail\.example\.com\b", weight=30,
+             hints=(Hint("@"),)),
     )
-    rules = only_rules("token_word", "email", base=with_rules(rule))
-    scored = with_risk(_scanned(spark, sf_dir, "documents", rules=rules), rules)
-    return findings_table(scored, ["doc_id", "score"]).select("doc_id", "score", "key", "count")
+
+
+def custom_rule(spark, sf_dir):
+    rules = _own_rules()
+    scored = with_risk(_scanned(spark, sf_dir, "derived", rules=rules, samples=False), rules)
+    return findings_table(scored, ["doc_id", "score"]).select("doc_id", "score", "position", "key", "label", "count")
+
+
+def recommendations_custom(spark, sf_dir):
+    rules = _own_rules()
+    advised = with_recommendations(_scanned(spark, sf_dir, "derived", rules=rules, samples=False), rules)
+    return numbered_recommendations(advised, ["doc_id"])
 
 
 def rule_catalog_usage(spark, sf_dir):
     # the catalog has one row per rule and the roll-up at most as many
-    hits = exposure_by(_scanned(spark, sf_dir, "derived"), "key")
+    hits = exposure_by(_scanned(spark, sf_dir, "derived", samples=False), "key")
     return rule_catalog(spark).join(hits, "key", "left").fillna(0, ["documents", "matches"])
 
 
 def coverage_usage(spark, sf_dir):
-    hits = exposure_by(_scanned(spark, sf_dir, "documents"), "key").drop("matches")
+    hits = exposure_by(_scanned(spark, sf_dir, "documents", samples=False), "key").drop("matches")
     return coverage(spark).join(hits, "key", "left").fillna(0, ["documents"]).drop("key")
 
 
@@ -298,7 +313,7 @@ def _breakdown_sorted(profile: str) -> Query:
 def _recommendations(corpus: str, profile: str = "backend") -> Query:
     def query(spark, sf_dir):
         advised = with_recommendations(
-            _scanned(spark, sf_dir, corpus, profile=profile), profile=profile
+            _scanned(spark, sf_dir, corpus, profile=profile, samples=False), profile=profile
         )
         return numbered_recommendations(advised, keys_of(corpus))
 
@@ -353,13 +368,26 @@ def rejected(spark, sf_dir):
 
 
 def own_report_violations(spark, sf_dir):
-    broken = report_violations(_records(spark, sf_dir, "documents"))
+    """Reports of this engine, most of them spoilt in one field, against all eight checks."""
     doc_id = F.regexp_extract("filename", "([0-9]+)", 1).cast("bigint")
-    return broken.select(doc_id.alias("doc_id"), "score", "violation")
+    reports = _records(spark, sf_dir, "derived").withColumn("doc_id", doc_id)
+    spoilt = lambda n, bad, column: F.when(F.col("doc_id") % 9 == n, bad).otherwise(F.col(column))
+    minus = lambda x, field: x.withField(field, -x[field])
+    reports = reports.withColumns({
+        "score": spoilt(1, F.lit(101), "score"),
+        "risk_level": spoilt(2, F.lit("SEVERE"), "risk_level"),
+        "total_findings": spoilt(3, F.lit(-1), "total_findings"),
+        "total_characters": spoilt(4, F.lit(None).cast("int"), "total_characters"),
+        "cooccurrence_bonus": spoilt(5, F.lit(-5), "cooccurrence_bonus"),
+        "size_bytes": spoilt(6, F.lit(-1).cast("bigint"), "size_bytes"),
+        "findings": spoilt(7, F.transform("findings", lambda f: minus(f, "count")), "findings"),
+        "breakdown": spoilt(8, F.transform_values("breakdown", lambda k, e: minus(e, "severity_weight")), "breakdown"),
+    })
+    return report_violations(reports).select("doc_id", "violation")
 
 
 def _exposure(corpus: str, *by: str) -> Query:
-    return lambda spark, sf_dir: exposure_by(_scanned(spark, sf_dir, corpus), *by)
+    return lambda spark, sf_dir: exposure_by(_scanned(spark, sf_dir, corpus, samples=False), *by)
 
 
 def _levels(corpus: str, *by: str) -> Query:
@@ -393,30 +421,92 @@ def _binary_decode(profile: str) -> Query:
     return query
 
 
+def _files(df: DataFrame, with_extracted: bool = False) -> DataFrame:
+    """Documents as files of several kinds, in UTF-8 with and without a mark and in Latin-1.
+
+    ``with_extracted`` adds the text of those kinds that need a parser, as one would hand it over.
+    """
+    text = F.coalesce("text", F.lit(""))
+    kind = F.element_at(F.array(*[F.lit(e) for e in FILE_KINDS]), (F.col("doc_id") % len(FILE_KINDS) + 1).cast("int"))
+    latin1 = F.encode(F.regexp_replace(text, "[^\\x00-\\xff]", "?"), "ISO-8859-1")
+    content = (
+        F.when(F.col("doc_id") % 3 == 0, F.encode(F.concat(F.lit("\ufeff"), text), "UTF-8"))
+        .when(F.col("doc_id") % 3 == 1, F.encode(text, "UTF-8"))
+        .otherwise(latin1)
+    )
+    parsed = [F.when(kind.isin(".pdf", ".Docx"), text).alias("extracted")] if with_extracted else []
+    files = df.select(
+        *parsed, "doc_id", "source", F.concat(F.col("doc_id").cast("string"), kind).alias("filename"), content.alias("content")
+    )
+    return files.withColumn("size_bytes", F.octet_length("content").cast("bigint"))
+
+
 def file_scan(spark, sf_dir):
-    """Every document as a file of its own: gated, decoded and scanned with all rules, totals per source."""
-    documents = texts(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    files = documents.select(
-        "source",
-        F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
-        F.octet_length("text").cast("bigint").alias("size_bytes"),
-        F.encode("text", "UTF-8").alias("content"),
+    """Every document as a file of its own, whatever its kind and size: decoded, scanned by all rules, totals per source."""
+    files = _files(texts(spark, sf_dir, "documents"), with_extracted=True)
+    read = extract_text(files, any_extension=True, max_bytes=None)
+    scanned = scan(read.select("source", (F.col("status") == "ok").alias("was_read"), "text"), samples=False)
+    matches = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
+    return scanned.groupBy("source", "was_read").agg(
+        F.count("*").alias("files"), F.sum("total_characters").alias("characters"), F.sum(matches).alias("matches")
     )
-    read = extract_text(files).where(F.col("status") == "ok")
-    scanned = scan(read.select("source", "text"))
-    is_email = F.filter("findings", lambda f: f["key"] == "email")
-    emails = F.aggregate(is_email, F.lit(0), lambda n, f: n + f["count"])
-    return scanned.groupBy("source").agg(
-        F.sum("total_characters").alias("characters"), F.sum(emails).alias("emails")
+
+
+def any_extension(spark, sf_dir):
+    """Files of any kind, decoded as well as possible."""
+    files = _files(texts(spark, sf_dir, "documents"), with_extracted=True)
+    read = extract_text(files, any_extension=True, max_bytes=None)
+    return read.select("doc_id", "filename", "status", "http_code", F.md5("text").alias("text_md5"))
+
+
+def _upload_reports(files: DataFrame) -> DataFrame:
+    reports = report(extract_text(files, max_bytes=UPLOAD_CAP), size_bytes="size_bytes", keep=["doc_id"])
+    return _doubles(reports, "raw_score").select(
+        "doc_id", "status", "filename", "size_bytes", "total_characters", "score", "risk_level", "total_findings",
+        F.when(F.col("findings").isNotNull(), F.size("findings")).alias("types"), "raw_score",
     )
 
 
+def report_uploads(spark, sf_dir):
+    """Files of every kind and size: reports of what was read, errors for the rest."""
+    return _upload_reports(_files(texts(spark, sf_dir, "documents")))
+
+
+def report_json_full(spark, sf_dir):
+    """The whole record as JSON: findings with samples, breakdown and recommendations."""
+    return as_json(_records(spark, sf_dir, "derived"))
+
+
+def _arriving_files(spark, sf_dir) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    arriving = read_stream(spark, f"{sf_dir}/{{documents}}.parquet", schema).select("doc_id", "source", "text")
+    return _files(spread(arriving, 2 * spark.sparkContext.defaultParallelism))
+
+
+def _worked_off(results: DataFrame, name: str) -> DataFrame:
+    spark = results.sparkSession
+    folder = shared_folder(spark, name)
+    start_scan(results, f"{folder}/rows", f"{folder}/checkpoint", until_done=True).awaitTermination()
+    return spark.read.schema(results.schema).parquet(f"{folder}/rows")
+
+
+def stream_reports(spark, sf_dir):
+    """Arriving files gated, decoded and reported by a stream."""
+    return _worked_off(_upload_reports(_arriving_files(spark, sf_dir)), "stream-reports")
+
+
+def stream_quarantine(spark, sf_dir):
+    """The error records of the same stream."""
+    return _worked_off(quarantine(extract_text(_arriving_files(spark, sf_dir), max_bytes=UPLOAD_CAP)), "stream-quarantine")
+
+
 def stream_scan(spark, sf_dir):
     """The document reports, produced by a stream that works off the table's files."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     folder = shared_folder(spark, "stream")
     # a pattern serves a table kept as one file as well as one kept as a folder
     arriving = read_stream(spark, f"{sf_dir}/{{documents}}.parquet", schema).select(*TABLES["documents"][2], "text")
+    arriving = spread(arriving, 2 * spark.sparkContext.defaultParallelism)
     results = flat_report(assess(arriving), keys_of("documents"))
     start_scan(results, f"{folder}/reports", f"{folder}/checkpoint", until_done=True).awaitTermination()
     return spark.read.schema(results.schema).parquet(f"{folder}/reports")
@@ -438,10 +528,13 @@ def queries() -> dict[str, Query]:
         findings_order_browser=_findings_order("browser"),
         samples=_samples("documents"),
         samples_derived=_samples("derived"),
+        samples_distinct=_samples("orders"),
+        findings_distinct=_flat("orders"),
         sensitive_flag=sensitive_flag,
         text_length_browser=text_length_browser,
         secrets_only=secrets_only,
         custom_rule=custom_rule,
+        recommendations_custom=recommendations_custom,
         rule_catalog=rule_catalog_usage,
         coverage=coverage_usage,
         luhn=luhn,
@@ -468,6 +561,9 @@ def queries() -> dict[str, Query]:
         recommendations_documents=_recommendations("documents"),
         report_record=report_record,
         report_json=report_json,
+        report_json_full=report_json_full,
+        report_uploads=report_uploads,
+        any_extension=any_extension,
         scan_log=scan_log_lines,
         gates=_gates("backend"),
         gates_browser=_gates("browser"),
@@ -491,5 +587,7 @@ def queries() -> dict[str, Query]:
         binary_decode_browser=_binary_decode("browser"),
         file_scan=file_scan,
         stream_scan=stream_scan,
+        stream_reports=stream_reports,
+        stream_quarantine=stream_quarantine,
     )
     return out

@@ -40,6 +40,8 @@ class Rule:
     hint skip the pattern; a hint named by several rules is looked for once.
     ``scan_pattern`` may give an equivalent of ``pattern``, its group 1 being the
     match, that takes time proportional to the text where ``pattern`` does not.
+    ``advice`` is what to recommend where the rule matched, ``browser_advice`` its other
+    wording for the browser profile; without one, the profile's own text for the key holds.
     """
 
     key: str
@@ -54,6 +56,13 @@ class Rule:
     starts: str | None = None
     scan_pattern: str | None = None
     browser_ignore_case: bool = False
+    advice: str | None = None
+    browser_advice: str | None = None
+
+    def advice_in(self, profile: Profile) -> str | None:
+        """The recommendation for this rule under a profile."""
+        own = self.advice if profile.unicode else self.browser_advice or self.advice
+        return own or profile.advice.get(self.key)
 
     def compiled(self, profile: Profile) -> tuple[str, int]:
         """The Java pattern to scan with, and the group that holds the match."""

@@ -14,9 +14,10 @@ def spread(df: DataFrame, partitions: int | str | None = "auto") -> DataFrame:
     ``auto`` acts only on an input with fewer splits than twice the cores, so the
     exchange it adds never moves more than two splits per core; a large table has
     more splits than that and is left as it is. Rows are dealt one by one, not by
-    key, so no key can overload a task. ``None`` never acts, a number always does.
+    key, so no key can overload a task. ``None`` never acts, a number always does, on a
+    stream for each batch; ``auto`` leaves streams as they are.
     """
-    if partitions is None or df.isStreaming:
+    if partitions is None or (df.isStreaming and partitions == "auto"):
         return df
     if partitions == "auto":
         wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
