@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import bpe, decontaminate, fingerprint, langid, pii, secrets, simhash, substring_dedup, suffix_dedup, url_filter
 
 from .common import ship
+from .oracle import oracle_sql  # noqa: F401
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,3 @@ def queries() -> dict:
         op6_substring_dedup, op7_secrets, op8_url_filter, op9_language, op10_simhash,
     ]
     return {f.__name__: f for f in own}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
