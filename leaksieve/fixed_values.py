@@ -80,32 +80,43 @@ MAX_SCORE = 100
 MAX_SAMPLES = 3
 REDACT_SHORT = 6
 
-# Verhoeff multiplication and permutation tables, one string per row.
+# Verhoeff multiplication and permutation tables.
 VERHOEFF_D = (
-    "0123456789",
-    "1234067895",
-    "2340178956",
-    "3401289567",
-    "4012395678",
-    "5987604321",
-    "6598710432",
-    "7659821043",
-    "8765932104",
-    "9876543210",
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 2, 3, 4, 0, 6, 7, 8, 9, 5),
+    (2, 3, 4, 0, 1, 7, 8, 9, 5, 6),
+    (3, 4, 0, 1, 2, 8, 9, 5, 6, 7),
+    (4, 0, 1, 2, 3, 9, 5, 6, 7, 8),
+    (5, 9, 8, 7, 6, 0, 4, 3, 2, 1),
+    (6, 5, 9, 8, 7, 1, 0, 4, 3, 2),
+    (7, 6, 5, 9, 8, 2, 1, 0, 4, 3),
+    (8, 7, 6, 5, 9, 3, 2, 1, 0, 4),
+    (9, 8, 7, 6, 5, 4, 3, 2, 1, 0),
 )
 VERHOEFF_P = (
-    "0123456789",
-    "1576283094",
-    "5803796142",
-    "8916043527",
-    "9453126870",
-    "4286573901",
-    "2793806415",
-    "7046913258",
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9),
+    (1, 5, 7, 6, 2, 8, 3, 0, 9, 4),
+    (5, 8, 0, 3, 7, 9, 6, 1, 4, 2),
+    (8, 9, 1, 6, 0, 4, 3, 5, 2, 7),
+    (9, 4, 5, 3, 1, 2, 6, 8, 7, 0),
+    (4, 2, 8, 6, 5, 7, 3, 9, 0, 1),
+    (2, 7, 9, 3, 8, 0, 6, 4, 1, 5),
+    (7, 0, 4, 6, 9, 1, 3, 2, 5, 8),
 )
 AADHAAR_DIGITS = 12
 CARD_MIN_DIGITS = 13
 
+# What the input gates say, by profile.
+GATE_TEXTS_BACKEND = {
+    "type": "Unsupported file type '.{extension}'. Allowed: {allowed}",
+    "size": "File too large ({size} bytes). Maximum allowed size is {limit} bytes ({limit_mb}).",
+    "empty": "Uploaded file is empty.",
+}
+GATE_TEXTS_BROWSER = {
+    "type": "Unsupported file type. Allowed: {allowed}",
+    "size": "File too large ({size}). Maximum is {limit_mb}.",
+    "empty": "Uploaded file is empty.",
+}
 # Input gates.
 ALLOWED_EXTENSIONS = ("csv", "docx", "pdf", "txt")
 ALLOWED_EXTENSIONS_BROWSER = ("txt", "csv", "pdf", "docx")
@@ -154,23 +165,18 @@ ADVICE_ALWAYS_BROWSER = (
     "Educate engineering teams on secure handling of PII and secrets via mandatory security training.",
 )
 
-# The coverage listing (short label, category, confidence), in display order.
+# The coverage listing (rule, short label, category, confidence), in display order.
 COVERAGE_ROWS = (
-    ("Email", "PII", "MED"),
-    ("Phone (India)", "PII", "MED"),
-    ("PAN Card", "PII", "HIGH"),
-    ("Aadhaar", "PII", "HIGH"),
-    ("Passport", "PII", "MED"),
-    ("Credit Card", "PII", "HIGH"),
-    ("API Keys", "Secret", "LOW"),
-    ("AWS Keys", "Secret", "HIGH"),
-    ("JWT Tokens", "Secret", "HIGH"),
-    ("Passwords", "Secret", "LOW"),
-    ("DB Strings", "Secret", "MED"),
-    ("AWS Secrets", "Secret", "MED"),
-)
-# The rule behind each coverage entry, in the same order.
-COVERAGE_KEYS = (
-    "email", "phone_in", "pan", "aadhaar", "passport", "credit_card",
-    "api_key", "aws_access", "jwt", "password", "db_conn", "aws_secret",
+    ("email", "Email", "PII", "MED"),
+    ("phone_in", "Phone (India)", "PII", "MED"),
+    ("pan", "PAN Card", "PII", "HIGH"),
+    ("aadhaar", "Aadhaar", "PII", "HIGH"),
+    ("passport", "Passport", "PII", "MED"),
+    ("credit_card", "Credit Card", "PII", "HIGH"),
+    ("api_key", "API Keys", "Secret", "LOW"),
+    ("aws_access", "AWS Keys", "Secret", "HIGH"),
+    ("jwt", "JWT Tokens", "Secret", "HIGH"),
+    ("password", "Passwords", "Secret", "LOW"),
+    ("db_conn", "DB Strings", "Secret", "MED"),
+    ("aws_secret", "AWS Secrets", "Secret", "MED"),
 )

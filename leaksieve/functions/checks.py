@@ -49,8 +49,8 @@ def luhn_valid(value: Column, profile: Profile | str = BACKEND) -> Column:
 
 def verhoeff_valid(value: Column, profile: Profile | str = BACKEND) -> Column:
     """True for exactly 12 digits (separators ignored) with a zero Verhoeff checksum."""
-    mult = constant([int(x) for x in "".join(fv.VERHOEFF_D)], "array<int>")
-    perm = constant([int(x) for x in "".join(fv.VERHOEFF_P)], "array<int>")
+    mult = constant([digit for row in fv.VERHOEFF_D for digit in row], "array<int>")
+    perm = constant([digit for row in fv.VERHOEFF_P for digit in row], "array<int>")
 
     def holds(digits: Column) -> Column:
         def fold(check: Column, position: Column) -> Column:

@@ -119,7 +119,9 @@ def breakdown_of(
     """Breakdown entries of findings that come as rows: one row per group and key.
 
     Where a key repeats within a group, the entry with the greatest ``last_by``
-    stands; name that column only if keys can repeat, since it costs a shuffle.
+    stands; name that column only if keys can repeat, since it costs a shuffle. It must
+    order the entries of a key totally: of ties, any may stand. Without it, a repeated
+    key keeps all its rows.
     """
     active = findings.where(F.coalesce(F.col(count), F.lit(0)) != 0)
     if last_by is not None:

@@ -59,6 +59,7 @@ def documents_by_level(scored: DataFrame, *by: str) -> DataFrame:
 def top_risky(scored: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
     """The ``k`` documents with the highest score, ties by the ``by`` columns.
 
-    Each task keeps only its own best ``k``; no full sort.
+    Each task keeps only its own best ``k``; no full sort. One task merges these, so
+    ``k`` is meant for reports of up to some thousand rows.
     """
     return scored.orderBy(F.col("score").desc(), *by).limit(k)

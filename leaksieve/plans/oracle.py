@@ -54,11 +54,15 @@ def luhn_sql(x: str) -> str:
     return f"(length({d}) >= 13 AND {total} % 10 = 0)"
 
 
+def _digits(table: tuple) -> str:
+    return "".join(str(digit) for row in table for digit in row)
+
+
 def verhoeff_sql(x: str) -> str:
     d = digits_sql(x)
     digit = f"CAST(substr({d}, CAST(12 - i AS INTEGER), 1) AS INTEGER)"
-    permuted = f"CAST(substr({q(''.join(fv.VERHOEFF_P))}, CAST((i % 8) * 10 + {digit} + 1 AS INTEGER), 1) AS INTEGER)"
-    step = f"CAST(substr({q(''.join(fv.VERHOEFF_D))}, CAST(c * 10 + {permuted} + 1 AS INTEGER), 1) AS BIGINT)"
+    permuted = f"CAST(substr({q(_digits(fv.VERHOEFF_P))}, CAST((i % 8) * 10 + {digit} + 1 AS INTEGER), 1) AS INTEGER)"
+    step = f"CAST(substr({q(_digits(fv.VERHOEFF_D))}, CAST(c * 10 + {permuted} + 1 AS INTEGER), 1) AS BIGINT)"
     return (
         f"CASE WHEN length({d}) = 12 THEN "
         f"list_reduce(range(12), lambda c, i: {step}, CAST(0 AS BIGINT)) = 0 ELSE false END"
@@ -315,8 +319,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT c.*, coalesce(documents, 0) AS documents, coalesce(matches, 0) AS matches
       FROM catalog c LEFT JOIN hit ON c.key = hit.key"""
     entries = ", ".join(
-        f"({i}, {q(k)}, {', '.join(q(v) for v in e)})"
-        for i, (k, e) in enumerate(zip(fv.COVERAGE_KEYS, fv.COVERAGE_ROWS), 1)
+        f"({i}, {', '.join(q(v) for v in row)})" for i, row in enumerate(fv.COVERAGE_ROWS, 1)
     )
     out["coverage"] = scan_ctes("documents") + f"""
       , entries(position, key, label, category, confidence) AS (VALUES {entries})

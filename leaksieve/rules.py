@@ -178,7 +178,5 @@ def rule_catalog(spark: SparkSession, rules: Iterable[Rule] = RULES) -> DataFram
 
 def coverage(spark: SparkSession) -> DataFrame:
     """The twelve coverage entries in display order, each with the rule behind it."""
-    rows = [
-        (i, key, *entry) for i, (key, entry) in enumerate(zip(fv.COVERAGE_KEYS, fv.COVERAGE_ROWS), 1)
-    ]
+    rows = [(i, *row) for i, row in enumerate(fv.COVERAGE_ROWS, 1)]
     return spark.createDataFrame(rows, "position int, key string, label string, category string, confidence string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +16,28 @@ def _megabytes(size: int | None) -> str:
     return f"{(size or 0) / 2**20:g} MB"
 
 
+def _filled(text: str, **values: Column) -> Column:
+    """A text with columns in the place of its ``{names}``."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[values[part] if i % 2 else F.lit(part) for i, part in enumerate(parts)])
+
+
 def _gates(name: Column, size: Column, profile: Profile, any_extension: bool, max_bytes: int | None) -> list[tuple[Column, int, Column]]:
     """(fails, http code, detail) in the order that decides which error is reported."""
     ext = file_extension(name, profile)
-    if profile.size_gate_first:
-        allowed = ", ".join(fv.ALLOWED_EXTENSIONS_BROWSER)
-        wrong_type = F.lit(f"Unsupported file type. Allowed: {allowed}")
-        too_large = F.concat(
-            F.lit("File too large ("), format_bytes(size), F.lit(f"). Maximum is {_megabytes(max_bytes)}.")
-        )
-    else:
-        allowed = str(list(fv.ALLOWED_EXTENSIONS))
-        wrong_type = F.concat(
-            F.lit("Unsupported file type '."), ext, F.lit(f"'. Allowed: {allowed}")
-        )
-        too_large = F.concat(
-            F.lit("File too large ("),
-            F.format_number(size, 0),
-            F.lit(f" bytes). Maximum allowed size is {max_bytes or 0:,} bytes ({_megabytes(max_bytes)})."),
-        )
+    browser = profile.size_gate_first
+    said = fv.GATE_TEXTS_BROWSER if browser else fv.GATE_TEXTS_BACKEND
+    allowed = ", ".join(fv.ALLOWED_EXTENSIONS_BROWSER) if browser else str(list(fv.ALLOWED_EXTENSIONS))
+    wrong_type = _filled(said["type"], extension=ext, allowed=F.lit(allowed))
+    too_large = _filled(
+        said["size"],
+        size=format_bytes(size) if browser else F.format_number(size, 0),
+        limit=F.lit(f"{max_bytes or 0:,}"),
+        limit_mb=F.lit(_megabytes(max_bytes)),
+    )
     by_type = (~ext.isin(*fv.ALLOWED_EXTENSIONS), 400, wrong_type)
     by_size = (size > max_bytes if max_bytes is not None else F.lit(False), 413, too_large)
-    by_empty = (size == 0, 400, F.lit("Uploaded file is empty."))
+    by_empty = (size == 0, 400, F.lit(said["empty"]))
     type_gate = [] if any_extension else [by_type]
     by_content = [(size.isNull(), 400, F.lit("File size is unknown.")), by_size, by_empty]
     return by_content + type_gate if profile.size_gate_first else type_gate + by_content

@@ -17,7 +17,7 @@ def verhoeff(value):
         return False
     check = 0
     for i, digit in enumerate(digits[::-1]):
-        check = int(fv.VERHOEFF_D[check][int(fv.VERHOEFF_P[i % 8][digit])])
+        check = fv.VERHOEFF_D[check][fv.VERHOEFF_P[i % 8][digit]]
     return check == 0
 
 

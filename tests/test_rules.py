@@ -68,7 +68,7 @@ def candidates(spark, rows, profile):
 def test_registry():
     assert rule_keys() == [r[0] for r in fv.RULE_ROWS] and len(RULES) == 12
     assert set(fv.PATTERNS) == set(fv.WEIGHTS) == set(fv.ADVICE_BACKEND) == set(fv.ADVICE_BROWSER)
-    assert set(fv.COVERAGE_KEYS) == set(rule_keys()) and len(fv.COVERAGE_ROWS) == 12
+    assert {row[0] for row in fv.COVERAGE_ROWS} == set(rule_keys()) and len(fv.COVERAGE_ROWS) == 12
     assert {r.key for r in RULES if r.check} == {"pan", "aadhaar", "credit_card"}
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import plain
 from leaksieve import (
-    RULES, assess, exposure_by, findings_table, flat_report, report, scan, scan_log, text_table, top_risky,
-    with_risk,
+    RULES, Rule, assess, exposure_by, findings_table, flat_report, report, scan, scan_log, text_table, top_risky,
+    with_risk, with_rules,
 )
 from leaksieve import fixed_values as fv
 from leaksieve.operators import breakdown_table, documents_by_level, numbered_recommendations, sample_table, with_flags
@@ -210,3 +210,23 @@ def test_bad_arguments(spark):
         scan(documents(spark), rules=[RULES[0], RULES[0]])
     with pytest.raises(ValueError):
         scan(documents(spark), profile="desktop")
+
+
+def test_scores_need_neither_samples_nor_breakdown(spark):
+    texts = spark.createDataFrame([(1, "mail a@b.cc and c@d.ee"), (2, ""), (3, None)], "id int, text string")
+    lean = with_risk(scan(texts, samples=False))
+    assert "samples" not in lean.schema["findings"].dataType.elementType.names
+    scores = lean.select("id", "score", "risk_level", "total_findings", "raw_score")
+    assert "map_from_entries" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    full = with_risk(scan(texts)).select(*scores.columns)
+    assert sorted(scores.collect()) == sorted(full.collect())
+
+
+def test_advice_of_own_rules(spark):
+    texts = spark.createDataFrame([("TCK-1234",)], "text string")
+    rule = Rule("ticket", "Ticket", "PII", "low", "MEDIUM", r"\bTCK-\d{4}\b", advice="Close it.", browser_advice="Shut it.")
+    for profile, want in (("backend", "Close it."), ("browser", "Shut it.")):
+        got = assess(texts, rules=with_rules(rule), profile=profile).first().recommendations
+        assert got[0] == want and len(got) == 3
+    silent = Rule("ticket", "Ticket", "PII", "low", "MEDIUM", r"\bTCK-\d{4}\b")
+    assert len(assess(texts, rules=with_rules(silent)).first().recommendations) == 2
