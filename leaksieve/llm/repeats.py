@@ -9,8 +9,9 @@ anchors. So windows are looked at together only where their anchor occurs twice:
 2. Documents learn which of their anchors are repeated, and send out the pieces of text
    around those. Of pieces that are equal within a task, one stands for all.
 3. Pieces with the same anchor meet. There the caller's method finds the equal windows.
-4. An anchor with more pieces than a task should hold sends its windows on one by one,
-   by their own hashes, to be counted by Spark; a hot anchor so costs no task its memory.
+4. Pieces of a hot anchor, one that occurs more often than a task should hold, never
+   meet: they are dealt out over all tasks, and their windows are counted by Spark one by
+   one, by their own hashes. No task's rows grow with how common an anchor is.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import (
     NOT_SPACE, Prefix, byte_values, chunked, flat, mix, ranges, word_hashes, word_spans, written,
 )
 
-#: Pieces of one anchor that a task holds at once; beyond it windows go on one by one.
+#: Pieces of one anchor that a task holds at once; an anchor that occurs more often is hot.
 GROUP = 50_000
 #: Bytes of pieces looked at together.
 TOGETHER = 3 << 20
@@ -37,7 +38,7 @@ SEGMENT = 1 << 20
 _OTHER = 0xD1342543DE82EF95
 
 _ANCHORS = "doc_id long, anchor long, n long"
-_PIECES = "anchor long, doc_id long, tag long, start long, n int, many boolean, answered boolean, text binary"
+_PIECES = "anchor long, doc_id long, tag long, start long, n int, many boolean, answered boolean, hot boolean, text binary"
 _FOUND = "doc_id long, tag long, start long, end long, a long, b long, many boolean"
 
 
@@ -128,8 +129,10 @@ def _pieces(batches, spec: Windows, earliest: bool):
     for batch in chunked(batches):
         data, values, unit_start, unit_end, first = spec.units(batch.column("text"))
         anchor, start, n, doc = spec.runs(values, first)
-        lists = batch.column("anchors").combine_chunks() if hasattr(batch.column("anchors"), "combine_chunks") else batch.column("anchors")
-        wanted = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+        wanted, hot = (
+            np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            for c in ("anchors", "hot")
+        )
         on = np.flatnonzero(np.isin(anchor, wanted))
         if not len(on):
             continue
@@ -160,18 +163,22 @@ def _pieces(batches, spec: Windows, earliest: bool):
         sent = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(carry), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]
         ).cast(pa.binary())
+        apart = np.isin(anchor, hot)
         for chosen, many_of, answered, texts in (
             (carry, many, False, sent),
             (told, np.ones(len(told), bool), True, pa.nulls(len(told), pa.binary())),
         ):
             if len(chosen):
-                key = mix(doc_id[chosen].view(np.uint64)).view(np.int64) if answered else anchor[chosen].view(np.int64)
+                # what need not meet is dealt out by its place
+                dealt = mix(mix(doc_id[chosen].view(np.uint64)) + place[chosen].astype(np.uint64))
+                key = np.where(apart[chosen] | answered, dealt, anchor[chosen]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key), pa.array(doc_id[chosen]), pa.array(tag[chosen]), pa.array(place[chosen]),
-                        pa.array(n[chosen].astype(np.int32)), pa.array(many_of), pa.array(np.full(len(chosen), answered)), texts,
+                        pa.array(n[chosen].astype(np.int32)), pa.array(many_of), pa.array(np.full(len(chosen), answered)),
+                        pa.array(apart[chosen] & (not answered)), texts,
                     ],
-                    names=["anchor", "doc_id", "tag", "start", "n", "many", "answered", "text"],
+                    names=["anchor", "doc_id", "tag", "start", "n", "many", "answered", "hot", "text"],
                 )
 
 
@@ -204,10 +211,9 @@ def _each_window(batch, spec: Windows):
     )
 
 
-def _met(batches, spec: Windows, method: Callable, group: int):
-    """Pieces come in order of anchor; whole anchors are handed to ``method``."""
+def _met(batches, spec: Windows, method: Callable):
+    """Pieces come in order of anchor; whole anchors are handed to ``method``, hot ones taken apart."""
     held: list[pa.RecordBatch] = []
-    held_bytes, wide = 0, None  # the anchor whose windows go one by one
 
     def judged():
         if held:
@@ -217,21 +223,15 @@ def _met(batches, spec: Windows, method: Callable, group: int):
                 yield _spans(*out)
 
     for whole in batches:
-        answered = whole.column("answered").to_numpy(zero_copy_only=False)
+        answered, hot = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("answered", "hot"))
         if answered.any():
             c = _columns(whole.filter(pa.array(answered)))
             yield _spans(c["doc_id"], c["tag"], c["start"], c["start"] + c["n"] + spec.window - 1)
-            whole = whole.filter(pa.array(~answered))
-        for batch in chunked([whole], "text", TOGETHER):
+        if hot.any():
+            for part in chunked([whole.filter(pa.array(hot))], "text", TOGETHER):
+                yield _each_window(part, spec)
+        for batch in chunked([whole.filter(pa.array(~(answered | hot)))], "text", TOGETHER):
             anchor = batch.column("anchor").to_numpy(zero_copy_only=False)
-            if wide is not None:
-                stop = int(np.searchsorted(anchor, wide, "right"))
-                if stop:
-                    yield _each_window(batch.slice(0, stop), spec)
-                    batch, anchor = batch.slice(stop), anchor[stop:]
-                if not len(anchor):
-                    continue
-                wide = None
             last = int(np.searchsorted(anchor, anchor[-1]))
             if last or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
                 if last:
@@ -239,11 +239,6 @@ def _met(batches, spec: Windows, method: Callable, group: int):
                 yield from judged()
                 held, batch = [], batch.slice(last)
             held.append(batch)
-            if sum(len(x) for x in held) > group and held[0].column("anchor")[0].as_py() == anchor[-1]:
-                wide = anchor[-1]
-                for part in held:
-                    yield _each_window(part, spec)
-                held = []
     yield from judged()
 
 
@@ -252,15 +247,21 @@ def repeated_spans(docs: DataFrame, spec: Windows, method: Callable, earliest: b
 
     With ``earliest`` a window counts unless it is the first of its kind by doc_id and
     start; else every window that occurs twice counts. ``method(batch, columns, spec)``
-    gets whole anchors' pieces and returns (doc_id, tag, start, end) of what it finds.
+    gets whole anchors' pieces and returns (doc_id, tag, start, end) of what it finds;
+    anchors that occur more than ``group`` times are left to Spark, with the same result.
     """
     docs = _keyed(docs)
     anchors = written(docs.mapInArrow(lambda b: _anchors(b, spec), _ANCHORS), "anchors")
-    repeated = written(anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "repeated")
-    wanted = anchors.join(repeated, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    repeated = written(
+        anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > group).alias("hot")),
+        "repeated",
+    )
+    wanted = anchors.join(repeated, "anchor").groupBy("doc_id").agg(
+        F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
+    )
     pieces = docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _pieces(b, spec, earliest), _PIECES)
     met = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    found = written(met.mapInArrow(lambda b: _met(b, spec, method, group), _FOUND), "repeats")
+    found = written(met.mapInArrow(lambda b: _met(b, spec, method), _FOUND), "repeats")
     spans = found.where("a is null").select("doc_id", "tag", "start", "end")
     wide = found.where("a is not null")
     key = ["a", "b"]
