@@ -93,10 +93,10 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in COMPUTED:
         table, keys, text = COMPUTED[name]
         # the keys are dealt out, not the texts made from them
-        rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*keys))
+        rows = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*keys), "auto")
         return rows.selectExpr("doc_id", f"{text} AS text")
     table, column, keep = TABLES[name]
-    return text_table(spark, f"{sf_dir}/{table}.parquet", column, keep)
+    return text_table(spark, f"{sf_dir}/{table}.parquet", column, keep, partitions="auto")
 
 
 def texts_sql(name: str) -> str:

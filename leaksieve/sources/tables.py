@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, partitions: int | str | None = "auto") -> DataFrame:
-    """Deal rows out evenly when the input has too few splits to keep the cores busy.
-
-    ``auto`` acts only on an input with fewer splits than twice the cores, so the
-    exchange it adds never moves more than two splits per core; a large table has
-    more splits than that and is left as it is. Rows are dealt one by one, not by
-    key, so no key can overload a task. ``None`` never acts, a number always does, on a
-    stream for each batch; ``auto`` leaves streams as they are.
+def spread(df: DataFrame, partitions: int | str | None = None) -> DataFrame:
+    """Deal rows out evenly, one by one and not by key, so that no key can overload a task.
+
+    ``None``, the default, leaves the input as it is. A number adds an exchange of whole
+    rows into so many partitions, on a stream for each batch. ``auto`` is for small
+    tables in one file: it adds that exchange, into twice as many partitions as there are
+    cores, where the input has fewer splits than that, and leaves streams as they are. It
+    counts splits, not row groups: a file of one row group may be split on paper while a
+    single split holds all rows, so for files of few large row groups give a number.
     """
     if partitions is None or (df.isStreaming and partitions == "auto"):
         return df
@@ -31,9 +32,12 @@ def text_table(
     text: str = "text",
     keep: Sequence[str] = (),
     format: str = "parquet",
-    partitions: int | str | None = "auto",
+    partitions: int | str | None = None,
 ) -> DataFrame:
-    """Read only the ``keep`` columns and the text (renamed ``text``) of a table."""
+    """Read only the ``keep`` columns and the text (renamed ``text``) of a table.
+
+    ``partitions`` is that of ``spread``; as it is by default, nothing is shuffled.
+    """
     table = spark.read.format(format).load(path).select(*keep, F.col(text).alias("text"))
     return spread(table, partitions)
 

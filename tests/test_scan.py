@@ -195,12 +195,13 @@ def test_filters_on_kept_columns_reach_the_scan(spark):
 def test_spread(spark):
     small = documents(spark)
     cores = spark.sparkContext.defaultParallelism
-    assert spread(small).rdd.getNumPartitions() == 2 * cores
+    assert spread(small, "auto").rdd.getNumPartitions() == 2 * cores
     wide = spark.range(0, 1000, 1, 4 * cores)
-    assert spread(wide).rdd.getNumPartitions() == 4 * cores  # enough splits: left alone
+    assert spread(wide, "auto").rdd.getNumPartitions() == 4 * cores  # enough splits: left alone
     assert spread(wide, 3).rdd.getNumPartitions() == 3
-    assert spread(small, None).rdd.getNumPartitions() == small.rdd.getNumPartitions()
-    assert spread(small).count() == small.count()
+    assert spread(small).rdd.getNumPartitions() == small.rdd.getNumPartitions()
+    assert "Exchange" not in plan_of(scan(text_table(spark, f"{DATA}/documents.parquet")))
+    assert spread(small, "auto").count() == small.count()
 
 
 def test_bad_arguments(spark):
