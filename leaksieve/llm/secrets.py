@@ -16,8 +16,11 @@ ASSIGN = (
 #: Runs of at least the length that counts; shorter runs are dropped, and no start inside a run finds a longer one.
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-#: Runs of the characters of base64, its URL form, base32 and hex.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs of the characters of base64, its URL form, base32, base36 and hex, with the padding that ends them;
+#: an equals sign inside a run ends it, as in name=key.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?+"
+#: What is tried of a run besides the whole: what stands between slashes, and between any signs.
+PARTS = (r"[A-Za-z0-9+_-]{20,}+=*+", r"[A-Za-z0-9]{20,}+=*+")
 KINDS = ("assign", "access", "hex", "random")
 #: Share of false finds among the tokens reported as random.
 FALSE_DISCOVERIES = 0.001
@@ -28,7 +31,9 @@ REJECT = 0.001
 # that upper case, lower case, digits and signs change from one character to the next.
 _ALIKE, _HEX_LETTER, _CHANGE = 0.066, 0.3, 0.4
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-_ALPHABETS = {"hex": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "base64": _UPPER + _LOWER + _DIGITS + "+/"}
+_ALPHABETS = {
+    "hex": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "base36": _UPPER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/"
+}
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -83,13 +88,14 @@ def _battery(token: Column, encoding: str) -> Column:
     """
     alphabet = _ALPHABETS[encoding]
     size = len(alphabet)
-    text = F.upper(token) if encoding == "hex" else F.translate(F.rtrim(token, F.lit("=")), "-_", "+/")
+    bare = F.rtrim(token, F.lit("="))
+    text = F.translate(bare, "-_", "+/") if encoding == "base64" else F.upper(bare)
     number = F.filter(
         F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c) - 1), lambda x: x >= 0
     )
 
     def kind(v: Column) -> Column:
-        if size == 32:
+        if size in (32, 36):
             return F.when(v < 26, 0).otherwise(2)
         return F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
 
@@ -138,15 +144,42 @@ def _judged(token: Column) -> Column:
     """The battery under the encoding inferred from the characters; null if none is likely."""
     digit, letter = token.rlike("[0-9]"), token.rlike("[A-Za-z]")
     is_hex = token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & letter
-    is_32 = token.rlike("^[A-Z2-7]+=*$") & digit & letter
+    is_32 = token.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$") & digit & letter
+    is_36 = token.rlike("^([A-Z0-9]+|[a-z0-9]+)$") & digit & letter
     is_64 = token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$") & digit & token.rlike("[a-z]") & token.rlike("[A-Z]")
     return (
         F.when(is_hex, _battery(token, "hex"))
         .when(is_32, _battery(token, "base32"))
+        .when(is_36, _battery(token, "base36"))
         .when(is_64, _battery(token, "base64"))
     )
 
 
+def _tried(span: Column, run: Column) -> Column:
+    """A run and its parts that are long enough, each with its place and its characters."""
+    tried = F.array(F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), run.alias("token")))
+    for pattern in PARTS:
+        parts = _places(run, F.regexp_extract_all(run, F.lit(pattern), F.lit(0)), pattern, KINDS.index("random"))
+        tried = F.concat(
+            tried,
+            F.transform(
+                parts,
+                lambda p: F.struct(
+                    (span["start"] + p["start"]).alias("start"),
+                    p["kind"].alias("kind"),
+                    (span["start"] + p["end"]).alias("end"),
+                    F.substring(run, p["start"] + 1, p["end"] - p["start"]).alias("token"),
+                ),
+            ),
+        )
+    return F.array_distinct(tried)
+
+
+def _inside(a: Column, b: Column) -> Column:
+    """Whether ``a`` lies within ``b`` and is shorter."""
+    return (a["start"] >= b["start"]) & (a["end"] <= b["end"]) & (a["end"] - a["start"] < b["end"] - b["start"])
+
+
 def _controlled(judged: Column, alpha: float) -> Column:
     """Benjamini-Hochberg over a document's tokens: the chance up to which finds are kept."""
     chances = F.array_sort(F.transform(judged, lambda j: F.when(j["random"], j["chance"]).otherwise(1.0)))
@@ -164,10 +197,10 @@ def secret_spans(
     ``spans`` (or ``name``) holds structs of start, kind (a number in ``KINDS``) and end in code points,
     end exclusive, in order of start, kind, end. Kinds ``assign``, ``access`` and ``hex``
     are the leftmost non-overlapping matches of their patterns. Kind ``random`` has
-    further tokens of 20 or more characters, apart from those matches, that no test of
-    the battery finds other than random, and whose chance of being ordinary text passes
+    further tokens of 20 or more characters, whole runs and their parts between signs, apart
+    from those matches, that no test of the battery finds other than random, and whose chance of being ordinary text passes
     false-discovery control within the document; chances fall with length, so short
-    tokens must look better. A null or empty text has no spans. No shuffle, no Python.
+    tokens must look better. Of a run and its parts the likeliest are reported, none inside another. A null or empty text has no spans. No shuffle, no Python.
     """
     kept_as = {f"_k{i}": c for i, c in enumerate(keep)}  # their own names may clash with ours
     own = docs.select(
@@ -199,9 +232,8 @@ def secret_spans(
         F.filter(F.transform(F.arrays_zip(all_of[0].alias("s"), long_enough.alias("ok")), lambda z: F.when(z["ok"], z["s"])), lambda s: s.isNotNull()).alias("assign"),
         all_of[1].alias("access"),
         all_of[2].alias("hex"),
-        all_of[3].alias("random"),
-        F.transform("_random", _judged).alias("judged"),
-    )
+        F.flatten(F.transform(F.arrays_zip(all_of[3].alias("s"), F.col("_random").alias("t")), lambda z: _tried(z["s"], z["t"]))).alias("random"),
+    ).withColumn("judged", F.transform("random", lambda r: _judged(r["token"])))
     base = placed.select("doc_id", "text", *rest, F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "random", "judged")
     apart = F.filter(
         F.arrays_zip("random", "judged"),
@@ -211,14 +243,23 @@ def secret_spans(
     judged = candidates.select(
         "*", F.when(F.size("apart") > 0, _controlled(F.transform("apart", lambda z: z["judged"]), alpha)).alias("limit")
     )
+    good = F.filter("apart", lambda z: z["judged"]["random"] & (z["judged"]["chance"] <= F.col("limit")))
+    judged = judged.withColumn("good", F.when(F.col("limit") >= 0, good))
+    # a run goes where a part of it is likelier, then parts go inside what is left
+    likelier = F.filter(
+        "good",
+        lambda z: ~F.exists("good", lambda o: _inside(o["random"], z["random"]) & (o["judged"]["chance"] < z["judged"]["chance"])),
+    )
+    judged = judged.withColumn("good", F.when(F.size("good") > 0, likelier))
     kept = F.transform(
-        F.filter("apart", lambda z: z["judged"]["random"] & (z["judged"]["chance"] <= F.col("limit"))), lambda z: z["random"]
+        F.filter("good", lambda z: ~F.exists("good", lambda o: _inside(z["random"], o["random"]))),
+        lambda z: F.struct(*[z["random"][f].alias(f) for f in ("start", "kind", "end")]),
     )
     return judged.select(
         "doc_id",
         "text",
         *[F.col(k).alias(c) for k, c in kept_as.items()],
-        F.when(F.col("limit") >= 0, F.array_sort(F.concat("base", kept))).otherwise(F.col("base")).alias(name),
+        F.when(F.size("good") > 0, F.array_sort(F.concat("base", kept))).otherwise(F.col("base")).alias(name),
     )
 
 

@@ -206,6 +206,31 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not found - set(range(60))
 
 
+def test_random_keys_behind_names_and_in_paths(spark):
+    rng = random.Random(11)
+    key = lambda n, alphabet: "".join(rng.choice(alphabet) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed = upper + lower + digits
+    forms = [
+        ("AWS_SECRET_ACCESS_KEY=", mixed + "+/", 40, " x"), ("https://a.example/cb?code=", mixed, 40, "&state=1"),
+        ("?sig=", mixed, 44, ""), ("AccountKey=", mixed + "+/", 86, "=="), ("https://hooks.example.com/services/T0AB_C/", mixed, 40, "/x y"),
+        ("key is ", lower + digits, 40, "."), ("seed ", lower + "234567", 40, "\n"), ("/b/key-", lower + digits, 40, "/"),
+    ]
+    rows, places = [], []
+    for before, alphabet, n, after in forms:
+        for _ in range(10):
+            k = key(n, alphabet)
+            places.append((len(before), len(before) + n))
+            rows.append((len(rows), before + k + after))
+    got = by_id(secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    for form in range(len(forms)):
+        hit = [any(s.kind == 3 and s.start <= places[i][0] and s.end >= places[i][1] for s in got[i].spans) for i in range(form * 10, form * 10 + 10)]
+        assert sum(hit) >= 8, forms[form][0]
+    for r in got.values():  # nothing twice
+        found = [s for s in r.spans if s.kind == 3]
+        assert all(a.end <= b.start for a, b in zip(found, found[1:]))
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, f"a password=hunter22 b {RANDOM} c"), (2, "clean \U0001f600"), (3, None)], "doc_id long, text string")
     from pyspark.sql import functions as F
