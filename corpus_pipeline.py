@@ -47,7 +47,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = _given(spark, docs, sf_dir)
     columns = docs.columns
     name = "_spans" + "_" * max(map(len, columns))
-    found = secrets.secret_spans(docs, keep=[c for c in columns if c not in ("doc_id", "text")], name=name)
+    found = secrets.secret_spans(docs, keep=[c for c in columns if c not in ("doc_id", "text")], name=name, rare=secrets.letters(docs))
     done = found.withColumn("text", secrets.masked(F.col("text"), F.col(name)))
     if "n_chars" in columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)

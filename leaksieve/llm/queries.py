@@ -54,7 +54,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secret_spans(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
+    found = secrets.secret_spans(docs, rare=secrets.letters(docs))
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(
         "doc_id",

@@ -5,6 +5,7 @@ Everything is built from Spark's own functions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,14 +28,25 @@ FALSE_DISCOVERIES = 0.001
 #: A test that random text fails less often than this speaks against randomness.
 REJECT = 0.001
 
-# Chance in ordinary text that two letters are alike, that one is also a hex digit, and
-# that upper case, lower case, digits and signs change from one character to the next.
-_ALIKE, _HEX_LETTER, _CHANGE = 0.066, 0.3, 0.4
+# Chance in ordinary text, set high, that upper case, lower case, digits and signs change from
+# one character to the next.
+_CHANGE = 0.4
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALPHABETS = {
     "hex": _DIGITS + "ABCDEF", "base32": _UPPER + "234567", "base36": _UPPER + _DIGITS, "base64": _UPPER + _LOWER + _DIGITS + "+/"
 }
 
+# How rare each letter is after a, b, ..., z and as the first of a word: quarter nats, a to z for
+# 0 to 25. Counted in the help texts that come with Python (pydoc_data.topics).
+_ENGLISH = (
+    "zomqzxtzozuilhzrzijhqszvrz lzqwgzzznhzizzmuzpqyizzzjz jzpzhzzknzojzzhyzoxhmzzzzz orzndzzzgzzqzzmzzzlulzzzrz "
+    "ovkjqnuyvzzonizorhilzrulrz lzzzlnzzgzzozzfyzkzoizzztz nyxzezpmjzzltjtyzmloizzzzz hzzzczzzkzzzxzjzzsztzzzzzz "
+    "qpmqpmqzzzxnofiszriizqzxzu vzuzazzzzzzzzzuzzzzzozzzzz pzvzczrzkzzvzszmzrlzozqzzz izzogpzzjzzizzkyzzmnlywzlz "
+    "hnzzdzzznzzzozkizzptnzzzyz kzkijwizpzzrtrkzzzkhpszzsz wmplvkwzuzvpmfrnzhplmrpzzz izzsgzzwozzjzzkmzhujtzzzoz "
+    "zzzzzzzzzzzzzzzzzzzzazzzzz ixtpfxnzizzyonkuznlnpzvzoz qzozfzzojzyrzznmzziglzzzqz kzvzhzzfizzuxzlzzlmopzwznz "
+    "moosjwpzmzzjlixmzkiizzzzzz ezzzdzzzizzzvzozzzzzzzzzzz kzzzkzzgezztzpjzzppzzzyzzz kzfzhzzylzzzzztfzztjzzzsvz "
+    "zxrzrzzzlzzvsjoezzjhzxlzzz jzzzcrzzjzzzzzrzzzvzzzzzoz jnlnnmssjzuponkozokirrozyz"
+)
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -77,14 +89,47 @@ def _both_tails(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * _tail(F.abs(z)))
 
 
-def _battery(token: Column, encoding: str) -> Column:
+#: How many letters of a row of the fixed counts weigh against those of a corpus, and the share of
+#: any letter after any other, which bounds what a rare pair says.
+_FIXED, _ANY = 200.0, 0.1
+
+
+def _rarities(pairs: dict[tuple[str, str], int]) -> list[str]:
+    """As ``_ENGLISH``, in eighths of a nat from ``!``, for counts of (letter or nothing, next letter)."""
+    out = []
+    for before, fixed in zip([*_LOWER, ""], _ENGLISH.split()):
+        shares = [math.exp(-(ord(c) - ord("a")) / 4) for c in fixed]
+        counts = [pairs.get((before, c), 0) + _FIXED * share / sum(shares) for c, share in zip(_LOWER, shares)]
+        out.append("".join(chr(33 + round(-8 * math.log((1 - _ANY) * n / sum(counts) + _ANY / 26))) for n in counts))
+    return out
+
+
+def letters(docs: DataFrame) -> list[str]:
+    """How rare each letter is after each other one in the words of ``text``, for ``secret_spans``.
+
+    Words are runs of two or more ASCII letters with no digit or sign of an encoding beside
+    them. Counted by Spark; 702 numbers at most are collected. A corpus with few words changes little.
+    """
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9+/_=-]+"), lambda w: w.rlike("^[a-z]{2,}$"))
+    counted = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    steps = F.transform(
+        F.sequence(F.lit(1), F.length("w")),
+        lambda i: F.struct(F.when(i > 1, F.substring("w", i - 1, F.lit(1))).otherwise("").alias("a"), F.substring("w", i, F.lit(1)).alias("b")),
+    )
+    pairs = counted.select("n", F.explode(steps).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+    return _rarities({(r["a"], r["b"]): r["n"] for r in pairs.collect()})
+
+
+def _battery(token: Column, encoding: str, rare: Sequence[str]) -> Column:
     """``random``: no test rejects randomness; ``chance``: that ordinary text looks as random.
 
     Three tests on the symbols' numbers in the alphabet: chi-squared against equal
     shares (with the variance that holds at this length), runs above and below the
-    middle, and serial correlation. The chance comes from the number of equal pairs (in any
-    case) and of changes between kinds of characters, for hex from the letters that happen to be
-    hex digits; it falls with the length.
+    middle, and serial correlation. The chance is the likelihood of the characters as
+    ordinary text over that as random ones, which bounds it (Markov's inequality). In ordinary
+    text letters follow letters as in ``rare``, in any case, digits and signs are equally
+    likely, and kinds of characters change at a fixed rate. Both likelihoods are products over
+    the characters, so the chance of random ones falls with the length.
     """
     alphabet = _ALPHABETS[encoding]
     size = len(alphabet)
@@ -95,24 +140,32 @@ def _battery(token: Column, encoding: str) -> Column:
     )
 
     def kind(v: Column) -> Column:
-        if size in (32, 36):
+        if size == 16:
+            return F.when(v < 10, 2).otherwise(0)
+        if size < 64:
             return F.when(v < 26, 0).otherwise(2)
         return F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
 
-    def rarity(rate: Column) -> Column:
-        """How far a rate of changes lies above the ordinary one, in nats a character."""
-        bounded = F.array(F.greatest(F.lit(_CHANGE), F.least(rate, F.lit(0.999))))
-        return F.get(
-            F.transform(bounded, lambda r: r * F.ln(r / _CHANGE) + (1 - r) * F.ln((1 - r) / (1 - _CHANGE))), F.lit(0)
-        )
+    rows = F.array(*[F.lit(r) for r in rare])
+    turn = math.log((3 if size == 64 else 1) / _CHANGE)
+
+    def letter(v: Column) -> Column:
+        """0 to 25, or 26 for what is no letter."""
+        if size == 64:
+            return F.when(v < 52, v % 26).otherwise(26)
+        if size == 16:
+            return F.when(v >= 10, v - 10).otherwise(26)
+        return F.when(v < 26, v).otherwise(26)
+
+    def symbol(before: Column, v: Column) -> Column:
+        """Nats of a character in ordinary text, given that of which kind it is."""
+        after = F.ascii(F.substring(F.get(rows, before), letter(v) + 1, F.lit(1))) - 33
+        return F.when(letter(v) < 26, after / 8.0).when(kind(v) == 3, math.log(2)).otherwise(math.log(10))
 
     def judged(x: Column) -> Column:
         n = F.size(x).cast("double")
         counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(x, lambda v: v == i)))
         squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-        folded = F.transform(x, lambda v: F.when(v.between(26, 51), v - 26).otherwise(v)) if size == 64 else x
-        alike = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(folded, lambda v: v == i)))
-        equal_pairs = F.aggregate(alike, F.lit(0.0), lambda a, c: a + c * (c - 1) / 2)
         chi = size * squares / n - n
         z_chi = (chi - (size - 1)) / F.sqrt(2.0 * (size - 1) * (n - 1) / n)
         high = F.transform(x, lambda v: (v >= size // 2).cast("int"))
@@ -125,14 +178,13 @@ def _battery(token: Column, encoding: str) -> Column:
         mid = (size - 1) / 2
         lagged = F.aggregate(follow, F.lit(0.0), lambda a, p: a + (p["a"] - mid) * (p["b"] - mid))
         z_serial = lagged / ((size * size - 1) / 12) / F.sqrt(n - 1)
-        expected = n * (n - 1) / 2 * _ALIKE
-        z_alike = (expected - equal_pairs) / F.sqrt(expected)
-        if encoding == "hex":
-            letters = F.size(F.filter(x, lambda v: v >= 10)).cast("double")
-            chance = F.pow(F.lit(_HEX_LETTER), letters)
-        else:
-            changes = F.size(F.filter(follow, lambda p: kind(p["a"]) != kind(p["b"])))
-            chance = _tail(z_alike) * F.exp(-(n - 1) * rarity(changes / (n - 1)))
+        first = F.get(x, F.lit(0))
+        ordinary = F.aggregate(
+            follow,
+            F.lit(math.log(4 if size == 64 else 2)) + symbol(F.lit(26), first),
+            lambda a, p: a + symbol(letter(p["a"]), p["b"]) + F.when(kind(p["a"]) != kind(p["b"]), turn).otherwise(-math.log(1 - _CHANGE)),
+        )
+        chance = F.least(F.lit(1.0), F.exp(n * math.log(size) - ordinary))
         passed = (_tail(z_chi) >= REJECT) & (_both_tails(z_runs) >= REJECT) & (_both_tails(z_serial) >= REJECT)
         return F.struct((passed & (n >= 20)).alias("random"), chance.alias("chance"))
 
@@ -140,18 +192,18 @@ def _battery(token: Column, encoding: str) -> Column:
     return F.element_at(F.transform(F.array(number), judged), 1)
 
 
-def _judged(token: Column) -> Column:
+def _judged(token: Column, rare: Sequence[str]) -> Column:
     """The battery under the encoding inferred from the characters; null if none is likely."""
     digit, letter = token.rlike("[0-9]"), token.rlike("[A-Za-z]")
     is_hex = token.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & letter
     is_32 = token.rlike("^([A-Z2-7]+|[a-z2-7]+)=*$") & digit & letter
     is_36 = token.rlike("^([A-Z0-9]+|[a-z0-9]+)$") & digit & letter
-    is_64 = token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$") & digit & token.rlike("[a-z]") & token.rlike("[A-Z]")
+    is_64 = token.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$") & token.rlike("[a-z]") & token.rlike("[A-Z]")
     return (
-        F.when(is_hex, _battery(token, "hex"))
-        .when(is_32, _battery(token, "base32"))
-        .when(is_36, _battery(token, "base36"))
-        .when(is_64, _battery(token, "base64"))
+        F.when(is_hex, _battery(token, "hex", rare))
+        .when(is_32, _battery(token, "base32", rare))
+        .when(is_36, _battery(token, "base36", rare))
+        .when(is_64, _battery(token, "base64", rare))
     )
 
 
@@ -190,7 +242,11 @@ def _controlled(judged: Column, alpha: float) -> Column:
 
 
 def secret_spans(
-    docs: DataFrame, alpha: float = FALSE_DISCOVERIES, keep: Sequence[str] = (), name: str = "spans"
+    docs: DataFrame,
+    alpha: float = FALSE_DISCOVERIES,
+    keep: Sequence[str] = (),
+    name: str = "spans",
+    rare: Sequence[str] | None = None,
 ) -> DataFrame:
     """``doc_id, text, spans`` for every row: the secrets of each text, beside the ``keep`` columns.
 
@@ -200,8 +256,10 @@ def secret_spans(
     further tokens of 20 or more characters, whole runs and their parts between signs, apart
     from those matches, that no test of the battery finds other than random, and whose chance of being ordinary text passes
     false-discovery control within the document; chances fall with length, so short
-    tokens must look better. Of a run and its parts the likeliest are reported, none inside another. A null or empty text has no spans. No shuffle, no Python.
+    tokens must look better. What is ordinary follows ``rare``, from ``letters`` of a corpus; by
+    default it is English. Of a run and its parts the likeliest are reported, none inside another. A null or empty text has no spans. No shuffle, no Python.
     """
+    rare = _rarities({}) if rare is None else rare
     kept_as = {f"_k{i}": c for i, c in enumerate(keep)}  # their own names may clash with ours
     own = docs.select(
         F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in kept_as.items()]
@@ -233,7 +291,7 @@ def secret_spans(
         all_of[1].alias("access"),
         all_of[2].alias("hex"),
         F.flatten(F.transform(F.arrays_zip(all_of[3].alias("s"), F.col("_random").alias("t")), lambda z: _tried(z["s"], z["t"]))).alias("random"),
-    ).withColumn("judged", F.transform("random", lambda r: _judged(r["token"])))
+    ).withColumn("judged", F.transform("random", lambda r: _judged(r["token"], rare)))
     base = placed.select("doc_id", "text", *rest, F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "random", "judged")
     apart = F.filter(
         F.arrays_zip("random", "judged"),

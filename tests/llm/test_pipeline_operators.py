@@ -231,6 +231,41 @@ def test_random_keys_behind_names_and_in_paths(spark):
         assert all(a.end <= b.start for a, b in zip(found, found[1:]))
 
 
+#: Least share of random base62 keys that is found, by length: alone, and with 19 ordinary tokens beside them.
+RECALL = {20: (0.93, 0.85), 22: (0.94, 0.9), 24: (0.94, 0.92), 28: (0.95, 0.95), 32: (0.95, 0.95), 40: (0.95, 0.95)}
+
+
+def test_recall_by_length(spark):
+    rng = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "internal service client factory Handler Config Stream buffer Context Response message parser network Default".split()
+    name = lambda: "".join(rng.choice(words).capitalize() for _ in range(4)) + str(rng.randrange(10))
+    rows, of = [], {}
+    for n in RECALL:
+        for i in range(500):
+            k = "".join(rng.choice(alphabet) for _ in range(n))
+            others = [name() for _ in range(19 * (i % 2))]
+            of[len(rows)] = n, i % 2, " ".join(others).count("") - 1
+            rows.append((len(rows), " ".join([*others, k])))
+    got = by_id(secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)))
+    hits = {}
+    for i, (n, crowd, before) in of.items():
+        spans = [(s.start, s.end) for s in got[i].spans if s.kind == 3]
+        start = before + crowd
+        assert not [s for s in spans if s[0] < start]  # no name is taken for a key
+        hits.setdefault((n, crowd), []).append((start, start + n) in spans)
+    recall = {k: sum(v) / len(v) for k, v in hits.items()}
+    print(recall)
+    for n, least in RECALL.items():
+        assert recall[n, 0] >= least[0] and recall[n, 1] >= least[1], recall
+
+
+def test_letters_of_a_corpus(spark):
+    docs = spark.createDataFrame([(i, "qzqz Qzqz qz4 " * 500) for i in range(4)] + [(9, None), (10, "")], "doc_id long, text string")
+    rare, fixed = secrets.letters(docs), secrets.letters(docs.limit(0))
+    assert len(rare) == 27 and all(len(r) == 26 for r in rare) and rare[16][25] < fixed[16][25] and rare[0] == fixed[0]
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, f"a password=hunter22 b {RANDOM} c"), (2, "clean \U0001f600"), (3, None)], "doc_id long, text string")
     from pyspark.sql import functions as F
