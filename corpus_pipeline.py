@@ -19,27 +19,33 @@ def language(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFr
     """
     docs = _given(spark, docs, sf_dir)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    rejected = langid.identify(docs, model).where(F.col("lang_pred") == langid.UNDETERMINED).select("doc_id")
-    return _without(docs, rejected)
+    return _without(docs, langid.identify(docs, model, tagged=True).where(F.col("lang_pred") == langid.UNDETERMINED))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.
+    """One row of each group of near duplicates: the first by doc_id, then by the hash of the text.
 
-    Rows that repeat a doc_id count as one document. Documents without a doc_id stay.
+    Rows without a doc_id come last. Of rows alike in both the one with the least hash over all
+    columns stays, so running a task again changes nothing.
     """
     docs = _given(spark, docs, sf_dir)
-    found = simhash.near_duplicates(docs)
-    kept = _without(docs, found.where(F.col("component_id") != F.col("doc_id")).select("doc_id"))
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    id_, row = (c + "_" * max(map(len, docs.columns)) for c in ("_id", "_row"))
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    digest = F.xxhash64(rest, "text")
+    first = simhash.first_rows(docs, digest)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    kept = written(first.select(key.alias(id_), F.col("row").alias(row)), "pipeline-first-rows")
+    # rows alike in every column are one before they meet, so a group of them is no burden
+    once = docs.withColumn(id_, key).withColumn(row, digest).dropDuplicates([id_, row])
+    return once.join(kept, [id_, row], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages, or with less than a twentieth of their words in them."""
     docs = _given(spark, docs, sf_dir)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    verdict = decontaminate.contamination(decontaminate.benchmark_hits(docs, benchmark))
-    return _without(docs, verdict.where("contaminated").select("doc_id"))
+    hits = decontaminate.benchmark_hits(docs, benchmark, tagged=True)
+    return _without(docs, decontaminate.contamination(hits).where("contaminated"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +84,10 @@ def _given(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFram
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id is not among the rejected; those without an id stay."""
-    gone = rejected.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows that are not among the rejected, by doc_id (none too) and ``tag``, the hash of the text."""
+    gone = rejected.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_tag"])
+    return docs.join(gone, same, "left_anti")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def _blocks(benchmark: DataFrame, limit: int):
 
 
 def benchmark_hits(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, tagged: bool = False
 ) -> DataFrame:
     """The test phrases in each document: ``doc_id, n_words, spans, items``.
 
@@ -146,7 +146,7 @@ def benchmark_hits(
     A null or empty text has no words and no spans; items without words match nothing;
     an item without an id marks words but is not listed. A row per input row comes back
     (with several blocks, rows alike in id and text come back as one). Other columns are
-    not looked at.
+    not looked at. With ``tagged`` a column ``tag``, the hash of the text, tells rows of one id apart.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tag"))
@@ -155,7 +155,7 @@ def benchmark_hits(
         phrases = spark.sparkContext.broadcast(Phrases(ids, texts, window))
         parts.append((lambda p: lambda batches: _scan(batches, p.value))(phrases))
     if len(parts) == 1:
-        return own.mapInArrow(parts[0], _OUT).drop("tag")
+        return own.mapInArrow(parts[0], _OUT).drop(*([] if tagged else ["tag"]))
     found = None
     for part in parts:
         tagged = own.mapInArrow(part, _OUT)
@@ -180,21 +180,23 @@ def benchmark_hits(
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return merged.withColumn("spans", joined).drop("tag")
+    return merged.withColumn("spans", joined).drop(*([] if tagged else ["tag"]))
 
 
 def contamination(hits: DataFrame) -> DataFrame:
-    """The figures of ``benchmark_hits`` and the verdict: a twentieth of the words or more is hit."""
+    """The figures of ``benchmark_hits`` and the verdict: a twentieth of the words or more is hit; a ``tag`` is kept."""
+    tag = [c for c in hits.columns if c == "tag"]
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return hits.select(
         "doc_id",
+        *tag,
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         "spans",
     ).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256",
+        "doc_id", *tag, "n_words", "n_hit", "n_items", "items_sha256",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "spans",
     )

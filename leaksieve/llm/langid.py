@@ -155,8 +155,9 @@ def _identified(batches, model: LanguageModel, penalty: float, rounds: int):
                 pa.array([[{"lang": a, "share": b} for a, b in x] for x in shares], pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))),
                 pa.array(score),
                 batch.column("letters"),
+                batch.column("tag"),
             ],
-            names=["doc_id", "held_out", "languages", "score", "letters"],
+            names=["doc_id", "held_out", "languages", "score", "letters", "tag"],
         )
 
 
@@ -165,7 +166,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, rounds: int = ROUNDS) -> DataFrame:
+def identify(
+    docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, rounds: int = ROUNDS, tagged: bool = False
+) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, languages`` for every row of ``docs``.
 
     Words are the units of the mixture: expectation-maximisation on their trigram
@@ -174,7 +177,8 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, ro
     chosen with their shares. ``score`` is that share, or for a single language its
     odds against the next best one. A null text, one without a letter, or an empty
     model gives ``und``, score 0 and no languages. Only ``text`` is looked at. No shuffle; the model
-    is broadcast (256 KB for each language).
+    is broadcast (256 KB for each language). With ``tagged`` a column ``tag``, the hash of the
+    text, tells rows of one id apart.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(
@@ -182,10 +186,11 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, ro
         held_out(F.col("doc_id")).alias("held_out"),
         F.col("text").alias("text"),
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+        F.xxhash64("text").alias("tag"),
     )
     out = own.mapInArrow(
         lambda batches: _identified(batches, sent.value, penalty, rounds),
-        "doc_id long, held_out boolean, languages array<struct<lang:string,share:double>>, score double, letters boolean",
+        "doc_id long, held_out boolean, languages array<struct<lang:string,share:double>>, score double, letters boolean, tag long",
     )
     ok = F.col("letters") & (F.size("languages") > 0)
     return out.select(
@@ -194,4 +199,5 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = PENALTY, ro
         F.when(ok, F.get("languages", F.lit(0))["lang"]).otherwise(UNDETERMINED).alias("lang_pred"),
         F.when(ok, F.col("score")).otherwise(0.0).alias("score"),
         F.when(ok, F.col("languages")).otherwise(F.slice("languages", 1, 0)).alias("languages"),
+        *(["tag"] if tagged else []),
     )

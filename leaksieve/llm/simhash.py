@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, chunked, flat, written
@@ -23,6 +23,7 @@ MAX_BITS = 3
 SEED = 42
 
 _PRINTS = "doc_id long, fingerprint long"
+_KEYED_PRINTS = "doc_id long, tag long, row long, fingerprint long"
 
 
 def _fingerprint(words: list[bytes], shingle: int, seed: int) -> int:
@@ -40,13 +41,13 @@ def _fingerprint(words: list[bytes], shingle: int, seed: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
-def _prints(batches, shingle: int, seed: int):
+def _prints(batches, shingle: int, seed: int, keep=("doc_id",)):
     # bytes split at ASCII white space only, unlike text
     for batch in chunked(batches):
         data, offsets = flat(batch.column("text"))
         data = LOWER[data].tobytes()
         out = [_fingerprint(data[a:b].split(), shingle, seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.int64())], names=["doc_id", "fingerprint"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.int64())], names=[*keep, "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -177,6 +178,29 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.mapInArrow(lambda batches: _links(batches, max_bits), _LINKS).distinct()
 
 
+def _members(prints: DataFrame, order: Column, max_bits: int) -> DataFrame:
+    """``fingerprint, first, label``: the least ``order`` of each fingerprint, and its component's label."""
+    labels = min_labels(written(links(prints, max_bits), "simhash-links"))
+    first = prints.groupBy("fingerprint").agg(F.min(order).alias("first"))
+    return written(
+        first.join(labels, first["fingerprint"] == labels["id"], "left").select(
+            "fingerprint", "first", F.coalesce("label", "fingerprint").alias("label")
+        ),
+        "simhash-members",
+    )
+
+
+def first_rows(docs: DataFrame, row: Column, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """``doc_id, tag, row`` of the first row of each component: by doc_id, no id last, by the text's hash, by ``row``."""
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), row.alias("row"), F.col("text").alias("text")
+    )
+    keyed = own.mapInArrow(lambda batches: _prints(batches, shingle, SEED, ("doc_id", "tag", "row")), _KEYED_PRINTS)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "row")
+    first = _members(written(keyed, "simhash-fingerprints"), order, max_bits).groupBy("label").agg(F.min("first").alias("first"))
+    return first.select("first.doc_id", "first.tag", "first.row")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs``.
 
@@ -190,14 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     shared folder, so lost executors cost a stage at most.
     """
     prints = written(fingerprints(docs, shingle), "simhash-fingerprints")
-    labels = min_labels(written(links(prints, max_bits), "simhash-links"))
-    first = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    member = written(
-        first.join(labels, first["fingerprint"] == labels["id"], "left").select(
-            "fingerprint", "first", F.coalesce("label", "fingerprint").alias("label")
-        ),
-        "simhash-members",
-    )
+    member = _members(prints, F.col("doc_id"), max_bits)
     smallest = member.groupBy("label").agg(F.min("first").alias("component_id"))
     named = written(member.join(written(smallest, "simhash-smallest"), "label").select("fingerprint", "component_id"), "simhash-components")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")

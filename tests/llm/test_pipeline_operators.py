@@ -389,6 +389,25 @@ def test_simhash_odd_rows(spark):
 # --- the pipeline
 
 
+def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    words = EN.split()
+    text = lambda n=60: " ".join(rng.choice(words) for _ in range(n))
+    passage, copied, shared = text(30), text(), text()
+    rows = [(i, text(), "en") for i in range(20)]
+    rows += [(None, text(5) + " " + passage, "en"), (None, None, "en"), (None, "12 34", None), (None, copied, "en"), (None, copied, "en"), (None, rows[2][1], "en")]
+    rows += [(40, None, "en"), (40, shared, "en"), (41, passage, "en"), (41, text(), "en"), (42, text(), "en"), (42, text(), "en"), (42, shared, "en"), (42, shared, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = None
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    want = [*rows[:20], (None, copied, "en"), (40, shared, "en"), rows[29], rows[30], rows[31]]
+    assert sorted(map(str, map(tuple, docs.collect()))) == sorted(map(str, want))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
