@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunked, flat, ranges, word_hashes, word_spans
+from .common import LOWER, chunked, flat, ranges, word_hashes, word_spans, written
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -30,27 +30,21 @@ def _words(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Phrases:
-    """The different windows of a block of items, over the block's own vocabulary."""
-
-    def __init__(self, ids: list[str], texts: list[str | None], window: int):
-        hashes, first = _words(pa.array(texts, pa.string()))
+    """The different windows of a block, each with the ids of its items, over the block's own vocabulary."""
+
+    def __init__(self, windows: pa.Array, owners: pa.Array, window: int):
+        n = len(windows)
+        windows = windows.cast(pa.large_binary())
+        _, offsets, data = windows.buffers() if n else (None, bytes(8), b"")
+        offsets = np.frombuffer(offsets, np.int64)[windows.offset : windows.offset + n + 1]
+        hashes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+        self.lengths = np.diff(offsets) // 8
         self.vocabulary = np.unique(hashes)
-        symbols = np.searchsorted(self.vocabulary, hashes) + 1
-        rows, owners = [], []
-        for item in range(len(ids)):
-            words = symbols[first[item] : first[item + 1]]
-            for i in range(max(1, len(words) - window + 1) if len(words) else 0):
-                part = words[i : i + window]
-                rows.append(np.concatenate([np.zeros(window - len(part), np.int64), part]))
-                owners.append(item)
-        self.ids = ids
-        self.rows, inverse = (
-            np.unique(np.array(rows), axis=0, return_inverse=True) if rows else (np.zeros((0, window), np.int64), [])
-        )
-        self.lengths = (self.rows > 0).sum(axis=1)
-        self.owners = [set() for _ in self.rows]
-        for row, item in zip(np.ravel(inverse), owners):
-            self.owners[row].add(item)
+        self.rows = np.zeros((n, window), np.int64)
+        # shorter ones stand at the end of their row
+        at = np.arange(n) * window + window - self.lengths
+        self.rows.ravel()[ranges(at, self.lengths)] = np.searchsorted(self.vocabulary, hashes) + 1
+        self.owners = owners
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary, 0 for all others."""
@@ -101,7 +95,7 @@ def _scan(batches, phrases: Phrases):
         pairs = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, window]), axis=1)
         items: list[set] = [set() for _ in range(batch.num_rows)]
         for d, w in pairs.T:
-            items[d].update(phrases.owners[w])
+            items[d].update(phrases.owners[w].as_py())
         counts = np.bincount(doc, minlength=batch.num_rows)
         spans = pa.StructArray.from_arrays(
             [pa.array(opens - first[doc]), pa.array(closes - first[doc])], fields=list(_SPAN)
@@ -112,22 +106,36 @@ def _scan(batches, phrases: Phrases):
                 batch.column("tag"),
                 pa.array(np.diff(first)),
                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), spans),
-                pa.array([sorted(phrases.ids[i] for i in x if phrases.ids[i] is not None) for x in items], pa.list_(pa.string())),
+                pa.array([sorted(x) for x in items], pa.list_(pa.string())),
             ],
             names=["doc_id", "tag", "n_words", "spans", "items"],
         )
 
 
-def _blocks(benchmark: DataFrame, limit: int):
-    ids, texts, size = [], [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        ids.append(item)
-        texts.append(text)
-        size += len(text or "") + 1
-        if size >= limit:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    yield ids, texts
+_WINDOWS = "window binary, item string"
+
+
+def _windows(batches, window: int):
+    """Every window of every item, as the hashes of its words."""
+    for batch in chunked(batches, limit=1 << 16):
+        hashes, first = _words(batch.column("text"))
+        n = np.diff(first)
+        many = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+        item = np.repeat(np.arange(batch.num_rows), many)
+        starts = first[item] + ranges(np.zeros(batch.num_rows, np.int64), many)
+        sizes = np.minimum(window, first[item + 1] - starts)
+        data = hashes[ranges(starts, sizes)].astype(np.uint64).tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int64)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(item), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([found.cast(pa.binary()), batch.column("item").take(pa.array(item))], names=["window", "item"])
+
+
+def _counted(batches):
+    for batch in chunked(batches):
+        _, first = _words(batch.column("text"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("tag"), pa.array(np.diff(first))], names=["doc_id", "tag", "n_words"]
+        )
 
 
 def benchmark_hits(
@@ -139,28 +147,41 @@ def benchmark_hits(
     ``spans`` are the merged runs of words inside any occurrence, as word numbers, end
     exclusive; ``items`` the ids of the items found, in order. Documents are cut into
     shards of about 1 MB; each shard's FM-index is searched for all phrases at once, and
-    occurrences are located by sampled suffix positions. Items go out in blocks of
-    ``block_bytes``, so what a task holds is bounded; a second block costs a second pass
-    and a merge by document.
+    occurrences are located by sampled suffix positions. The different phrases are made by
+    Spark tasks and go out in blocks, one for each ``block_bytes`` of items, so what the driver
+    and a task hold is bounded; a further block costs a further pass, whose hits are written
+    before the next block is made, and a join to the rows.
 
     A null or empty text has no words and no spans; items without words match nothing;
-    an item without an id marks words but is not listed. A row per input row comes back
-    (with several blocks, rows alike in id and text come back as one). Other columns are
-    not looked at. With ``tagged`` a column ``tag``, the hash of the text, tells rows of one id apart.
+    an item without an id marks words but is not listed. A row per input row comes back,
+    whatever the number of blocks. Other columns are not looked at. With ``tagged`` a column ``tag``, the hash of the text, tells rows of one id apart.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tag"))
-    parts = []
-    for ids, texts in _blocks(benchmark, block_bytes):
-        phrases = spark.sparkContext.broadcast(Phrases(ids, texts, window))
-        parts.append((lambda p: lambda batches: _scan(batches, p.value))(phrases))
-    if len(parts) == 1:
-        return own.mapInArrow(parts[0], _OUT).drop(*([] if tagged else ["tag"]))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
+    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
+    distinct = items.mapInArrow(lambda batches: _windows(batches, window), _WINDOWS).groupBy("window").agg(F.collect_set("item").alias("items"))
+    phrases = written(distinct.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks))), "benchmark-windows")
+
+    def sent(block: int):
+        table = phrases.where(F.col("block") == block).toArrow()
+        return spark.sparkContext.broadcast(Phrases(table.column("window").combine_chunks(), table.column("items").combine_chunks(), window))
+
+    def scanned(block) -> DataFrame:
+        return own.mapInArrow(lambda batches: _scan(batches, block.value), _OUT)
+
+    if n_blocks == 1:
+        return scanned(sent(0)).drop(*([] if tagged else ["tag"]))
     found = None
-    for part in parts:
-        tagged = own.mapInArrow(part, _OUT)
-        found = tagged if found is None else found.unionByName(tagged)
-    merged = found.groupBy("doc_id", "tag", "n_words").agg(
+    for number in range(n_blocks):
+        block = sent(number)
+        hits = written(scanned(block).where(F.size("spans") > 0).drop("n_words").distinct(), "benchmark-hits")
+        block.destroy()
+        found = hits if found is None else found.unionByName(hits)
+    # the hits of each id and text, once, for however many rows have them
+    same = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("tag").alias("_tag")]
+    merged = found.groupBy(*same).agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -180,7 +201,16 @@ def benchmark_hits(
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return merged.withColumn("spans", joined).drop(*([] if tagged else ["tag"]))
+    merged = merged.withColumn("spans", joined)
+    rows = own.mapInArrow(_counted, "doc_id long, tag long, n_words long")
+    every = rows.join(merged, (F.coalesce(rows["doc_id"], F.lit(0)) == merged["_id"]) & (rows["tag"] == merged["_tag"]), "left")
+    return every.select(
+        "doc_id",
+        *(["tag"] if tagged else []),
+        "n_words",
+        F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"),
+        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+    )
 
 
 def contamination(hits: DataFrame) -> DataFrame:

@@ -154,6 +154,16 @@ def test_decontamination_against_plain(spark, block):
         assert f.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+def test_decontamination_keeps_every_row_with_several_blocks(spark):
+    rows = [*ODD, (4, "same text here", "en"), (4, "other words", "en"), (None, "Same text, here and no more", "en")] + [(None, None, None)] * 3
+    items = [(1, "same text here"), (2, "and no more"), (None, "other words"), (3, "same text here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, more = (decontaminate.benchmark_hits(table(spark, rows), bench, window=3, block_bytes=b) for b in (1 << 20, 20))
+    assert one.columns == more.columns
+    got = sorted(map(str, more.collect()))
+    assert len(got) == len(rows) and got == sorted(map(str, one.collect()))
+
+
 def test_decontamination_odd_rows(spark):
     bench = spark.createDataFrame([(1, "same text here"), (2, None)], "item_id long, text string")
     got = decontaminate.contamination(decontaminate.benchmark_hits(table(spark, ODD), bench)).collect()
