@@ -37,7 +37,7 @@ SEGMENT = 1 << 20
 #: Second base for hashes of 128 bits.
 _OTHER = 0xD1342543DE82EF95
 
-_ANCHORS = "doc_id long, anchor long, n long"
+_ANCHORS = "doc_id long, tag long, anchor long, n long"
 _PIECES = "anchor long, doc_id long, tag long, start long, n int, many boolean, answered boolean, hot boolean, text binary"
 _FOUND = "doc_id long, tag long, start long, end long, a long, b long, many boolean"
 
@@ -110,10 +110,11 @@ def _anchors(batches, spec: Windows):
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id").take(pa.array(doc[new])),
+                batch.column("tag").take(pa.array(doc[new])),
                 pa.array(anchor[new].view(np.int64)),
                 pa.array(np.diff(np.append(new, len(anchor)))),
             ],
-            names=["doc_id", "anchor", "n"],
+            names=["doc_id", "tag", "anchor", "n"],
         )
 
 
@@ -242,6 +243,16 @@ def _met(batches, spec: Windows, method: Callable):
     yield from judged()
 
 
+def wanted_anchors(anchors: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``doc_id, tag, anchors, hot``: the repeated anchors of each text, and those that are hot.
+
+    By text, as many rows may share an id or have none; rows alike in both count once.
+    """
+    return anchors.join(repeated, "anchor").groupBy("doc_id", "tag").agg(
+        F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
+    )
+
+
 def repeated_spans(docs: DataFrame, spec: Windows, method: Callable, earliest: bool, group: int = GROUP) -> DataFrame:
     """``doc_id, tag, spans``: unit ranges of each document covered by repeated windows.
 
@@ -256,10 +267,8 @@ def repeated_spans(docs: DataFrame, spec: Windows, method: Callable, earliest: b
         anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > group).alias("hot")),
         "repeated",
     )
-    wanted = anchors.join(repeated, "anchor").groupBy("doc_id").agg(
-        F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
-    )
-    pieces = docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(lambda b: _pieces(b, spec, earliest), _PIECES)
+    wanted = wanted_anchors(anchors, repeated)
+    pieces = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).mapInArrow(lambda b: _pieces(b, spec, earliest), _PIECES)
     met = pieces.repartition("anchor").sortWithinPartitions("anchor")
     found = written(met.mapInArrow(lambda b: _met(b, spec, method), _FOUND), "repeats")
     spans = found.where("a is null").select("doc_id", "tag", "start", "end")

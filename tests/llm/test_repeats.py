@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from leaksieve.llm import substring_dedup, suffix_dedup
+from leaksieve.llm import repeats, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -90,6 +90,23 @@ def test_real_windows(spark):
     assert sorted(map(tuple, got), key=str) == plain_words(rows, 20)
 
 
+def test_anchors_are_gathered_by_text(spark):
+    """Rows without an id, or with one id, do not get each other's anchors."""
+    shared = "one passage that stands in every text of this small table "
+    rows = [(None if i % 2 else 7, f"{shared}{i} " + " ".join(f"w{i}x{j}" for j in range(30)) * 2 + shared) for i in range(20)]
+    rows += [rows[0], rows[1]] * 5
+    spec = repeats.Windows(8, 3, words=True)
+    docs = repeats._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    anchors = docs.mapInArrow(lambda b: repeats._anchors(b, spec), repeats._ANCHORS)
+    every = anchors.select("anchor").distinct().selectExpr("anchor", "false as hot")
+    got = {(r.doc_id, r.tag): r.anchors for r in repeats.wanted_anchors(anchors, every).collect()}
+    assert len(got) == 20
+    own = {}
+    for r in anchors.collect():
+        own.setdefault((r.doc_id, r.tag), set()).add(r.anchor)
+    assert all(len(a) == len(set(a)) and set(a) == own[k] for k, a in got.items())
+
+
 def test_odd_tables(spark):
     odd = [(None, "no id " * 60, "a"), (None, None, "b"), (1, "x" * 100_000, "c"), (2, "x" * 300, "d")]
     df = spark.createDataFrame(odd, "doc_id long, text string, spans string").selectExpr("*", "1 as tag", "2 as anchor", "3 as start")
