@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunked, flat, word_spans
+from .common import CHUNK, LOWER, chunked, flat, word_spans
 
-#: Numbers that byte trigrams are hashed to. Bounds the model: 256 KB for each language.
+#: Numbers that byte trigrams are hashed to. Bounds the model: 384 KB for each language.
 GRAMS = 1 << 16
-#: More languages than this need a larger model than a broadcast should carry.
-MAX_LANGUAGES = 64
+#: Languages whose counts a task holds at once, and that share a chunk of full size; with more, chunks are smaller.
+TOGETHER = 64
 ROUNDS = 10
 #: What an added language must gain, in units of half the logarithm of the number of words.
 PENALTY = 4.0
@@ -47,46 +47,70 @@ def _grams(column):
 
 def _counted(batches):
     total: dict[str, np.ndarray] = {}
+
+    def sent():
+        for lang, counts in total.items():
+            seen = np.flatnonzero(counts)
+            for a in range(0, len(seen), 20_000):
+                part = seen[a : a + 20_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int32()), pa.array(counts[part])],
+                    names=["lang", "gram", "n"],
+                )
+
     for batch in chunked(batches):
         grams, word_first, first = _grams(batch.column("text"))
         edges = np.append(word_first, len(grams))[first]
         for i, lang in enumerate(batch.column("lang").to_pylist()):
-            counts = total.setdefault(lang, np.zeros(GRAMS, np.int64))
-            np.add.at(counts, grams[edges[i] : edges[i + 1]], 1)
-    for lang, counts in total.items():
-        seen = np.flatnonzero(counts)
-        for a in range(0, len(seen), 20_000):
-            part = seen[a : a + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.int32()), pa.array(counts[part])],
-                names=["lang", "gram", "n"],
-            )
+            if lang not in total:
+                if len(total) == TOGETHER:
+                    yield from sent()
+                    total.clear()
+                total[lang] = np.zeros(GRAMS, np.int64)
+            np.add.at(total[lang], grams[edges[i] : edges[i + 1]], 1)
+    yield from sent()
 
 
 @dataclass
 class LanguageModel:
-    """Log-likelihoods of the trigrams under each language."""
+    """Log-likelihoods of the trigrams under each language: of those seen in it, and of any other."""
 
     languages: list[str]
-    logs: np.ndarray
+    grams: list[np.ndarray]
+    logs: list[np.ndarray]
+    unseen: np.ndarray
+
+    def row(self, i: int) -> np.ndarray:
+        full = np.full(GRAMS, self.unseen[i], np.float32)
+        full[self.grams[i]] = self.logs[i]
+        return full
 
 
-def train(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
+def train(docs: DataFrame) -> LanguageModel:
     """Counts the trigrams of every labelled text (``text``, ``lang``); null labels are left out.
 
-    Each task sends one count per language and trigram, so what is shuffled and gathered
-    is bounded by ``max_languages`` times 65,536 counts, whatever the corpus holds.
+    Any number of languages. Of each, only the trigrams seen in it are gathered, at most
+    65,536, so a label that few texts have takes little.
     """
     known = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang is not null")
     counts = known.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = counts.limit(max_languages * GRAMS + 1).toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
-    if len(langs) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    full = np.full((len(langs), GRAMS), 0.5)
-    row = np.searchsorted(np.array(langs, object), np.array(table.column("lang").to_pylist(), object)) if langs else []
-    full[row, table.column("gram").to_numpy()] += table.column("n").to_numpy()
-    return LanguageModel(langs, np.log(full / full.sum(axis=1, keepdims=True)).astype(np.float32))
+    table = counts.toArrow()
+    label = table.column("lang").combine_chunks().dictionary_encode()
+    names = label.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rank = np.argsort(order) if names else np.zeros(0, np.int64)
+    row = rank[label.indices.to_numpy(zero_copy_only=False)] if names else np.zeros(0, np.int64)
+    by_row = np.argsort(row, kind="stable")
+    grams, n = (table.column(c).to_numpy()[by_row] for c in ("gram", "n"))
+    edges = np.searchsorted(row[by_row], np.arange(len(names) + 1))
+    parts = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+    totals = np.array([0.5 * GRAMS + n[p].sum() for p in parts])
+    return LanguageModel(
+        [names[i] for i in order],
+        [grams[p].astype(np.uint16) for p in parts],
+        [np.log((0.5 + n[p]) / t).astype(np.float32) for p, t in zip(parts, totals)],
+        np.log(0.5 / totals).astype(np.float32),
+    )
 
 
 def _mixture(weights: np.ndarray, first: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +147,13 @@ def _chosen(weights: np.ndarray, singles: np.ndarray, price: float, rounds: int)
 
 def _identified(batches, model: LanguageModel, penalty: float, rounds: int):
     n = len(model.languages)
-    for batch in chunked(batches):
+    for batch in chunked(batches, limit=max(1, CHUNK * TOGETHER // max(TOGETHER, n))):
         grams, word_first, first = _grams(batch.column("text"))
         has = np.flatnonzero(np.diff(first) > 0)
         shares: list[list] = [[] for _ in range(batch.num_rows)]
         score = np.zeros(batch.num_rows)
         if n and len(has):
-            by_word = np.stack([np.add.reduceat(log[grams], word_first) for log in model.logs])
+            by_word = np.stack([np.add.reduceat(model.row(i)[grams], word_first) for i in range(n)])
             weights = np.maximum(by_word - by_word.max(axis=0), -60)
             start = first[:-1][has]
             singles = np.add.reduceat(weights, start, axis=1, dtype=np.float64).T
@@ -177,7 +201,7 @@ def identify(
     chosen with their shares. ``score`` is that share, or for a single language its
     odds against the next best one. A null text, one without a letter, or an empty
     model gives ``und``, score 0 and no languages. Only ``text`` is looked at. No shuffle; the model
-    is broadcast (256 KB for each language). With ``tagged`` a column ``tag``, the hash of the
+    is broadcast (at most 384 KB for each language). With ``tagged`` a column ``tag``, the hash of the
     text, tells rows of one id apart.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -327,6 +327,18 @@ def test_languages(spark):
     assert langid.identify(table(spark, []), model).count() == 0
 
 
+def test_many_languages(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{n}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)] for n in range(150)}
+    rows = [(i, " ".join(rng.choice(vocabulary[f"l{i % 150}"]) for _ in range(40)), f"l{i % 150}") for i in range(900)]
+    docs = table(spark, rows).repartition(3)
+    model = langid.train(docs)
+    assert model.languages == sorted(vocabulary)
+    got = by_id(langid.identify(docs, model))
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows) >= 0.99 * len(rows)
+
+
 # --- SimHash
 
 
