@@ -94,9 +94,73 @@ def suffix_dedup_sql(size: int = 200) -> str:
     FROM docs LEFT JOIN sums USING (row)"""
 
 
+def conversation_repair_sql() -> str:
+    """The cheapest repair by dynamic programming from the last row back.
+
+    For each of the states nothing, s, u, a there is the least (cost, audit) with its lines.
+    Rows of one turn are told apart by role and text; only equal rows share a turn in the tables.
+    """
+    nothing, infinite = "CAST([] AS VARCHAR[])", 10**9
+    made = lambda cost, edit, lines, rest: (
+        f"struct_pack(c := CAST({cost} + {rest}.c AS BIGINT), a := '{edit}' || {rest}.a, l := list_concat({lines}, {rest}.l))"
+    )
+    never = f"struct_pack(c := CAST({infinite} AS BIGINT), a := '', l := {nothing})"
+    least = lambda *options: f"list_sort([{', '.join(options)}])[1]"
+    speaker = {0: "user", 1: "user", 2: "assistant", 3: "user"}
+    wanted, after = {0: 2, 1: 2, 2: 3, 3: 2}, {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def edited(s: int) -> str:
+        keep = " ".join(
+            f"WHEN NOT r.gone AND r.i = '{i}' THEN {made('r.more', 'K', '[r.line]', f'b.s{t}')}" for i, t in after[s].items()
+        )
+        again = made("3 + r.more", "R", f"['{speaker[s]}:' || r.text]", f"b.s{wanted[s]}")
+        return least(
+            made(4, "D", nothing, f"b.s{s}"), f"CASE {keep} ELSE {never} END", f"CASE WHEN r.gone THEN {never} ELSE {again} END"
+        )
+
+    put = lambda s, rest: made(3, "I", f"['{speaker[s]}:']", rest)
+    best = {s: least(edited(s), put(s, edited(wanted[s]))) for s in (2, 3)}
+    best |= {s: least(edited(s), put(s, best[2])) for s in (0, 1)}
+    step = ", ".join(f"s{s} := {best[s]}" for s in range(4))
+    end = f"struct_pack(c := CAST(0 AS BIGINT), a := '', l := {nothing})"
+    start = f"struct_pack(s0 := {end}, s1 := {put(1, put(2, end))}, s2 := {put(2, end)}, s3 := {end})"
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    bits = "lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    crc = (
+        "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(key) + 1), "
+        "lambda i: CAST(ord(substr(key, i, 1)) AS BIGINT))), lambda c, b: xor(c >> 8, "
+        f"list_reduce(list_concat([xor(c, b) & 255], range(8)), {bits}))), 4294967295)"
+    )
+    return f"""
+    WITH keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {key} AS key FROM conversations),
+    fated AS (SELECT *, {crc} % 20 AS fate FROM keyed),
+    damaged AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM fated),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+        right(rtrim(text, {blank}), 1) AS last, left(role, 1) AS i FROM damaged),
+    judged AS (SELECT *, last = '' AS blank,
+        last <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 AS duplicate,
+        coalesce(lag(i) OVER (PARTITION BY conv_id ORDER BY p) || i NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+    named AS (SELECT *, NOT blank AND NOT duplicate AND last NOT IN ('.', '!', '?') AS truncated FROM judged),
+    listed AS (SELECT conv_id,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+        count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE illegal) AS illegal,
+        list(struct_pack(i := i, gone := blank OR duplicate, more := CASE WHEN truncated THEN 3 ELSE 0 END,
+          line := role || ':' || text, text := text) ORDER BY p DESC) AS rows FROM named GROUP BY conv_id),
+    repaired AS (SELECT *, list_reduce(rows, lambda b, r: struct_pack({step}), {start}).s0 AS best FROM listed)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+      coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.l, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_suffix_dedup": suffix_dedup_sql(),
         "op5_decontaminate": decontaminate_sql(),
         "op6_substring_dedup": substring_dedup_sql(),
+        "op12_conversation_repair": conversation_repair_sql(),
     }

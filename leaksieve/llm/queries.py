@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, langid, pii, secrets, simhash, substring_dedup, suffix_dedup, url_filter
-
+from . import (
+    bpe,
+    conversations,
+    decontaminate,
+    fingerprint,
+    langid,
+    pii,
+    quality_rules,
+    secrets,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+    whitening,
+)
 from .common import ship
 from .oracle import oracle_sql  # noqa: F401
 
@@ -91,9 +104,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(_docs(spark, sf_dir), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    done = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return done.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def queries() -> dict:
     own = [
         op1_suffix_dedup, op2_byte_bpe, op3_fingerprint, op4_pii, op5_decontaminate,
         op6_substring_dedup, op7_secrets, op8_url_filter, op9_language, op10_simhash,
+        op11_quality_rules, op12_conversation_repair, op13_whitening,
     ]
     return {f.__name__: f for f in own}
