@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 #: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
 MEMORY = 32 << 20
-#: Neighbours remembered.
-PAIRS = 100_000
+#: Neighbours remembered, some 70 bytes each.
+PAIRS = 300_000
+#: Bytes of pieces that are encoded many at once, and how many.
+SHORT, AT_ONCE = 48, 20_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -80,6 +82,49 @@ class Splitter:
         return self._any(text) if self._latin is None or _WIDE.search(text) else self._latin(text)
 
 
+class Table:
+    """Whole numbers by whole numbers that are not negative, for many at once: open addressing."""
+
+    def __init__(self, bits: int = 12):
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
+        self._shift, self.held = np.uint64(64 - bits), 0
+        self._keys, self._values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def clear(self) -> None:
+        self._clear(12)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, or -1."""
+        out, slot, at = np.full(len(keys), -1, np.int32), self._slots(keys), np.arange(len(keys))
+        while len(at):
+            there = self._keys[slot]
+            found = there == keys
+            out[at[found]] = self._values[slot[found]]
+            on = np.flatnonzero(~found & (there >= 0))
+            at, keys, slot = at[on], keys[on], (slot[on] + 1) & (len(self._keys) - 1)
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Takes up different keys that it does not hold yet."""
+        if 2 * (self.held + len(keys)) > len(self._keys):
+            old = self._keys >= 0
+            keys, values = np.r_[self._keys[old], keys], np.r_[self._values[old], values]
+            self._clear(int(4 * len(keys)).bit_length())
+        self.held += len(keys)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self._keys[slot] < 0
+            self._keys[slot[free]] = keys[free]  # of several keys one gets the slot
+            got = self._keys[slot] == keys
+            self._values[slot[got]] = values[got]
+            keys, values, slot = keys[~got], values[~got], (slot[~got] + 1) & (len(self._keys) - 1)
+
+
 class Vocabulary:
     """Token bytes and ranks, and which tokens may stand side by side."""
 
@@ -89,14 +134,41 @@ class Vocabulary:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must have a rank")
         self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._spines: dict[tuple[int, int], list[int]] = {}
-        # the tokens that merges make, and for each three last bytes the longest such token
-        self.whole = {data: token for data, token in ranks.items() if self.halves(token)}
-        self.reach: dict[bytes, int] = {}
-        for data in self.whole:
-            self.reach[data[-3:]] = max(len(data), self.reach.get(data[-3:], 1))
+        #: The tokens that merges make of their bytes.
+        self.whole = {data for data, token in ranks.items() if self.halves(token)}
+        self._index()
+
+    def _index(self) -> None:
+        """Reads the tokens that merges make from their ends: a byte at a time leads from node to node.
+
+        ``back`` has the next node by ``node << 8 | byte``, ``ends`` the token that is complete
+        there or -1, ``size`` each token's bytes and ``shorter`` the longest token that it ends
+        with, or -1.
+        """
+        self.back: dict[int, int] = {}
+        self.ends = [-1]
+        self.size = [0] * (max(self.bytes) + 1)
+        self.shorter = [-1] * len(self.size)
+        for token, data in sorted(self.bytes.items(), key=lambda x: len(x[1])):
+            if data not in self.whole:
+                continue
+            node = 0
+            for byte in reversed(data):
+                if self.ends[node] >= 0:
+                    self.shorter[token] = self.ends[node]
+                key = node << 8 | byte
+                node = self.back.get(key, 0)
+                if not node:
+                    node = self.back[key] = len(self.ends)
+                    self.ends.append(-1)
+            self.ends[node], self.size[token] = token, len(data)
+        # the same for many pieces at once
+        self.steps, self.follows = Table(), Table()
+        self.steps.put(np.fromiter(self.back, np.int64), np.fromiter(self.back.values(), np.int32))
+        self.tables = [np.array(x, np.int32) for x in (self.ends, self.size, self.shorter)]
 
     def merged(self, data: bytes, stop: int = 1) -> list[int]:
         """The definition: join the neighbours of lowest rank, leftmost first, while more than ``stop`` are left."""
@@ -129,35 +201,48 @@ class Vocabulary:
         return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the merges of both tokens' bytes leave the border between them.
+        """Whether the merges of both tokens' bytes leave the border between them."""
+        known = self.pairs.get(left << 32 | right)
+        if known is None:
+            if len(self.pairs) > PAIRS:
+                self.pairs.clear()
+            known = self.pairs[left << 32 | right] = self._border_stays(left, right)
+        return known
 
-        Parts rank before what they make, so each token at the border lives until the
+    def _border_stays(self, left: int, right: int) -> bool:
+        """Parts rank before what they make, so each token at the border lives until the
         rank of the next one on its side. The border goes if two that live at the same
         time can be joined before either is used up; among equal ranks, what lies
         further left comes first.
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            ranks, data, never = self.ranks, self.bytes, len(self.ranks) + 256
-            a, b = self._spine(left, 1), self._spine(right, 0)
-            i = j = 0
-            known = True
-            while known:
-                until_a = a[i + 1] if i + 1 < len(a) else never
-                until_b = b[j + 1] if j + 1 < len(b) else never
-                joined = ranks.get(data[a[i]] + data[b[j]], never)
-                if joined < until_a and joined <= until_b and joined != never:
-                    known = False
-                elif until_a == until_b == never:
-                    break
-                elif until_a <= until_b:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
+        ranks, data, never = self.ranks, self.bytes, len(self.ranks) + 256
+        a, b = self._spine(left, 1), self._spine(right, 0)
+        i = j = 0
+        while True:
+            until_a = a[i + 1] if i + 1 < len(a) else never
+            until_b = b[j + 1] if j + 1 < len(b) else never
+            joined = ranks.get(data[a[i]] + data[b[j]], never)
+            if joined < until_a and joined <= until_b and joined != never:
+                return False
+            if until_a == until_b == never:
+                return True
+            if until_a <= until_b:
+                i += 1
+            else:
+                j += 1
+
+    def may_follow_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``may_follow`` of many pairs; each that is not remembered is worked out once."""
+        if self.follows.held > PAIRS:
+            self.follows.clear()
+        keys = left.astype(np.int64) << 32 | right
+        known = self.follows.get(keys)
+        new = np.unique(keys[known < 0])
+        if len(new):
+            low = (1 << 32) - 1
+            self.follows.put(new, np.array([self._border_stays(k >> 32, k & low) for k in new.tolist()], np.int32))
+            known = self.follows.get(keys)
+        return known > 0
 
 
 class Piece:
@@ -167,37 +252,38 @@ class Piece:
         self.vocabulary, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _endings(self, start: int):
-        """The last token of each prefix longer than ``start``, for ``last`` to take up one by one.
+    def _extend(self, until: int) -> None:
+        """Finds the last token of each prefix that has none yet, up to ``until`` bytes.
 
         Tried from the longest token on: the first that may follow what ends before it is the only one.
         """
         data, last, v = self.data, self.last, self.vocabulary
-        token_of, reach, pairs, may_follow = v.whole.get, v.reach.get, v.pairs, v.may_follow
-        for end in range(start + 1, len(data) + 1):
-            far = end - reach(data[end - 3 : end], 2) if end > 2 else 0
-            for at in range(far if far > 0 else 0, end):
-                token = token_of(data[at:end])
-                if token is None:
-                    continue
-                if not at:
+        back, ends, size, shorter = v.back.get, v.ends, v.size, v.shorter
+        pairs, may_follow, take = v.pairs.get, v.may_follow, last.append
+        for at in range(len(last), until):
+            node, first = 0, at
+            while first >= 0:
+                node = back(node << 8 | data[first])
+                if node is None:
                     break
-                pair = last[at - 1], token
-                known = pairs.get(pair)
+                if ends[node] >= 0:
+                    token = ends[node]
+                first -= 1
+            while before := at + 1 - size[token]:
+                left = last[before - 1]
+                known = pairs(left << 32 | token)
                 if known is None:
-                    known = may_follow(*pair)
+                    known = may_follow(left, token)
                 if known:
                     break
-            else:
-                raise ValueError("no token ends here; the ranks are not those of a BPE")
-            yield token
+                token = shorter[token]
+                if token < 0:
+                    raise ValueError("no token ends here; the ranks are not those of a BPE")
+            take(token)
 
     def append(self, data: bytes) -> None:
-        start = len(self.data)
         self.data += bytes(data)
-        take = self.last.append
-        for token in self._endings(start):
-            take(token)
+        self._extend(len(self.data))
 
     def cut(self, size: int) -> None:
         """Goes back to the prefix of this size."""
@@ -213,8 +299,8 @@ class Piece:
         old, shift = self.last, len(data) - (end - start)
         self.data = self.data[:start] + data + self.data[end:]
         self.last, same = old[:start], 0
-        for at, token in enumerate(self._endings(start), start + 1):
-            self.last.append(token)
+        for at in range(start + 1, len(self.data) + 1):
+            self._extend(at)
             before = at - shift
             same = same + 1 if before > end and old[before - 1] == self.last[-1] else 0
             if same >= self.vocabulary.longest:
@@ -227,13 +313,72 @@ class Piece:
         whole = self.vocabulary.ranks.get(self.data)
         if whole is not None:
             return [whole]
-        out, end = [], len(self.data)
+        out, end, last, size = [], len(self.data), self.last, self.vocabulary.size
         while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.bytes[out[-1]])
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
         return out[::-1]
 
 
+def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[bytes]:
+    """The ids of many pieces at once, none empty, in order of their bytes.
+
+    The last tokens of all prefixes of one length are found together, each from those of shorter
+    ones; a prefix that a piece shares with the piece before is looked at once.
+    """
+    _, size, _ = vocabulary.tables
+    n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts, width = lengths.cumsum() - lengths, int(lengths.max())
+    data, last = np.zeros((n, width), np.int64), np.zeros((n, width), np.int32)
+    row = np.repeat(np.arange(n), lengths)
+    data[row, np.arange(len(row)) - starts[row]] = np.frombuffer(b"".join(pieces), np.uint8)
+    shared = np.arange(n) > 0  # with the piece before, so far
+    for at in range(width):
+        there = lengths > at
+        shared[1:] &= there[1:] & there[:-1] & (data[1:, at] == data[:-1, at])
+        new = np.flatnonzero(there & ~shared)
+        last[new, at] = _last_tokens(vocabulary, data, last, new, at)
+        same = np.flatnonzero(shared)
+        last[same, at] = last[new[np.searchsorted(new, same) - 1], at]
+    steps, left, rows = [], lengths.copy(), np.arange(n)
+    while len(rows):
+        token = last[rows, left[rows] - 1]
+        steps.append((rows, token))
+        left[rows] -= size[token]
+        rows = rows[left[rows] > 0]
+    counts = np.bincount(np.concatenate([r for r, _ in steps]), minlength=n)
+    stops = counts.cumsum()
+    out = np.zeros(int(stops[-1]), "<u4")
+    for k, (rows, token) in enumerate(steps):
+        out[stops[rows] - 1 - k] = token
+    ids, stops = out.tobytes(), (4 * stops).tolist()
+    return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+
+def _last_tokens(v: Vocabulary, data: np.ndarray, last: np.ndarray, rows: np.ndarray, at: int) -> np.ndarray:
+    """The token that ends the prefix up to byte ``at`` of each of the rows: ``Piece._extend`` for many."""
+    ends, size, shorter = v.tables
+    token, node, open_ = np.zeros(len(rows), np.int32), np.zeros(len(rows), np.int64), np.arange(len(rows))
+    for first in range(at, -1, -1):
+        step = v.steps.get(node[open_] << 8 | data[rows[open_], first])
+        on = step >= 0
+        open_, step = open_[on], step[on]
+        if not len(open_):
+            break
+        node[open_] = step
+        complete = ends[step]
+        token[open_[complete >= 0]] = complete[complete >= 0]
+    open_ = np.flatnonzero(size[token] <= at)  # a token that is the whole prefix has nothing to follow
+    while len(open_):
+        before = last[rows[open_], at - size[token[open_]]]
+        open_ = open_[~v.may_follow_all(before, token[open_])]
+        token[open_] = shorter[token[open_]]
+        if (token[open_] < 0).any():
+            raise ValueError("no token ends here; the ranks are not those of a BPE")
+    return token
+
+
 class Coder:
     """Texts to ids and back; remembers the pieces it has seen."""
 
@@ -244,22 +389,24 @@ class Coder:
         self._held = 0
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        """Encodes pieces in order of their bytes: each goes on from the prefix it shares with the last."""
-        known, ranks, piece = self._known, self.vocabulary.ranks, Piece(self.vocabulary)
+        """Encodes pieces in order of their bytes, which brings shared prefixes together.
+
+        Many short ones are taken at once, a long one alone.
+        """
+        known, ranks, short = self._known, self.vocabulary.ranks, []
         for data in sorted(p.encode() for p in pieces):
+            self._held += 200 + 5 * len(data)
             whole = ranks.get(data)
             if whole is not None:
-                tokens = [whole]
+                known[data.decode()] = struct.pack("<I", whole)
+            elif len(data) <= SHORT:
+                short.append(data)
             else:
-                before, n = piece.data, 0
-                most = min(len(before), len(data))
-                while n < most and before[n] == data[n]:
-                    n += 1
-                piece.cut(n)
-                piece.append(data[n:])
-                tokens = piece.tokens()
-            self._held += 200 + 5 * len(data)
-            known[data.decode()] = struct.pack(f"<{len(tokens)}I", *tokens)
+                tokens = Piece(self.vocabulary, data).tokens()
+                known[data.decode()] = struct.pack(f"<{len(tokens)}I", *tokens)
+        for a in range(0, len(short), AT_ONCE):
+            part = short[a : a + AT_ONCE]
+            known.update(zip((p.decode() for p in part), encode_pieces(self.vocabulary, part)))
 
     def encode_all(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -98,6 +100,25 @@ def test_bpe_edit_far_from_the_end_is_local():
     assert piece.replace(100, 103, b"xyz") < 1000
 
 
+def test_bpe_of_many_pieces_is_that_of_each():
+    random_ = random.Random(17)
+    alphabet = ["a", "e", "th", "ing", " ", "é", "日", "\x00", "zz", "ion", "1"]
+    pieces = sorted({"".join(random_.choice(alphabet) for _ in range(random_.randrange(1, 20))).encode() for _ in range(4000)})
+    got = bpe.encode_pieces(bpe.Vocabulary(RANKS), pieces)
+    for piece, ids in zip(pieces, got):
+        tokens = bpe.Piece(CODER.vocabulary, piece).tokens()
+        if piece not in RANKS:
+            assert ids == struct.pack(f"<{len(tokens)}I", *tokens)
+
+
+def test_table_holds_what_was_put():
+    random_ = np.random.default_rng(2)
+    keys, held = np.unique(random_.integers(0, 1 << 50, 5000)), bpe.Table(4)
+    for a in range(0, len(keys), 700):
+        held.put(keys[a : a + 700], np.arange(a, min(a + 700, len(keys)), dtype=np.int32))
+    assert held.get(keys).tolist() == list(range(len(keys))) and (held.get(keys + (1 << 55)) == -1).all()
+
+
 def test_bpe_odd_rows(spark):
     got = bpe.token_digests(table(spark, ODD), PATH, public_tokenizers.PATTERN).collect()
     assert len(got) == len(ODD)
