@@ -27,7 +27,9 @@ MEMORY = 32 << 20
 #: Neighbours remembered, some 70 bytes each.
 PAIRS = 300_000
 #: Bytes of pieces that are encoded many at once, and how many.
-SHORT, AT_ONCE = 48, 20_000
+SHORT, AT_ONCE = 48, 10_000
+#: Texts that are cut into pieces at once; their pieces are held until all are encoded.
+TEXTS = 250
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -330,7 +332,7 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     _, size, _ = vocabulary.tables
     n, lengths = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
     starts, width = lengths.cumsum() - lengths, int(lengths.max())
-    data, last = np.zeros((n, width), np.int64), np.zeros((n, width), np.int32)
+    data, last = np.zeros((n, width), np.uint8), np.zeros((n, width), np.int32)
     row = np.repeat(np.arange(n), lengths)
     data[row, np.arange(len(row)) - starts[row]] = np.frombuffer(b"".join(pieces), np.uint8)
     shared = np.arange(n) > 0  # with the piece before, so far
@@ -447,8 +449,8 @@ def _coder(path_key: str, ranks, pattern: str) -> Coder:
 
 def _encoded(batches: Iterable[pa.RecordBatch], coder: Coder):
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
+        for a in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(a, TEXTS)
             ids = coder.encode_all([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
@@ -476,8 +478,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def _decoded(batches, coder: Decoder):
     for batch in batches:
-        for a in range(0, batch.num_rows, 1000):
-            part = batch.slice(a, 1000)
+        for a in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(a, TEXTS)
             out = [coder.decode(x or b"") for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), part.column("ids"), pa.array(out, pa.binary())],
