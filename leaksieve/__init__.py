@@ -5,6 +5,7 @@ from .operators import (
     documents_by_level,
     exposure_by,
     findings_table,
+    mask,
     scan,
     score_findings,
     top_risky,
@@ -19,7 +20,7 @@ from .streaming import read_stream, start_scan
 __all__ = [
     "BACKEND", "BROWSER", "PROFILES", "RULES", "Hint", "Profile", "Rule", "assess",
     "documents_by_level", "exposure_by", "extract_text", "findings_table", "flat_report", "gate",
-    "only_rules", "quarantine", "read_files", "read_stream", "report", "rule_catalog", "rule_keys",
+    "mask", "only_rules", "quarantine", "read_files", "read_stream", "report", "rule_catalog", "rule_keys",
     "scan", "scan_log", "score_findings", "start_scan", "text_table", "top_risky",
     "with_recommendations", "with_risk", "with_rules", "write_reports",
 ]

@@ -1,6 +1,7 @@
 """Operators: DataFrame in, DataFrame out."""
 
 from .advice import numbered_recommendations, recommendations, with_recommendations
+from .masking import mask
 from .risk import breakdown_of, legacy_score, score_findings, with_risk
 from .rollups import documents_by_level, exposure_by, top_risky
 from .scan import matches, scan
@@ -8,6 +9,6 @@ from .views import breakdown_table, findings_table, sample_table, with_flags
 
 __all__ = [
     "breakdown_of", "breakdown_table", "documents_by_level", "exposure_by", "findings_table",
-    "legacy_score", "matches", "numbered_recommendations", "recommendations", "sample_table",
+    "legacy_score", "mask", "matches", "numbered_recommendations", "recommendations", "sample_table",
     "scan", "score_findings", "top_risky", "with_flags", "with_recommendations", "with_risk",
 ]

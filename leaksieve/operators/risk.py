@@ -19,8 +19,10 @@ from ..functions.scoring import (
     volume_multiplier,
 )
 from ..rules import RULES, Rule, weights_of
+from .columns import must_be_free, quoted, spare
 
 _ZERO = "0.00"
+_MADE = ("breakdown", "total_findings", "raw_score", "cooccurrence_bonus", "score", "risk_level")
 
 
 def breakdown_entry(key: Column, count: Column, confidence: Column, weights: dict) -> Column:
@@ -44,8 +46,10 @@ def with_risk(
 
     Works on the ``findings`` array of each row, which holds at most one entry per
     rule, so it needs no shuffle. The score does not go by way of the breakdown, which
-    is therefore only built where it is used.
+    is therefore only built where it is used. Rows whose findings are null, since they were
+    not read, get null results. Columns of these names must not be there yet.
     """
+    must_be_free(scanned.columns, _MADE, "with_risk")
     profile, weights = resolve(profile), weights_of(rules)
     entries = F.transform(
         "findings",
@@ -60,11 +64,13 @@ def with_risk(
         lambda total, f: (total + contribution(f["key"], f["count"], f["confidence"], weights)).cast("decimal(18,2)"),
     )
     total = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
-    bonus = cooccurrence_bonus(F.size("findings"), profile)
+    was_read = F.col("findings").isNotNull()
+    bonus = F.when(was_read, cooccurrence_bonus(F.size("findings"), profile))
+    score = final_score(F.col("raw_score"), F.col("cooccurrence_bonus"), profile)
     return (
         scanned.withColumn("breakdown", F.map_from_entries(entries))
         .withColumns({"total_findings": total, "raw_score": raw, "cooccurrence_bonus": bonus})
-        .withColumn("score", final_score(F.col("raw_score"), F.col("cooccurrence_bonus"), profile))
+        .withColumn("score", F.when(was_read, score))
         .withColumn("risk_level", risk_level(F.col("score")))
     )
 
@@ -124,12 +130,13 @@ def breakdown_of(
     key keeps all its rows.
     """
     active = findings.where(F.coalesce(F.col(count), F.lit(0)) != 0)
+    made = ("key", "count", "confidence", "severity_weight", "confidence_factor", "volume_multiplier", "contribution")
+    must_be_free(by, made, "breakdown_of")
+    latest_name, entry_name = spare([*by, key, count, confidence], "latest", "entry")
+    of, key_name = quoted(by), quoted([key])[0]
     if last_by is not None:
-        latest = F.max_by(F.struct(F.col(count), F.col(confidence)), F.col(last_by))
-        active = (
-            active.groupBy(*by, key)
-            .agg(latest.alias("_latest"))
-            .select(*by, key, f"_latest.{count}", f"_latest.{confidence}")
-        )
-    entry = breakdown_entry(F.col(key), F.col(count), F.col(confidence), weights_of(rules))
-    return active.select(*by, F.col(key).alias("key"), entry.alias("_e")).select(*by, "key", "_e.*")
+        latest = F.max_by(F.struct(F.col(count).alias("count"), F.col(confidence).alias("confidence")), F.col(last_by))
+        active = active.groupBy(*of, key_name).agg(latest.alias(latest_name))
+        count, confidence = f"{latest_name}.count", f"{latest_name}.confidence"
+    entry = breakdown_entry(F.col(key_name), F.col(count), F.col(confidence), weights_of(rules))
+    return active.select(*of, F.col(key_name).alias("key"), entry.alias(entry_name)).select(*of, "key", f"{entry_name}.*")

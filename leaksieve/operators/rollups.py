@@ -12,8 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import must_be_free, quoted, spare
 from .views import with_hits
 
+#: What stands for the level of documents that were not read.
+UNREAD = "UNREAD"
+
 
 def exposure_by(scanned: DataFrame, *by: str) -> DataFrame:
     """Documents hit and matches found, by finding fields and kept columns.
@@ -30,6 +34,8 @@ def exposure_by(scanned: DataFrame, *by: str) -> DataFrame:
         raise ValueError(f"no such column or finding field: {unknown}")
     of_finding = [c for c in by if c in fields]
     of_row = [c for c in by if c not in of_finding]
+    must_be_free(by, ("documents", "matches"), "exposure_by")
+    total_name = spare([*by, *fields], "total")[0]
     # totals within the document first, on the array: one entry per distinct group
     groups = F.transform("findings", lambda f: F.struct(*[f[c].alias(c) for c in of_finding]))
     if of_finding:
@@ -40,26 +46,28 @@ def exposure_by(scanned: DataFrame, *by: str) -> DataFrame:
             return F.aggregate(F.filter("findings", same), F.lit(0), lambda n, f: n + f["count"])
 
         per_document = F.transform(
-            groups, lambda g: F.struct(*[g[c].alias(c) for c in of_finding], total(g).alias("_n"))
+            groups, lambda g: F.struct(*[g[c].alias(c) for c in of_finding], total(g).alias(total_name))
         )
-        rows = with_hits(scanned).select(*of_row, F.inline_outer(per_document))
+        rows = with_hits(scanned).select(*quoted(of_row), F.inline_outer(per_document))
     else:
         total_all = F.aggregate("findings", F.lit(0), lambda n, f: n + f["count"])
-        rows = with_hits(scanned).select(*of_row, total_all.alias("_n"))
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("documents"), F.sum("_n").alias("matches")
+        rows = with_hits(scanned).select(*quoted(of_row), total_all.alias(total_name))
+    return rows.groupBy(*quoted(by)).agg(
+        F.count("*").alias("documents"), F.sum(total_name).alias("matches")
     )
 
 
 def documents_by_level(scored: DataFrame, *by: str) -> DataFrame:
-    """Documents per risk level, optionally by kept columns too."""
-    return scored.groupBy(*by, "risk_level").agg(F.count("*").alias("documents"))
+    """Documents per risk level, optionally by kept columns too; those not read count as ``UNREAD``."""
+    must_be_free(by, ("risk_level", "documents"), "documents_by_level")
+    level = F.coalesce("risk_level", F.lit(UNREAD)).alias("risk_level")
+    return scored.groupBy(*quoted(by), level).agg(F.count("*").alias("documents"))
 
 
 def top_risky(scored: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
-    """The ``k`` documents with the highest score, ties by the ``by`` columns.
+    """The ``k`` documents with the highest score, ties by the ``by`` columns. Unread documents have none.
 
     Each task keeps only its own best ``k``; no full sort. One task merges these, so
     ``k`` is meant for reports of up to some thousand rows.
     """
-    return scored.orderBy(F.col("score").desc(), *by).limit(k)
+    return scored.where(F.col("score").isNotNull()).orderBy(F.col("score").desc(), *quoted(by)).limit(k)

@@ -14,6 +14,7 @@ from ..dialect import BACKEND, Profile, resolve
 from ..functions.constants import constant
 from ..functions.strings import redact, text_length
 from ..rules import RULES, Hint, Rule
+from .columns import must_be_free, quoted, spare
 
 _ABOUT = ("key", "label", "category", "severity", "confidence")
 _CONFIDENCE_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
@@ -100,28 +101,34 @@ def scan(
     registry order (backend), or by confidence and then count (browser).
 
     ``keep`` defaults to every column but the text. A null text is scanned as an
-    empty one. The rows are neither shuffled nor reordered, so the same call
-    serves a table and a stream.
+    empty one. Where the input went through the gates (it has ``status`` and ``http_code``),
+    rows that are not ``ok`` were not read: their results are null, which no operator takes
+    for clean. Kept columns named ``findings`` or ``total_characters`` raise an error. The
+    rows are neither shuffled nor reordered, so the same call serves a table and a stream.
     """
     profile, rules = resolve(profile), tuple(rules)
     if not rules or len({r.key for r in rules}) < len(rules):
         raise ValueError("scan needs at least one rule, and rules with different keys")
     keep = [c for c in df.columns if c != text] if keep is None else list(keep)
+    must_be_free(keep, ("total_characters", "findings"), "scan")
     hints = list(dict.fromkeys(h for r in rules for h in r.hints))
-    text_, lower = F.col("_text"), F.col("_lower")
-    prepared = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    prepared = prepared.select(*keep, text_, F.lower(text_).alias("_lower")).select(
-        *keep,
+    text_name, lower_name, *hint_names = spare(keep, "text", "lower", *[f"hint_{i}" for i in range(len(hints))])
+    text_, lower, kept = F.col(text_name), F.col(lower_name), quoted(keep)
+    whole = F.coalesce(F.col(quoted([text])[0]), F.lit(""))
+    if {"status", "http_code"} <= set(df.columns):
+        whole = F.when(F.col("status").eqNullSafe("ok"), whole)
+    prepared = df.select(*kept, whole.alias(text_name))
+    prepared = prepared.select(*kept, text_, F.lower(text_).alias(lower_name)).select(
+        *kept,
         text_,
         text_length(text_, profile).cast("int").alias("total_characters"),
-        *[h.holds(text_, lower).alias(f"_hint_{i}") for i, h in enumerate(hints)],
+        *[h.holds(text_, lower).alias(name) for h, name in zip(hints, hint_names)],
     )
-    hinted = {h: F.col(f"_hint_{i}") for i, h in enumerate(hints)}
+    hinted = {h: F.col(name) for h, name in zip(hints, hint_names)}
+    found = _findings(text_, rules, profile, hinted, samples)
     # explode(array(x)) is one row in, one row out. It stops the optimizer from
     # copying the patterns into later filters and projections, so that each
     # pattern runs once per document whatever is done with the findings.
     return prepared.select(
-        *keep,
-        "total_characters",
-        F.explode(F.array(_findings(text_, rules, profile, hinted, samples))).alias("findings"),
+        *kept, "total_characters", F.explode(F.array(F.when(text_.isNotNull(), found))).alias("findings")
     )

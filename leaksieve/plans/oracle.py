@@ -194,6 +194,42 @@ def scan_ctes(
     """
 
 
+def masked_sql(corpus: str) -> str:
+    """Offsets from what lies between the matches; stars by character.
+
+    For the rules whose text is doubled a digit counts two halves and any other character one.
+    """
+    checks = {"aadhaar": verhoeff_sql("match"), "credit_card": luhn_sql("match")}
+    halves = lambda x: f"(length({x}) + length({digits_sql(x)}))"
+    rules = []
+    for i, (key, *_) in enumerate(fv.RULE_ROWS):
+        doubled = key in _DOUBLED
+        over = r"regexp_replace(' ' || text || ' ', '([^0-9])', '\1\1', 'g')" if doubled else "text"
+        pattern = q(_DOUBLED[key] if doubled else fv.PATTERNS[key])
+        units = halves if doubled else (lambda x: f"length({x})")
+        order = "PARTITION BY rid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND"
+        at = f"sum({units('gap')}) OVER ({order} CURRENT ROW) + coalesce(sum({units('whole')}) OVER ({order} 1 PRECEDING), 0)"
+        rules.append(f"""
+          SELECT rid, {i} AS idx, {q(key)} AS key, match, {f"({at} + 1) // 2 - 1" if doubled else at} AS s FROM (
+            SELECT rid, unnest(w) AS whole, unnest(g[1:len(w)]) AS gap, unnest(m) AS match, generate_subscripts(w, 1) AS n
+            FROM (SELECT rid, regexp_extract_all({over}, {pattern}) AS w, string_split_regex({over}, {pattern}) AS g,
+              {matches_sql(key)} AS m FROM docs))""")
+        rules[-1] = f"SELECT * FROM ({rules[-1]}) WHERE {checks.get(key, 'true')}"
+    kept = ", ".join(keys_of(corpus))
+    return f"""
+    WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, * REPLACE (coalesce(text, '') AS text) FROM ({texts_sql(corpus)})),
+    places AS MATERIALIZED (SELECT * REPLACE (CAST(s AS BIGINT) AS s), CAST(s AS BIGINT) + length(match) AS e FROM ({" UNION ALL ".join(rules)})),
+    stars AS (SELECT DISTINCT rid, unnest(CASE WHEN e - s <= 6 THEN range(s + 1, e) ELSE range(s + 2, e - 2) END) AS pos FROM places),
+    letters AS (SELECT rid, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS pos
+      FROM docs WHERE rid IN (SELECT rid FROM places)),
+    masked AS (SELECT rid, string_agg(CASE WHEN stars.pos IS NULL THEN c ELSE '*' END, '' ORDER BY letters.pos) AS text
+      FROM letters LEFT JOIN stars USING (rid, pos) GROUP BY rid),
+    listed AS (SELECT rid, count(*) AS n, string_agg(key || ':' || s || ':' || e, ',' ORDER BY s, idx) AS places
+      FROM places GROUP BY rid)
+    SELECT {kept}, CAST(coalesce(n, 0) AS INTEGER) AS n_masked, md5(coalesce(m.text, d.text)) AS masked_md5, coalesce(places, '') AS places
+    FROM docs d LEFT JOIN masked m USING (rid) LEFT JOIN listed USING (rid)"""
+
+
 def flat_sql(corpus: str, browser: bool = False) -> str:
     kept = ", ".join(keys_of(corpus))
     return scan_ctes(corpus, browser) + f"""
@@ -496,6 +532,16 @@ def oracle_sql() -> dict[str, str]:
         CAST(file_size AS BIGINT) AS size_bytes, {', '.join(f"CASE WHEN NOT ({bad}) THEN {c} END AS {c}" for c in done)}
       FROM levelled"""
     out["stream_reports"] = out["report_uploads"]
+    code = f"CASE WHEN kind IN ('exe', '') THEN 400 WHEN file_size > {UPLOAD_CAP} THEN 413 WHEN file_size = 0 THEN 400 " \
+        "WHEN kind IN ('pdf', 'docx') THEN 422 ELSE 200 END"
+    done += ["cooccurrence_bonus", "n_recommendations"]
+    out["assess_uploads"] = total + f"""
+      SELECT doc_id, filename, CASE WHEN {bad} THEN 'error' ELSE 'ok' END AS status, {code} AS http_code,
+        {', '.join(f"CASE WHEN NOT ({bad}) THEN {c} END AS {c}" for c in done)}
+      FROM (SELECT *, CAST(CASE WHEN types = 0 THEN 0 ELSE types + 2 END AS INTEGER) AS n_recommendations FROM levelled)"""
+    out["levels_uploads"] = total + f"""
+      SELECT source, CASE WHEN {bad} THEN 'UNREAD' ELSE risk_level END AS risk_level, count(*) AS documents
+      FROM levelled GROUP BY ALL"""
     out["stream_quarantine"] = f"""
       SELECT filename, 'error' AS status,
         CASE WHEN kind IN ('exe', '') THEN 400 WHEN file_size > {UPLOAD_CAP} THEN 413 WHEN file_size = 0 THEN 400 ELSE 422 END AS http_code,
@@ -524,6 +570,9 @@ def oracle_sql() -> dict[str, str]:
         || coalesce(advice, '[]') || '}}' AS report
       FROM levelled LEFT JOIN nested USING (rid)"""
 
+    for name, corpus in (("masked_text", "documents"), ("masked_text_derived", "derived"), ("masked_text_orders", "orders")):
+        out[name] = masked_sql(corpus)
+
     # decoding
     latin = r"regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g')"
     decoded = f"CASE WHEN doc_id % 3 = 2 THEN {latin} ELSE text END"

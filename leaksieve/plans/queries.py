@@ -32,6 +32,7 @@ from ..operators import (
     exposure_by,
     findings_table,
     legacy_score,
+    mask,
     numbered_recommendations,
     sample_table,
     scan,
@@ -441,6 +442,34 @@ def _files(df: DataFrame, with_extracted: bool = False) -> DataFrame:
     return files.withColumn("size_bytes", F.octet_length("content").cast("bigint"))
 
 
+def _masked(corpus: str) -> Query:
+    """Masked texts, told by their digest, and where the matches were."""
+
+    def query(spark, sf_dir):
+        masked = mask(texts(spark, sf_dir, corpus))
+        place = lambda p: F.concat_ws(":", p["key"], p["start"], p["end"])
+        return masked.select(
+            *keys_of(corpus),
+            F.size("masked").alias("n_masked"),
+            F.md5("masked_text").alias("masked_md5"),
+            F.array_join(F.transform("masked", place), ",").alias("places"),
+        )
+
+    return query
+
+
+def assess_uploads(spark, sf_dir):
+    """Files of every kind and size through the gates, then scored: what was not read has no score."""
+    read = extract_text(_files(texts(spark, sf_dir, "documents")), max_bytes=UPLOAD_CAP)
+    scored = assess(read, keep=["doc_id", "filename", "status", "http_code"])
+    return _doubles(flat_report(scored, ["doc_id", "filename", "status", "http_code"]), "raw_score")
+
+
+def levels_uploads(spark, sf_dir):
+    read = extract_text(_files(texts(spark, sf_dir, "documents")), max_bytes=UPLOAD_CAP)
+    return documents_by_level(with_risk(scan(read, keep=["source"], samples=False)), "source")
+
+
 def file_scan(spark, sf_dir):
     """Every document as a file of its own, whatever its kind and size: decoded, scanned by all rules, totals per source."""
     files = _files(texts(spark, sf_dir, "documents"), with_extracted=True)
@@ -585,6 +614,11 @@ def queries() -> dict[str, Query]:
         top_k_risky_derived=_top("derived", 50),
         binary_decode=_binary_decode("backend"),
         binary_decode_browser=_binary_decode("browser"),
+        masked_text=_masked("documents"),
+        masked_text_derived=_masked("derived"),
+        masked_text_orders=_masked("orders"),
+        assess_uploads=assess_uploads,
+        levels_uploads=levels_uploads,
         file_scan=file_scan,
         stream_scan=stream_scan,
         stream_reports=stream_reports,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dialect import BACKEND, Profile, resolve
 from ..operators.advice import with_recommendations
+from ..operators.columns import must_be_free, quoted, spare
 from ..operators.risk import with_risk
 from ..operators.scan import scan
 from ..rules import RULES, Rule
@@ -48,26 +49,29 @@ def report(
     results: what was not read is not reported as clean.
     """
     profile = resolve(profile)
+    must_be_free(keep, ("status", "filename", "size_bytes", "total_characters", "findings", *_SCORES, *_TAIL), "report")
+    status_name, text_name = spare(keep, "status", "text")
+    kept = quoted(keep)
     gated = "status" in df.columns
     status = F.when(F.col("status").eqNullSafe("ok"), "success").otherwise("error") if gated else F.lit("success")
     size = F.col(size_bytes) if size_bytes else F.octet_length(F.coalesce(F.col(text), F.lit("")))
     named = df.select(
-        *keep,
+        *kept,
         F.col(filename).alias("filename"),
         size.cast("bigint").alias("size_bytes"),
-        F.col(text).alias("text"),
-        status.alias("_status"),
+        F.col(text).alias(text_name),
+        status.alias(status_name),
     )
-    done = assess(named, "text", [*keep, "filename", "size_bytes", "_status"], rules, profile)
+    done = assess(named, text_name, [*keep, "filename", "size_bytes", status_name], rules, profile)
     fields = ["category", "label", "count", "severity", "confidence", "samples"]
     if profile.keep_finding_key:
         fields.insert(0, "key")
     shown = F.transform("findings", lambda f: F.struct(*[f[c].alias(c) for c in fields]))
     results = {c: F.col(c) for c in ("total_characters", *_SCORES)} | {"findings": shown} | {c: F.col(c) for c in _TAIL}
     if gated:
-        results = {c: F.when(F.col("_status") == "success", x) for c, x in results.items()}
+        results = {c: F.when(F.col(status_name) == "success", x) for c, x in results.items()}
     return done.select(
-        *keep, F.col("_status").alias("status"), "filename", "size_bytes", *[x.alias(c) for c, x in results.items()]
+        *kept, F.col(status_name).alias("status"), "filename", "size_bytes", *[x.alias(c) for c, x in results.items()]
     )
 
 
@@ -86,15 +90,17 @@ def scan_log(reports: DataFrame) -> DataFrame:
 
 
 def flat_report(assessed: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Report figures without nested columns."""
+    """Report figures without nested columns; null for documents that were not read."""
+    made = ("total_characters", "total_findings", "types", "cooccurrence_bonus", "raw_score", "score", "risk_level", "n_recommendations")
+    must_be_free(by, made, "flat_report")
     return assessed.select(
-        *by,
+        *quoted(by),
         "total_characters",
         "total_findings",
-        F.size("findings").alias("types"),
+        F.when(F.col("findings").isNotNull(), F.size("findings")).alias("types"),
         "cooccurrence_bonus",
         F.col("raw_score").cast("double").alias("raw_score"),
         "score",
         "risk_level",
-        F.size("recommendations").alias("n_recommendations"),
+        F.when(F.col("findings").isNotNull(), F.size("recommendations")).alias("n_recommendations"),
     )
