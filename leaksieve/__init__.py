@@ -1,6 +1,7 @@
 """leaksieve: find personal data and secrets in texts, and score the risk, on Spark."""
 
 from .dialect import BACKEND, BROWSER, PROFILES, Profile
+from .functions import register_functions
 from .operators import (
     documents_by_level,
     exposure_by,
@@ -20,7 +21,7 @@ from .streaming import read_stream, start_scan
 __all__ = [
     "BACKEND", "BROWSER", "PROFILES", "RULES", "Hint", "Profile", "Rule", "assess",
     "documents_by_level", "exposure_by", "extract_text", "findings_table", "flat_report", "gate",
-    "mask", "only_rules", "quarantine", "read_files", "read_stream", "report", "rule_catalog", "rule_keys",
+    "mask", "only_rules", "quarantine", "read_files", "read_stream", "register_functions", "report", "rule_catalog", "rule_keys",
     "scan", "scan_log", "score_findings", "start_scan", "text_table", "top_risky",
     "with_recommendations", "with_risk", "with_rules", "write_reports",
 ]

@@ -66,14 +66,16 @@ def verhoeff_valid(value: Column, profile: Profile | str = BACKEND) -> Column:
     return _digits_satisfy(value, profile, holds)
 
 
+_CAPITAL = r"[\p{L}&&\p{IsUppercase}]"
+_FIRST_FIVE = r"(?=.{0,4}\p{IsUppercase})[\p{L}&&[^\p{IsLowercase}\p{Lt}]]{5}"
+#: By whether letters and digits of any alphabet count.
+PAN_PATTERNS = {True: rf"^{_FIRST_FIVE}\p{{Nd}}{{4}}{_CAPITAL}\z", False: r"^[A-Z]{5}[0-9]{4}[A-Z]\z"}
+
+
 def pan_valid(value: Column, profile: Profile | str = BACKEND) -> Column:
     """True for five capital letters, four digits and one capital letter, and nothing else.
 
     The backend profile takes any alphabet: the first five must be letters, at
     least one of them a capital and none of them lower or title case.
     """
-    if resolve(profile).unicode:
-        capital = r"[\p{L}&&\p{IsUppercase}]"
-        first = r"(?=.{0,4}\p{IsUppercase})[\p{L}&&[^\p{IsLowercase}\p{Lt}]]{5}"
-        return value.rlike(rf"^{first}\p{{Nd}}{{4}}{capital}\z")
-    return value.rlike(r"^[A-Z]{5}[0-9]{4}[A-Z]\z")
+    return value.rlike(PAN_PATTERNS[resolve(profile).unicode])

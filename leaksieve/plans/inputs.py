@@ -135,6 +135,27 @@ INPUTS = {
     ),
 }
 
+_ORDER_VALUES = {"card_numbers": ("number", "card"), "identity_numbers": ("number", "identity"), "tax_codes": ("code", "code"),
+                 "raw_scores": ("raw_score", "raw_score"), "whole_scores": ("score", "score"), "uploads": ("size_bytes", "size_bytes")}
+
+
+def _expression(name: str, column: str) -> str:
+    return next(e for e in INPUTS[name][1] if e.endswith(f" AS {column}"))[: -len(f" AS {column}")]
+
+
+# one value of each kind for every order
+INPUTS["sql_values"] = (
+    "orders",
+    (
+        "o_orderkey",
+        *[f"{_expression(name, column)} AS {alias}" for name, (column, alias) in _ORDER_VALUES.items()],
+        "CASE o_orderkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'aws_secret' WHEN 2 THEN 'phone_in' ELSE 'unknown_key' END AS key",
+        "cast(o_orderkey % 120 AS int) AS n",
+        "CASE o_orderkey % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 3 THEN 'UNSURE' ELSE NULL END AS confidence",
+        "cast(o_orderkey % 4 AS int) AS types",
+    ),
+)
+
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, expressions = INPUTS[name]

@@ -573,6 +573,38 @@ def oracle_sql() -> dict[str, str]:
     for name, corpus in (("masked_text", "documents"), ("masked_text_derived", "derived"), ("masked_text_orders", "orders")):
         out[name] = masked_sql(corpus)
 
+    for name in ("folder_scan", "folder_update", "stream_sinks_reports"):
+        out[name] = out["report_uploads"]
+    out["stream_sinks_errors"] = out["stream_quarantine"]
+    out["stream_once"] = out["report_documents"]
+    out["stream_exposure"], out["stream_levels"] = out["exposure_by_source"], out["docs_by_level_source"]
+    out["top_k_by_source"] = scan_ctes("documents") + """
+      SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score, risk_level
+      FROM levelled QUALIFY rank <= 5"""
+    for name, fields in (("exposure_cube", "category"), ("exposure_cube_two", "category, severity")):
+        out[name] = scan_ctes("documents") + f"""
+          SELECT source, lang, {fields}, CAST(grouping(source, lang, {fields}) AS INTEGER) AS grouping,
+            count(DISTINCT rid) AS documents, CAST(sum(count) AS BIGINT) AS matches
+          FROM found JOIN docs USING (rid) GROUP BY CUBE (source, lang, {fields})"""
+    out["distinct_exposed"] = scan_ctes("orders") + """
+      SELECT key, count(DISTINCT value) AS values FROM (SELECT r.key, unnest(m) AS value FROM hits JOIN rules r USING (idx)) GROUP BY key"""
+    out["distinct_estimates"] = f"SELECT *, true AS near FROM ({out['distinct_exposed']})"
+    out["report_metrics"] = f"""
+      WITH v AS ({out['own_report_violations']}), n AS (SELECT count(*) AS n FROM customer),
+      checks(metric) AS (VALUES ('score_range'), ('risk_level'), ('total_findings'), ('total_characters'), ('cooccurrence_bonus'),
+        ('size_bytes'), ('finding_count'), ('breakdown_entry'))
+      SELECT metric, count(violation) AS n FROM checks LEFT JOIN v ON metric = violation GROUP BY metric
+      UNION ALL SELECT 'broken', count(*) FROM v UNION ALL SELECT 'rows', n FROM n"""
+    for name, browser in (("sql_functions", False), ("sql_functions_browser", True)):
+        out[name] = f"""
+          SELECT o_orderkey, {luhn_sql('card')} AS luhn, {verhoeff_sql('identity')} AS verhoeff,
+            regexp_full_match(code, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS pan, {redact_sql('code')} AS redacted,
+            {bytes_sql('size_bytes')} AS shown, upper(replace(key, '_', ' ')) AS label,
+            CAST({points_sql('key', 'n', 'confidence')} AS DOUBLE) AS contribution,
+            {final_sql('raw_score', bonus_sql('types', browser), browser)} AS final, {level_sql('score')} AS risk_level,
+            {level_sql('score * CAST(1.01 AS DOUBLE)' if browser else 'trunc(score * CAST(1.01 AS DOUBLE))')} AS tier
+          FROM ({derive_sql('sql_values')})"""
+
     # decoding
     latin = r"regexp_replace(text, '[^\x{00}-\x{ff}]', '?', 'g')"
     decoded = f"CASE WHEN doc_id % 3 = 2 THEN {latin} ELSE text END"

@@ -18,6 +18,7 @@ from ..functions import (
     luhn_valid,
     pan_valid,
     redact,
+    register_functions,
     risk_level,
     rule_label,
     severity_weight,
@@ -28,16 +29,21 @@ from ..functions import (
 from ..operators import (
     breakdown_of,
     breakdown_table,
+    distinct_values,
     documents_by_level,
     exposure_by,
+    exposure_cube,
     findings_table,
     legacy_score,
     mask,
+    merge_values,
     numbered_recommendations,
     sample_table,
     scan,
     score_findings,
     top_risky,
+    top_risky_by,
+    value_hashes,
     with_flags,
     with_recommendations,
     with_risk,
@@ -45,16 +51,22 @@ from ..operators import (
 from ..rules import Hint, Rule, coverage, only_rules, rule_catalog, rule_keys, with_rules
 from ..sources import (
     as_json,
+    current,
     decode_text,
     extract_text,
     gate,
+    list_files,
+    load_files,
     quarantine,
     report_violations,
     request_violations,
+    save_files,
     shared_folder,
     spread,
+    update,
+    write_checked,
 )
-from ..streaming import read_stream, start_scan
+from ..streaming import latest_groups, once, read_batches, read_stream, report_stream, start_batches, start_scan
 from .corpus import TABLES, keys_of, texts
 from .inputs import derive
 from .report import assess, flat_report, report, scan_log
@@ -368,13 +380,13 @@ def rejected(spark, sf_dir):
     return quarantine(gate(_uploads(spark, sf_dir)))
 
 
-def own_report_violations(spark, sf_dir):
-    """Reports of this engine, most of them spoilt in one field, against all eight checks."""
+def _spoilt_reports(spark, sf_dir) -> DataFrame:
+    """Reports of this engine, most of them spoilt in one field."""
     doc_id = F.regexp_extract("filename", "([0-9]+)", 1).cast("bigint")
     reports = _records(spark, sf_dir, "derived").withColumn("doc_id", doc_id)
     spoilt = lambda n, bad, column: F.when(F.col("doc_id") % 9 == n, bad).otherwise(F.col(column))
     minus = lambda x, field: x.withField(field, -x[field])
-    reports = reports.withColumns({
+    return reports.withColumns({
         "score": spoilt(1, F.lit(101), "score"),
         "risk_level": spoilt(2, F.lit("SEVERE"), "risk_level"),
         "total_findings": spoilt(3, F.lit(-1), "total_findings"),
@@ -384,7 +396,17 @@ def own_report_violations(spark, sf_dir):
         "findings": spoilt(7, F.transform("findings", lambda f: minus(f, "count")), "findings"),
         "breakdown": spoilt(8, F.transform_values("breakdown", lambda k, e: minus(e, "severity_weight")), "breakdown"),
     })
-    return report_violations(reports).select("doc_id", "violation")
+
+
+def own_report_violations(spark, sf_dir):
+    """Against all eight checks."""
+    return report_violations(_spoilt_reports(spark, sf_dir)).select("doc_id", "violation")
+
+
+def report_metrics(spark, sf_dir):
+    """The same counts, taken while the reports are written."""
+    seen = write_checked(_spoilt_reports(spark, sf_dir), shared_folder(spark, "checked-reports"))
+    return spark.createDataFrame(sorted(seen.items()), "metric string, n bigint")
 
 
 def _exposure(corpus: str, *by: str) -> Query:
@@ -401,6 +423,38 @@ def _top(corpus: str, k: int) -> Query:
     )
 
 
+def top_k_by_source(spark, sf_dir):
+    ranked = top_risky_by(_scored(spark, sf_dir, "documents"), 5, ["source"], ["doc_id"])
+    return ranked.select("source", "rank", "doc_id", "score", "risk_level")
+
+
+def _cube(*fields: str) -> Query:
+    def query(spark, sf_dir):
+        scanned = _scanned(spark, sf_dir, "documents", samples=False)
+        return exposure_cube(scanned, ["source", "lang"], fields)
+
+    return query
+
+
+SALT = "documents of this corpus"
+
+
+def distinct_exposed(spark, sf_dir):
+    """Different values exposed per rule, exactly."""
+    hashes = value_hashes(texts(spark, sf_dir, "orders"), SALT)
+    return hashes.groupBy("key").agg(F.countDistinct("value").alias("values"))
+
+
+def distinct_estimates(spark, sf_dir):
+    """The same by sketches of parts, merged, and whether each is within four standard errors."""
+    docs = texts(spark, sf_dir, "orders").withColumn("part", F.col("doc_id") % 7)
+    hashes = value_hashes(docs, SALT, ["part"])
+    merged = merge_values(distinct_values(hashes, ["part", "key"]), ["key"]).select("key", F.col("values").alias("estimate"))
+    both = distinct_exposed(spark, sf_dir).join(merged, "key")
+    error = 4 * 1.04 / 2**6
+    return both.select("key", "values", (F.abs(F.col("estimate") - F.col("values")) <= error * F.col("values") + 1).alias("near"))
+
+
 def _binary_decode(profile: str) -> Query:
     """Texts as bytes in three encodings (marked UTF-8, UTF-8, Latin-1), decoded again."""
 
@@ -470,6 +524,26 @@ def levels_uploads(spark, sf_dir):
     return documents_by_level(with_risk(scan(read, keep=["source"], samples=False)), "source")
 
 
+_SQL_CALLS = """
+    SELECT o_orderkey, {p}luhn_valid(card) AS luhn, {p}verhoeff_valid(identity) AS verhoeff, {p}pan_valid(code) AS pan,
+      {p}redact(code) AS redacted, {p}format_bytes(size_bytes) AS shown, {p}rule_label(key) AS label,
+      cast({p}contribution(key, n, confidence) AS double) AS contribution,
+      {p}final_score(raw_score, {p}cooccurrence_bonus(types)) AS final, {p}risk_level(score) AS risk_level,
+      {p}classify_tier(score * 1.01D) AS tier
+    FROM {{orders}}"""
+
+
+def _sql_functions(profile: str) -> Query:
+    """What users of SQL write, over values made from every order."""
+
+    def query(spark, sf_dir):
+        prefix = f"leaksieve_{profile}_"
+        register_functions(spark, profile, prefix)
+        return spark.sql(_SQL_CALLS.format(p=prefix), orders=derive(spark, sf_dir, "sql_values"))
+
+    return query
+
+
 def file_scan(spark, sf_dir):
     """Every document as a file of its own, whatever its kind and size: decoded, scanned by all rules, totals per source."""
     files = _files(texts(spark, sf_dir, "documents"), with_extracted=True)
@@ -489,7 +563,10 @@ def any_extension(spark, sf_dir):
 
 
 def _upload_reports(files: DataFrame) -> DataFrame:
-    reports = report(extract_text(files, max_bytes=UPLOAD_CAP), size_bytes="size_bytes", keep=["doc_id"])
+    return _upload_columns(report(extract_text(files, max_bytes=UPLOAD_CAP), size_bytes="size_bytes", keep=["doc_id"]))
+
+
+def _upload_columns(reports: DataFrame) -> DataFrame:
     return _doubles(reports, "raw_score").select(
         "doc_id", "status", "filename", "size_bytes", "total_characters", "score", "risk_level", "total_findings",
         F.when(F.col("findings").isNotNull(), F.size("findings")).alias("types"), "raw_score",
@@ -506,6 +583,42 @@ def report_json_full(spark, sf_dir):
     return as_json(_records(spark, sf_dir, "derived"))
 
 
+def _saved(files: DataFrame, folder: str) -> None:
+    save_files(files.select(F.concat_ws("/", "source", "filename").alias("path"), "content"), folder)
+
+
+def _loaded_reports(loaded: DataFrame) -> DataFrame:
+    """Reports of the files of a folder, by the number in their names."""
+    doc_id = F.regexp_extract("filename", "^([0-9]+)", 1).cast("bigint")
+    return _upload_reports(loaded.withColumn("doc_id", doc_id))
+
+
+def folder_scan(spark, sf_dir):
+    """Every document as a real file: written, listed, loaded and reported."""
+    folder = shared_folder(spark, "folder")
+    _saved(_files(texts(spark, sf_dir, "documents")), folder)
+    return _loaded_reports(load_files(list_files(spark, folder), partitions=2 * spark.sparkContext.defaultParallelism))
+
+
+def folder_update(spark, sf_dir):
+    """A folder scanned twice; between the runs half the files come in and some change."""
+    folder, state = shared_folder(spark, "folder"), shared_folder(spark, "folder-state")
+    files = _files(texts(spark, sf_dir, "documents"))
+    older = F.when(F.col("doc_id") % 10 == 0, F.encode(F.lit("an older version, pwd=12345678"), "UTF-8")).otherwise(F.col("content"))
+    _saved(files.where("doc_id % 2 = 0").withColumn("content", older), folder)
+
+    def run() -> None:
+        with_path = lambda loaded: extract_text(loaded, max_bytes=UPLOAD_CAP)
+        update(spark, folder, state, lambda loaded: report(with_path(loaded), size_bytes="size_bytes", keep=["path"]))
+
+    run()
+    _saved(files.where("doc_id % 2 = 1 or doc_id % 10 = 0"), folder)
+    run()
+    latest = current(spark, folder, state)
+    doc_id = F.regexp_extract("filename", "^([0-9]+)", 1).cast("bigint")
+    return _upload_columns(latest.withColumn("doc_id", doc_id))
+
+
 def _arriving_files(spark, sf_dir) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     arriving = read_stream(spark, f"{sf_dir}/{{documents}}.parquet", schema).select("doc_id", "source", "text")
@@ -541,6 +654,55 @@ def stream_scan(spark, sf_dir):
     return spark.read.schema(results.schema).parquet(f"{folder}/reports")
 
 
+def _both_kinds(spark, sf_dir) -> DataFrame:
+    """Reports and errors that one stream wrote in one pass; its one batch is then written again."""
+    files = extract_text(_arriving_files(spark, sf_dir), max_bytes=UPLOAD_CAP)
+    results = report_stream(files, keep=["doc_id"])
+    folder = shared_folder(spark, "stream-both")
+    for attempt in ("first", "again"):  # without the checkpoint of the first, all batches are replayed
+        start_batches(results, f"{folder}/rows", f"{folder}/{attempt}", ["status"], until_done=True).awaitTermination()
+    return read_batches(spark, f"{folder}/rows", results.schema)
+
+
+def stream_sinks_reports(spark, sf_dir):
+    return _upload_columns(_both_kinds(spark, sf_dir))
+
+
+def stream_sinks_errors(spark, sf_dir):
+    return quarantine(_both_kinds(spark, sf_dir))
+
+
+def stream_once(spark, sf_dir):
+    """Every document delivered twice, minutes apart and in two batches; reported once."""
+    folder = shared_folder(spark, "stream-once")
+    docs = texts(spark, sf_dir, "documents")
+    arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600)
+    for minutes in (0, 5):
+        again = docs.withColumn("arrived", arrived + F.make_dt_interval(mins=F.lit(minutes)))
+        again.write.mode("append").parquet(f"{folder}/in")
+    schema = spark.read.parquet(f"{folder}/in").schema
+    arriving = read_stream(spark, f"{folder}/in", schema, files_per_batch=1)
+    single = once(arriving, ["doc_id"], "arrived", "2 hours")
+    return _worked_off(flat_report(assess(single, keep=list(keys_of("documents"))), keys_of("documents")), "stream-once-out")
+
+
+def _stream_rollup(rollup: Callable[[DataFrame], DataFrame], by: tuple[str, ...], scored: bool) -> Query:
+    """A roll-up kept up to date by a stream that is stopped and started again in between."""
+
+    def query(spark, sf_dir):
+        folder = shared_folder(spark, "stream-rollup")
+        docs = texts(spark, sf_dir, "documents")
+        for part in (0, 1):
+            docs.where(F.col("doc_id") % 2 == part).coalesce(2).write.mode("append").parquet(f"{folder}/in")
+            arriving = spread(read_stream(spark, f"{folder}/in", docs.schema), 2 * spark.sparkContext.defaultParallelism)
+            scanned = scan(arriving, keep=["source"], samples=False)
+            results = rollup(with_risk(scanned) if scored else scanned)
+            start_batches(results, f"{folder}/out", f"{folder}/checkpoint", mode="update", until_done=True).awaitTermination()
+        return latest_groups(spark, f"{folder}/out", results.schema, by)
+
+    return query
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for corpus in ("documents", "derived", "pages", "conversations", "benchmark"):
@@ -619,6 +781,21 @@ def queries() -> dict[str, Query]:
         masked_text_orders=_masked("orders"),
         assess_uploads=assess_uploads,
         levels_uploads=levels_uploads,
+        sql_functions=_sql_functions("backend"),
+        sql_functions_browser=_sql_functions("browser"),
+        top_k_by_source=top_k_by_source,
+        exposure_cube=_cube("category"),
+        exposure_cube_two=_cube("category", "severity"),
+        distinct_exposed=distinct_exposed,
+        distinct_estimates=distinct_estimates,
+        report_metrics=report_metrics,
+        folder_scan=folder_scan,
+        folder_update=folder_update,
+        stream_sinks_reports=stream_sinks_reports,
+        stream_sinks_errors=stream_sinks_errors,
+        stream_once=stream_once,
+        stream_exposure=_stream_rollup(lambda s: exposure_by(s, "source", "category"), ("source", "category"), False),
+        stream_levels=_stream_rollup(lambda s: documents_by_level(s, "source"), ("source", "risk_level"), True),
         file_scan=file_scan,
         stream_scan=stream_scan,
         stream_reports=stream_reports,

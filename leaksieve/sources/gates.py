@@ -110,8 +110,8 @@ def normalized_level(level: Column) -> Column:
     return F.upper(level)
 
 
-def report_violations(reports: DataFrame) -> DataFrame:
-    """Reports that break the output contract; empty for anything this engine writes."""
+def report_checks(reports: DataFrame) -> dict[str, Column]:
+    """The output contract: what must hold for every report record, by name."""
     levels = [name for _, name in fv.LEVELS] + [fv.LEVEL_ABOVE]
     checks = {
         "score_range": F.col("score").between(0, fv.MAX_SCORE),
@@ -128,4 +128,9 @@ def report_violations(reports: DataFrame) -> DataFrame:
         checks["breakdown_entry"] = F.forall(
             F.map_values("breakdown"), lambda e: (e["count"] >= 0) & (e["severity_weight"] >= 0)
         )
-    return _violations(reports, checks)
+    return checks
+
+
+def report_violations(reports: DataFrame) -> DataFrame:
+    """Reports that break the output contract; empty for anything this engine writes."""
+    return _violations(reports, report_checks(reports))

@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .gates import report_checks
+
 
 def as_json(df: DataFrame, keep: Sequence[str] = (), name: str = "report") -> DataFrame:
     """Each row as one JSON string, beside the ``keep`` columns."""
@@ -23,6 +27,24 @@ def write_reports(
     reports.write.format(format).mode(mode).partitionBy(*partition_by).save(path)
 
 
+def write_checked(
+    reports: DataFrame, path: str, format: str = "parquet", mode: str = "errorifexists",
+    partition_by: Sequence[str] = (),
+) -> dict[str, int]:
+    """Writes report records and checks them against the output contract in the same pass.
+
+    Returns how many ``rows`` were written, how many break the contract (``broken``) and how
+    many break each check. Spark counts them while it writes; nothing is read twice.
+    """
+    checks = report_checks(reports)
+    holds = {name: F.coalesce(ok, F.lit(False)) for name, ok in checks.items()}
+    counted = [F.count_if(~ok).alias(name) for name, ok in holds.items()]
+    broken = F.count_if(~reduce(and_, holds.values())).alias("broken")
+    seen = Observation()
+    write_reports(reports.observe(seen, F.count(F.lit(1)).alias("rows"), broken, *counted), path, format, mode, partition_by)
+    return seen.get
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path every executor can reach.
 
