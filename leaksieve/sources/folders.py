@@ -187,7 +187,8 @@ def update(
     ``pending`` list, one folder per run. The list of files is written first and read back, so
     that files which arrive meanwhile wait for the next run. The manifest is written last, and a
     run that broke off has the same number when it is made again: it replaces what it had
-    written, so no file is missed and none counts twice.
+    written, so no file is missed and none counts twice. A run that finds nothing leaves its
+    number to the next.
     """
     manifest = _runs(spark, f"{state}/manifest", LISTED)
     run = (manifest.agg(F.max("run")).first()[0] or 0) + 1

@@ -102,7 +102,7 @@ def start_batches(
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """What ``start_batches`` wrote, of all batches."""
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*quoted(schema.names))
 
 
 def latest_groups(spark: SparkSession, path: str, schema: StructType, by: Sequence[str]) -> DataFrame:
