@@ -11,8 +11,9 @@ from .common import LOWER, chunked, flat, ranges, word_hashes, word_spans, writt
 from .fm_index import FMIndex
 
 WINDOW = 13
-#: Text of test items searched for in one pass over the documents; more make more passes.
-BLOCK_BYTES = 16 << 20
+#: Different windows searched for in one pass over the documents, in bytes of their words' hashes (a
+#: million windows of 13 words); more make more passes.
+BLOCK_BYTES = 104 << 20
 
 #: Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing.
 WORD = np.zeros(256, bool)
@@ -40,11 +41,27 @@ class Phrases:
         hashes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
         self.lengths = np.diff(offsets) // 8
         self.vocabulary = np.unique(hashes)
-        self.rows = np.zeros((n, window), np.int64)
+        self.rows = np.zeros((n, window), np.int32)
         # shorter ones stand at the end of their row
         at = np.arange(n) * window + window - self.lengths
         self.rows.ravel()[ranges(at, self.lengths)] = np.searchsorted(self.vocabulary, hashes) + 1
         self.owners = owners
+        # the phrases by their rarest word: a shard is searched for those alone whose rarest word it has
+        often = np.bincount(self.rows.ravel(), minlength=len(self.vocabulary) + 1)
+        often[0] = len(hashes) + 1
+        rarest = self.rows[np.arange(n), often[self.rows].argmin(1)] if n else np.zeros(0, np.int32)
+        self.by_rarest = np.argsort(rarest, kind="stable").astype(np.int32)
+        self.opens = np.searchsorted(rarest[self.by_rarest], np.arange(len(self.vocabulary) + 2)).astype(np.int32)
+
+    def possible(self, symbols: np.ndarray) -> np.ndarray:
+        """The phrases all of whose words are among these symbols."""
+        present = np.zeros(len(self.vocabulary) + 1, bool)
+        present[symbols] = True
+        words = np.flatnonzero(present[1:]) + 1
+        present[0] = True  # what stands before a short phrase in its row
+        starts = self.opens[words].astype(np.int64)
+        some = self.by_rarest[ranges(starts, self.opens[words + 1] - starts)]
+        return some[present[self.rows[some]].all(1)]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary, 0 for all others."""
@@ -72,10 +89,14 @@ class Phrases:
         places = ranges(starts, sizes + 1)  # a separator follows each run
         seq = symbols[np.minimum(places, len(words) - 1)]
         seq[np.cumsum(sizes + 1) - 1] = 0
-        index = FMIndex(seq, len(self.vocabulary) + 1)
-        lo, hi = index.search(self.rows, self.lengths)
+        some = self.possible(seq)
+        if not len(some):
+            return none, none
+        used, numbered = np.unique(seq, return_inverse=True)  # 0, the separator, comes first
+        index = FMIndex(numbered, len(used))
+        lo, hi = index.search(np.searchsorted(used, self.rows[some]), self.lengths[some])
         found = index.locate(ranges(lo, hi - lo))
-        return places[found], np.repeat(np.arange(len(lo)), hi - lo)
+        return places[found], np.repeat(some, hi - lo)
 
 
 def _scan(batches, phrases: Phrases):
@@ -146,11 +167,11 @@ def benchmark_hits(
     A phrase is ``window`` consecutive words of an item, or all words of a shorter one.
     ``spans`` are the merged runs of words inside any occurrence, as word numbers, end
     exclusive; ``items`` the ids of the items found, in order. Documents are cut into
-    shards of about 1 MB; each shard's FM-index is searched for all phrases at once, and
-    occurrences are located by sampled suffix positions. The different phrases are made by
-    Spark tasks and go out in blocks, one for each ``block_bytes`` of items, so what the driver
-    and a task hold is bounded; a further block costs a further pass, whose hits are written
-    before the next block is made, and a join to the rows.
+    shards of about 1 MB; each shard's FM-index is searched for all phrases at once whose
+    rarest word the shard has, and occurrences are located by sampled suffix positions. The
+    different phrases are made by Spark tasks and go out in blocks of ``block_bytes``, so what
+    the driver and a task hold is bounded; a further block costs a further pass, whose hits are
+    written before the next block is made, and a join to the rows.
 
     A null or empty text has no words and no spans; items without words match nothing;
     an item without an id marks words but is not listed. A row per input row comes back,
@@ -159,13 +180,13 @@ def benchmark_hits(
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tag"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
     distinct = items.mapInArrow(lambda batches: _windows(batches, window), _WINDOWS).groupBy("window").agg(F.collect_set("item").alias("items"))
-    phrases = written(distinct.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks))), "benchmark-windows")
+    phrases = written(distinct, "benchmark-windows")
+    size = phrases.agg(F.sum(F.octet_length("window"))).first()[0] or 0
+    n_blocks = max(1, -(-size // block_bytes))
 
     def sent(block: int):
-        table = phrases.where(F.col("block") == block).toArrow()
+        table = phrases.where(F.pmod(F.xxhash64("window"), F.lit(n_blocks)) == block).toArrow()
         return spark.sparkContext.broadcast(Phrases(table.column("window").combine_chunks(), table.column("items").combine_chunks(), window))
 
     def scanned(block) -> DataFrame:

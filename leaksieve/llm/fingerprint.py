@@ -105,15 +105,48 @@ def _parts(texts: list[bytes]):
 _DEALT = "part int, guest boolean, doc_id long, tag long, text string"
 
 
-def _dealt(batches, bounds: np.ndarray, largest: dict[int, int], after: dict[int, int]):
-    """Each row to the part of its id; what comes next for another part goes there too, as a guest."""
+class Ranges:
+    """Parts of the rows in order of doc_id, rows of one id in falling order of ``tag``.
+
+    Made of quantiles of doc_id. An id that several of them name has so many rows that its tags,
+    which are spread evenly, are cut into as many ranges.
+    """
+
+    def __init__(self, quantiles: list[float]):
+        self.ids, self.times = np.unique(np.array(quantiles, np.float64).astype(np.int64), return_counts=True)
+        self.before = self.times.cumsum() - self.times
+
+    def part(self, ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int32)
+        at = np.searchsorted(self.ids, ids, "right") - 1
+        times = self.times[at].astype(np.uint64)
+        even = ~(tags.astype(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        within = np.where(ids == self.ids[at], (even * times >> np.uint64(32)).astype(np.int64), self.times[at] - 1)
+        return np.where(at < 0, 0, 1 + self.before[at] + within).astype(np.int32)
+
+
+def _key(ids: np.ndarray, tags: np.ndarray) -> list[tuple[int, int]]:
+    """What rows are ordered by: the next document is the one with the next smaller key."""
+    return list(zip(ids.tolist(), (-1 - tags).tolist()))
+
+
+def _dealt(batches, bounds: Ranges, largest: dict[int, tuple[int, int]], after: dict[int, int]):
+    """Each row to the part of its id; what comes next for another part goes there too, as a guest.
+
+    Rows alike in id and text are one guest: it does not matter which of them comes next.
+    """
     for batch in batches:
-        part = np.searchsorted(bounds, batch.column("doc_id").to_numpy(), "right").astype(np.int32)
+        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+        part = bounds.part(ids, tags)
         rest = [batch.column(c) for c in ("doc_id", "tag", "text")]
         names = ["part", "guest", "doc_id", "tag", "text"]
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), bool)), *rest], names=names)
-        top = np.array([largest[p] for p in part.tolist()], np.int64)
-        guests = np.flatnonzero(batch.column("doc_id").to_numpy() == top)
+        first: dict[int, int] = {}
+        for i, (p, key) in enumerate(zip(part.tolist(), _key(ids, tags))):
+            if key == largest[p]:
+                first.setdefault(p, i)
+        guests = np.array(sorted(first.values()), np.int64)
         if len(guests):
             to = np.array([after[p] for p in part[guests].tolist()], np.int32)
             rows = pa.array(guests)
@@ -176,9 +209,9 @@ def edit_likeness(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     near_next``. Null text is empty. Rows with the same doc_id follow each other by a
     hash of their texts; rows without an id come last. Other columns are not looked at.
 
-    Rows are dealt to ranges of ids and sorted there, so texts are shuffled once; the
-    document that comes next for a whole range goes there as a guest. The driver holds
-    two numbers for each range.
+    Rows are dealt to ranges of ids, and of text hashes where one id has many rows, and sorted
+    there, so texts are shuffled once; the document that comes next for a whole range goes
+    there as a guest. The driver holds two numbers for each range.
     """
     spark = docs.sparkSession
     own = docs.select(
@@ -189,9 +222,9 @@ def edit_likeness(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = own.select("doc_id")
     quantiles = ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    bounds = np.unique(np.array(quantiles, np.float64)).astype(np.int64)
-    tops = ids.mapInArrow(lambda batches: _tops(batches, bounds), "part int, top long").groupBy("part").agg(F.max("top")).collect()
-    largest = {r[0]: r[1] for r in tops}
+    bounds = Ranges(quantiles)
+    tops = own.select("doc_id", "tag").mapInArrow(lambda batches: _tops(batches, bounds), "part int, id long, rest long")
+    largest = {r.part: tuple(r.top) for r in tops.groupBy("part").agg(F.max(F.struct("id", "rest")).alias("top")).collect()}
     order = sorted(largest)
     after = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
     dealt = own.mapInArrow(lambda batches: _dealt(batches, bounds, largest, after), _DEALT)
@@ -199,11 +232,18 @@ def edit_likeness(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return sorted_rows.mapInArrow(lambda batches: _edited(batches, shingle), _EDITED)
 
 
-def _tops(batches, bounds: np.ndarray):
-    top: dict[int, int] = {}
+def _tops(batches, bounds: Ranges):
+    top: dict[int, tuple[int, int]] = {}
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        part = np.searchsorted(bounds, ids, "right")
+        ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
+        part = bounds.part(ids, tags)
+        keys = _key(ids, tags)
         for p in np.unique(part).tolist():
-            top[p] = max(int(ids[part == p].max()), top.get(p, _LOWEST))
-    yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.int32()), pa.array(list(top.values()), pa.int64())], names=["part", "top"])
+            mine = np.flatnonzero(part == p)
+            most = ids[mine].max()
+            best = max(keys[i] for i in mine[ids[mine] == most].tolist())
+            top[p] = max(best, top.get(p, best))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(top), pa.int32()), pa.array([k[0] for k in top.values()], pa.int64()), pa.array([k[1] for k in top.values()], pa.int64())],
+        names=["part", "id", "rest"],
+    )

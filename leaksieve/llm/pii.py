@@ -7,12 +7,14 @@ and chooses boundaries and types of all entities of a stretch together.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -233,10 +235,19 @@ def decode(field: Field, text: str, start: int, end: int) -> list[tuple[int, int
 # --- over documents
 
 
-def _examples(batches):
-    """Stretches whose pattern matches are beyond doubt: none fails there, none crosses another."""
+def _class(marked: list) -> int:
+    """0, 1 or more entities: a third of the training stretches each."""
+    return min(len(marked), 2)
+
+
+def _examples(batches, each: int):
+    """Stretches whose pattern matches are beyond doubt: none fails there, none crosses another.
+
+    Of each class a task hands on the ``each`` different ones of smallest hash, with that hash.
+    """
+    least: list[list] = [[] for _ in range(3)]
+    held: set[str] = set()
     for batch in batches:
-        rows = []
         for text in batch.column("text").to_pylist():
             if not text:
                 continue
@@ -246,35 +257,46 @@ def _examples(batches):
                 clean = all(a[2] <= b[0] for a, b in zip(inside, inside[1:])) and not any(a < end and start < b for a, b in failed)
                 if clean and len(inside) <= 8 and end - start <= 4 * TRAINING_UNITS:
                     part = text[start:end]
-                    if len(_units(part, 0, len(part))) <= TRAINING_UNITS:
-                        rows.append((part, [{"start": s - start, "kind": k, "end": e - start} for s, k, e in inside]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.string()),
-                pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))),
-            ],
-            names=["part", "marked"],
-        )
+                    if part in held or len(_units(part, 0, len(part))) > TRAINING_UNITS:
+                        continue
+                    marked = [{"start": s - start, "kind": k, "end": e - start} for s, k, e in inside]
+                    row = (-int.from_bytes(hashlib.blake2b(part.encode(), digest_size=7).digest()), part, marked)
+                    heap = least[_class(marked)]
+                    if len(heap) < each:
+                        heapq.heappush(heap, row)
+                        held.add(part)
+                    elif row[:2] > heap[0][:2]:
+                        held.discard(heapq.heapreplace(heap, row)[1])
+                        held.add(part)
+    rows = [r for heap in least for r in heap]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([-r[0] for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.string()),
+            pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))),
+        ],
+        names=["h", "part", "marked"],
+    )
 
 
 def train(docs: DataFrame, limit: int = TRAINING) -> Field:
     """A field fitted on what the patterns mark in ``docs``.
 
-    Bounded: ``limit`` different stretches, those of smallest hash, half with marks and
-    half without, each of at most 80 units. Without any, the field marks nothing.
+    Bounded: ``limit`` different stretches, those of smallest hash, a third each with several
+    marks, with one and without, each of at most 80 units. Copies count once, however many
+    there are. The texts are read once; a task hands on no more than ``limit`` stretches.
+    Without any, the field marks nothing.
     """
+    each = limit // 3
     found = (
         docs.select(F.col("text").alias("text"))
         .where(F.col("text").rlike("[0-9@]"))
-        .mapInArrow(_examples, "part string, marked array<struct<start:long,kind:long,end:long>>")
-        .withColumn("h", F.xxhash64("part"))
-        .withColumn("shape", F.size("marked"))
+        .mapInArrow(lambda batches: _examples(batches, each), "h long, part string, marked array<struct<start:long,kind:long,end:long>>")
     )
-    rows = []
-    for wanted in (F.col("shape") > 1, F.col("shape") == 1, F.col("shape") == 0):
-        rows += found.where(wanted).orderBy("h", "part").limit(limit // 3).collect()
-    distinct = {r.part: [(m.start, m.kind, m.end) for m in r.marked] for r in rows}
-    return fit(sorted(distinct.items()))
+    once = found.groupBy("h", "part").agg(F.min("marked").alias("marked")).withColumn("shape", F.least(F.size("marked"), F.lit(2)))
+    rank = F.row_number().over(Window.partitionBy("shape").orderBy("h", "part"))
+    rows = once.withColumn("rank", rank).where(F.col("rank") <= each).collect()
+    return fit(sorted((r.part, [(m.start, m.kind, m.end) for m in r.marked]) for r in rows))
 
 
 _OUT = "doc_id long, base array<struct<start:int,kind:int,end:int>>, added array<struct<start:int,kind:int,end:int>>"

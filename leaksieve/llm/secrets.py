@@ -54,30 +54,63 @@ def _no_spans() -> Column:
     return F.expr(f"cast(array() as {_SPAN})")
 
 
+#: Items that a running fold takes at once: arrays grow by copying, so they are grown in blocks.
+_BLOCK = 128
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used: inside a lambda all else is done anew for each item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(items: Column, zero: Column, add, join, emit, emitted: str) -> Column:
+    """``emit(state, item)`` for each item in order, the state being that before the item; in time that grows with the items.
+
+    Each block is folded for its total by ``add``, the totals are joined by ``join``, and then each
+    block is run through from where the blocks before it end. ``emitted`` is the type of what comes out.
+    """
+
+    def over_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, add))
+        start = F.struct(zero.alias("at"), F.array().cast(f"array<{_STATE}>").alias("starts"))
+        starts = F.aggregate(
+            totals,
+            start,
+            lambda a, t: F.struct(join(a["at"], t).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+            lambda a: a["starts"],
+        )
+        return F.flatten(F.zip_with(blocks, starts, inside))
+
+    def inside(block: Column, before: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(before.alias("at"), F.array().cast(f"array<{emitted}>").alias("out")),
+            lambda a, x: F.struct(add(a["at"], x).alias("at"), F.concat(a["out"], F.array(emit(a["at"], x).cast(emitted))).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def in_blocks(whole: Column) -> Column:
+        last = F.floor((F.size(whole) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * _BLOCK + 1, F.lit(_BLOCK)))
+
+    whole = _bound(items, lambda whole: _bound(in_blocks(whole), over_blocks))
+    return F.when(F.size(items) > 0, whole).otherwise(F.array().cast(f"array<{emitted}>"))
+
+
+_STATE = "int"
+_ONE = "struct<start:int,kind:int,end:int>"
+
+
 def _places(text: Column, found: Column, pattern: str, kind: int) -> Column:
     """The spans of all matches, from the lengths of the matches and of what stands between them."""
-    between = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.transform(between, lambda b: F.length(b)), F.transform(found, lambda m: F.length(m)), lambda b, m: F.struct(b.alias("gap"), F.coalesce(m, F.lit(0)).alias("size")))
-    start = F.struct(F.lit(0).alias("at"), _no_spans().alias("spans"))
-    folded = F.aggregate(
-        F.slice(lengths, F.lit(1), F.size(found)),
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(
-                a["spans"],
-                F.array(
-                    F.struct(
-                        (a["at"] + x["gap"]).alias("start"),
-                        F.lit(kind).alias("kind"),
-                        (a["at"] + x["gap"] + x["size"]).alias("end"),
-                    )
-                ),
-            ).cast(_SPAN).alias("spans"),
-        ),
-        lambda a: a["spans"],
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("between"), found.alias("match"))
+    lengths = F.transform(
+        F.filter(zipped, lambda z: z["match"].isNotNull()),
+        lambda z: F.struct(F.length(z["between"]).alias("gap"), F.length(z["match"]).alias("size")),
     )
-    return F.when(F.size(found) > 0, folded).otherwise(_no_spans())
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).alias("end"))
+    spans = _running(lengths, F.lit(0), lambda at, x: at + x["gap"] + x["size"], lambda a, b: a + b, span, _ONE)
+    return F.when(F.size(found) > 0, spans).otherwise(_no_spans())
 
 
 def _tail(z: Column) -> Column:
@@ -207,38 +240,112 @@ def _judged(token: Column, rare: Sequence[str]) -> Column:
     )
 
 
-def _tried(span: Column, run: Column) -> Column:
-    """A run and its parts that are long enough, each with its place and its characters."""
-    tried = F.array(F.struct(span["start"].alias("start"), span["kind"].alias("kind"), span["end"].alias("end"), run.alias("token")))
-    for pattern in PARTS:
-        parts = _places(run, F.regexp_extract_all(run, F.lit(pattern), F.lit(0)), pattern, KINDS.index("random"))
-        tried = F.concat(
-            tried,
-            F.transform(
-                parts,
-                lambda p: F.struct(
-                    (span["start"] + p["start"]).alias("start"),
-                    p["kind"].alias("kind"),
-                    (span["start"] + p["end"]).alias("end"),
-                    F.substring(run, p["start"] + 1, p["end"] - p["start"]).alias("token"),
-                ),
-            ),
-        )
-    return F.array_distinct(tried)
+def _parts(of: Column, pattern: str) -> Column:
+    """What a pattern finds in a candidate, as candidates; one that is all of it is not tried again."""
+    token, found = of["token"], F.regexp_extract_all(of["token"], F.lit(pattern), F.lit(0))
+    zipped = F.arrays_zip(_places(token, found, pattern, KINDS.index("random")).alias("place"), found.alias("token"))
+    return F.transform(
+        zipped,
+        lambda z: _candidate(
+            of["start"] + z["place"]["start"], of["start"] + z["place"]["end"], z["token"], F.length(z["token"]) < F.length(token)
+        ),
+    )
+
+
+def _candidate(start: Column, end: Column, token: Column, tried: Column) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), token.alias("token"), tried.alias("tried"))
+
+
+def _groups(run: Column, token: Column) -> Column:
+    """A run alone, then each part between slashes followed by its parts between any signs."""
 
+    def groups(r: Column) -> Column:
+        parts = F.transform(_parts(r, PARTS[0]), lambda p: F.concat(F.array(p), _parts(p, PARTS[1])))
+        return F.concat(F.array(F.array(r)), parts)
 
-def _inside(a: Column, b: Column) -> Column:
-    """Whether ``a`` lies within ``b`` and is shorter."""
-    return (a["start"] >= b["start"]) & (a["end"] <= b["end"]) & (a["end"] - a["start"] < b["end"] - b["start"])
+    return _bound(_candidate(run["start"], run["end"], token, F.lit(True)), groups)
 
 
-def _controlled(judged: Column, alpha: float) -> Column:
+def _near(base: Column, runs: Column) -> Column:
+    """For each of the runs, which lie apart and in order, the base spans that may overlap it.
+
+    Base spans are in order of their starts. Those that start before a run's end are a
+    beginning of that order; so are those up to which none ends after the run's start.
+    """
+
+    def counted(keys: Column, asked: Column) -> Column:
+        """For each asked number how many keys are smaller (or equal, where keys are put first)."""
+        event = lambda at, is_asked: F.struct(at.alias("at"), F.lit(is_asked).alias("asked"))
+        events = F.array_sort(F.concat(F.transform(keys, lambda k: event(k, 0)), F.transform(asked, lambda x: event(x, 1))))
+        seen = _running(
+            events, F.lit(0), lambda n, e: n + 1 - e["asked"], lambda a, b: a + b,
+            lambda n, e: F.struct(n.alias("n"), e["asked"].alias("asked")), "struct<n:int,asked:int>",
+        )
+        return F.transform(F.filter(seen, lambda e: e["asked"] == 1), lambda e: e["n"])
+
+    ends = _running(base, F.lit(0), lambda m, b: F.greatest(m, b["end"]), lambda a, b: F.greatest(a, b), lambda m, b: F.greatest(m, b["end"]), "int")
+    first = counted(ends, F.transform(runs, lambda r: r["start"]))
+    last = counted(F.transform(base, lambda b: b["start"]), F.transform(runs, lambda r: r["end"] - 1))
+    near = lambda spans: F.zip_with(first, last, lambda a, b: F.slice(spans, a + 1, F.greatest(b - a, F.lit(0))))
+    none = F.transform(runs, lambda r: _no_spans())
+    return F.when(F.size(base) > 0, _bound(base, near)).otherwise(none)
+
+
+def _trees(runs: Column, tokens: Column, base: Column, rare: Sequence[str]) -> Column:
+    """Each run's groups of candidates, with ``judged``, the battery, and ``free``: tried, of a likely encoding and apart from base spans."""
+    zipped = F.arrays_zip(runs.alias("run"), tokens.alias("token"), _near(base, runs).alias("near"))
+
+    def node(c: Column, near: Column) -> Column:
+        judged = F.when(c["tried"], _judged(c["token"], rare))
+        fields = lambda j: F.struct(
+            c["start"].alias("start"),
+            F.lit(KINDS.index("random")).alias("kind"),
+            c["end"].alias("end"),
+            j.alias("judged"),
+            (j.isNotNull() & ~F.exists(near, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))).alias("free"),
+        )
+        return _bound(judged, fields)
+
+    return F.transform(
+        zipped, lambda z: F.transform(_groups(z["run"], z["token"]), lambda g: F.transform(g, lambda c: node(c, z["near"])))
+    )
+
+
+def _controlled(chances: Column, alpha: float) -> Column:
     """Benjamini-Hochberg over a document's tokens: the chance up to which finds are kept."""
-    chances = F.array_sort(F.transform(judged, lambda j: F.when(j["random"], j["chance"]).otherwise(1.0)))
-    limits = F.transform(
-        chances, lambda p, i: F.when(p <= alpha * (i + 1) / F.size(chances), p).otherwise(F.lit(-1.0))
+    within = lambda ordered, n: F.transform(
+        ordered, lambda p, i: F.when(p <= alpha * (i + 1) / n, p).otherwise(F.lit(-1.0))
     )
-    return F.array_max(limits)
+    return _bound(F.array_sort(chances), lambda ordered: _bound(F.size(ordered), lambda n: F.array_max(within(ordered, n))))
+
+
+def _kept(groups: Column, limit: Column) -> Column:
+    """Of a run and its parts the likeliest finds, none inside another.
+
+    A find goes where something inside it is a likelier one; then what lies inside another that
+    is left goes.
+    """
+    found = lambda x: F.coalesce(x["free"] & x["judged"]["random"] & (x["judged"]["chance"] <= limit), F.lit(False))
+    chance = lambda x: F.when(found(x), x["judged"]["chance"]).otherwise(2.0)
+    span = lambda x: F.struct(*[x[f].alias(f) for f in ("start", "kind", "end")])
+    finds = lambda nodes: F.transform(F.filter(nodes, found), span)
+    none = _no_spans()
+
+    def least(nodes: Column) -> Column:
+        return F.coalesce(F.array_min(F.transform(nodes, chance)), F.lit(2.0))
+
+    def headed(group: Column, head: Column) -> Column:
+        """The head's span if it is found and nothing after it is likelier."""
+        return F.when(found(head) & (chance(head) <= least(group)), F.array(span(head)))
+
+    def of_part(group: Column) -> Column:
+        return F.coalesce(headed(group, F.get(group, F.lit(0))), finds(F.slice(group, 2, F.size(group))))
+
+    run = F.get(F.get(groups, F.lit(0)), F.lit(0))
+    parts = F.slice(groups, 2, F.size(groups))
+    likeliest = F.coalesce(F.array_min(F.transform(parts, least)), F.lit(2.0))
+    whole = found(run) & (chance(run) <= likeliest)
+    return F.when(whole, F.array(span(run))).otherwise(F.coalesce(F.flatten(F.transform(parts, of_part)), none))
 
 
 def secret_spans(
@@ -290,34 +397,24 @@ def secret_spans(
         F.filter(F.transform(F.arrays_zip(all_of[0].alias("s"), long_enough.alias("ok")), lambda z: F.when(z["ok"], z["s"])), lambda s: s.isNotNull()).alias("assign"),
         all_of[1].alias("access"),
         all_of[2].alias("hex"),
-        F.flatten(F.transform(F.arrays_zip(all_of[3].alias("s"), F.col("_random").alias("t")), lambda z: _tried(z["s"], z["t"]))).alias("random"),
-    ).withColumn("judged", F.transform("random", lambda r: _judged(r["token"], rare)))
-    base = placed.select("doc_id", "text", *rest, F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "random", "judged")
-    apart = F.filter(
-        F.arrays_zip("random", "judged"),
-        lambda z: z["judged"].isNotNull() & ~F.exists("base", lambda b: (b["start"] < z["random"]["end"]) & (z["random"]["start"] < b["end"])),
-    )
-    candidates = base.select("doc_id", "text", *rest, "base", F.when(F.size("random") > 0, apart).alias("apart"))
-    judged = candidates.select(
-        "*", F.when(F.size("apart") > 0, _controlled(F.transform("apart", lambda z: z["judged"]), alpha)).alias("limit")
-    )
-    good = F.filter("apart", lambda z: z["judged"]["random"] & (z["judged"]["chance"] <= F.col("limit")))
-    judged = judged.withColumn("good", F.when(F.col("limit") >= 0, good))
-    # a run goes where a part of it is likelier, then parts go inside what is left
-    likelier = F.filter(
-        "good",
-        lambda z: ~F.exists("good", lambda o: _inside(o["random"], z["random"]) & (o["judged"]["chance"] < z["judged"]["chance"])),
+        all_of[3].alias("runs"),
+        F.col("_random").alias("tokens"),
     )
-    judged = judged.withColumn("good", F.when(F.size("good") > 0, likelier))
-    kept = F.transform(
-        F.filter("good", lambda z: ~F.exists("good", lambda o: _inside(z["random"], o["random"]))),
-        lambda z: F.struct(*[z["random"][f].alias(f) for f in ("start", "kind", "end")]),
+    base = placed.select("doc_id", "text", *rest, F.array_sort(F.concat("assign", "access", "hex")).alias("base"), "runs", "tokens")
+    trees = F.when(F.size("runs") > 0, _trees(F.col("runs"), F.col("tokens"), F.col("base"), rare))
+    # one row in, one row out: the trees are made once, whatever is done with them
+    judged = base.select("doc_id", "text", *rest, "base", F.explode(F.array(trees)).alias("trees"))
+    chances = F.transform(
+        F.filter(F.flatten(F.flatten("trees")), lambda x: x["free"]),
+        lambda x: F.when(x["judged"]["random"], x["judged"]["chance"]).otherwise(1.0),
     )
+    judged = judged.select("*", F.when(F.size("trees") > 0, _controlled(chances, alpha)).alias("limit"))
+    kept = F.flatten(F.transform("trees", lambda t: _kept(t, F.col("limit"))))
     return judged.select(
         "doc_id",
         "text",
         *[F.col(k).alias(c) for k, c in kept_as.items()],
-        F.when(F.size("good") > 0, F.array_sort(F.concat("base", kept))).otherwise(F.col("base")).alias(name),
+        F.when(F.col("limit") >= 0, F.array_sort(F.concat("base", kept))).otherwise(F.col("base")).alias(name),
     )
 
 
@@ -334,16 +431,32 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones together, replaced by ``mask``; null stays null."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(a: Column, s: Column) -> Column:
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["done"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask)))
-            .otherwise(a["done"])
-            .alias("done"),
+    """The text with every span, overlapping ones together, replaced by ``mask``; null stays null.
+
+    Spans come in order. The text is cut in blocks of them and the blocks in pieces, so that no
+    piece is looked for from the beginning of the text.
+    """
+    piece = lambda at, s: F.struct(at.alias("from"), s["start"].alias("to"))
+    pieces = _running(
+        spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]), lambda a, b: F.greatest(a, b), piece, "struct<from:int,to:int>"
+    )
+
+    def of_block(block: Column) -> Column:
+        first = F.element_at(block, 1)["from"]
+        region = F.substring(text, first + 1, F.element_at(block, -1)["to"] - first)
+        named = F.struct(first.alias("first"), region.alias("region"), block.alias("block"))
+        return _bound(
+            named,
+            lambda n: F.array_join(
+                F.transform(n["block"], lambda p: F.concat(F.substring(n["region"], p["from"] - n["first"] + 1, p["to"] - p["from"]), F.lit(mask))), ""
+            ),
         )
 
-    whole = F.aggregate(spans, state, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def whole(kept: Column) -> Column:
+        last = F.floor((F.size(kept) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(kept, i * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.array_join(F.transform(blocks, of_block), "")
+
+    done = _bound(F.filter(pieces, lambda p: p["to"] >= p["from"]), whole)
+    end = F.array_max(F.transform(spans, lambda s: s["end"]))
+    return F.when(F.size(spans) > 0, F.concat(done, F.substring(text, end + 1, F.length(text)))).otherwise(text)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ import tiktoken
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from leaksieve.llm import bpe, decontaminate, langid, secrets, simhash
 
@@ -297,6 +299,37 @@ def test_letters_of_a_corpus(spark):
     assert len(rare) == 27 and all(len(r) == 26 for r in rare) and rare[16][25] < fixed[16][25] and rare[0] == fixed[0]
 
 
+def test_tests_of_the_battery_reject_what_the_likelihood_takes_for_random(spark):
+    """Without its three tests, patterned tokens would pass: their characters are no ordinary text."""
+    patterned = ["xQ7z" * 10, "aB3xK9" * 7, "0f1e" * 12, "ZzQqXx90" * 6, "a0a0a0a0a0" * 4, "9Xq" * 14]
+    for token in patterned:
+        battery = spark.range(1).select(secrets._judged(F.lit(token), secrets._rarities({})).alias("j")).first().j
+        assert battery is not None and battery.chance <= secrets.FALSE_DISCOVERIES and not battery.random, token
+    rows = [(i, f"a text with {t} in it") for i, t in enumerate(patterned)]
+    got = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(s.kind < 3 for r in got.collect() for s in r.spans)
+
+
+def test_a_text_of_ten_thousand_tokens_takes_time_in_line(spark):
+    random_ = random.Random(23)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(random_.choices(alphabet, k=n))
+    many = " ".join(f"token={token(12)} {token(40)}" for _ in range(10_000))
+    signs = "/".join(token(random_.randrange(18, 50)) for _ in range(3000))  # one run, thousands of parts
+    df = spark.createDataFrame([(1, many), (2, signs)], "doc_id long, text string").repartition(2)
+    start = time.monotonic()
+    found = secrets.secret_spans(df)
+    rows = {r.doc_id: r for r in found.select("doc_id", "spans", secrets.masked(F.col("text"), F.col("spans")).alias("masked")).collect()}
+    assert time.monotonic() - start < 150
+    spans = [(s.start, s.kind, s.end) for s in rows[1].spans]
+    assert spans == sorted(spans) and sum(k == 0 for _, k, _ in spans) == 10_000 and sum(k == 3 for _, k, _ in spans) > 9_500
+    places = [m.span() for m in re.finditer(r"token=[A-Za-z0-9]{12}", many)]
+    assert [(a, b) for a, k, b in spans if k == 0] == places
+    plain = "".join(many[a:b] for a, b in zip([0, *[e for _, _, e in spans]], [*[a for a, _, _ in spans], len(many)]))
+    assert rows[1].masked.replace("[SECRET]", "") == plain and rows[1].masked.count("[SECRET]") == len(spans)
+    assert len(rows[2].spans) >= 1 and all(s.kind == 3 for s in rows[2].spans)
+
+
 def test_masking(spark):
     df = spark.createDataFrame([(1, f"a password=hunter22 b {RANDOM} c"), (2, "clean \U0001f600"), (3, None)], "doc_id long, text string")
     from pyspark.sql import functions as F
