@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
-MEMORY = 32 << 20
+MEMORY = 16 << 20
 #: Neighbours remembered, some 70 bytes each.
-PAIRS = 300_000
+PAIRS = 150_000
 #: Bytes of pieces that are encoded many at once, and how many.
 SHORT, AT_ONCE = 48, 10_000
 #: Texts that are cut into pieces at once; their pieces are held until all are encoded.
