@@ -106,7 +106,8 @@ def _replicas(batches):
 
 
 _LINKS = "a long, b long"
-_BLOCK = 2048
+#: Fingerprints compared with as many others at once; where all are close a pair takes some 40 bytes.
+_BLOCK = 512
 
 
 def _group_links(prints: np.ndarray, home: np.ndarray, max_bits: int):
