@@ -9,15 +9,17 @@ anchors. So windows are looked at together only where their anchor occurs twice:
 2. Documents learn which of their anchors are repeated, and send out the pieces of text
    around those. Of pieces that are equal within a task, one stands for all.
 3. Pieces with the same anchor meet. There the caller's method finds the equal windows.
-4. Pieces of a hot anchor, one that occurs more often than a task should hold, never
-   meet: they are dealt out over all tasks, and their windows are counted by Spark one by
-   one, by their own hashes. No task's rows grow with how common an anchor is.
+4. Pieces of a hot anchor, one that occurs more often than a task should hold, do not
+   meet there: they are dealt out over all tasks and cut again, at anchors of twice as many
+   units, which are shared by fewer places. These meet in the next round, by the same
+   method. In the last round a whole window is its own anchor: what meets is equal, and of
+   equal pieces a task holds one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from .common import (
     NOT_SPACE, Prefix, byte_values, chunked, flat, mix, ranges, word_hashes, word_spans, written,
 )
 
-#: Pieces of one anchor that a task holds at once; an anchor that occurs more often is hot.
+#: Pieces of one anchor that a task holds at once; an anchor that occurs more often is hot, and cut at longer ones.
 GROUP = 50_000
 #: Bytes of pieces looked at together.
 TOGETHER = 3 << 20
@@ -39,7 +41,7 @@ _OTHER = 0xD1342543DE82EF95
 
 _ANCHORS = "doc_id long, tag long, anchor long, n long"
 _PIECES = "anchor long, doc_id long, tag long, start long, n int, many boolean, answered boolean, hot boolean, text binary"
-_FOUND = "doc_id long, tag long, start long, end long, a long, b long, many boolean"
+_FOUND = "doc_id long, tag long, start long, end long, anchor long, n int, many boolean, text binary"
 
 
 @dataclass(frozen=True)
@@ -50,6 +52,10 @@ class Windows:
     gram: int
     words: bool
 
+    def finer(self) -> Windows | None:
+        """The same windows at anchors of twice as many units, at most a window; none if they are that long."""
+        return replace(self, gram=min(2 * self.gram, self.window)) if self.gram < self.window else None
+
     def units(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The bytes, the units' values, starts and ends, and each document's first unit."""
         data, offsets = flat(column)
@@ -126,99 +132,123 @@ def first_of_equal(a, b, *order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, new, np.repeat(sizes, sizes)
 
 
+def one_of_equal(a, b, doc_id, tag, place, many, earliest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal pieces the first, in the order given; whether it stands for many; and those whose windows are known to be repeated."""
+    rows, new, sizes = first_of_equal(a, b, doc_id, tag, place)
+    group = np.cumsum(new) - 1
+    if earliest:
+        # a repeat of the first place is no later place, and rows that repeat id and text are one place
+        at = np.stack([doc_id[rows], tag[rows], place[rows]])
+        told = (at != at[:, new][:, group]).any(axis=0)
+        told[1:] &= new[1:] | (at[:, 1:] != at[:, :-1]).any(axis=0)
+    else:
+        told = (sizes > 1) & ~many[rows]
+    stands = sizes[new] > 1
+    stands[group[many[rows]]] = True
+    carry = rows[new]
+    order = np.argsort(carry)
+    return carry[order], stands[order], rows[told]
+
+
+def _cut(spec: Windows, units, run, doc_id, tag, base, many, earliest: bool):
+    """Runs of windows as pieces: all their columns, which go on with their texts, and which are repeated already.
+
+    ``doc_id``, ``tag``, ``many`` and ``base``, the place of the first unit, are those of the texts they are cut from.
+    """
+    data, values, unit_start, unit_end, first = units
+    anchor, start, n, doc = run
+    a, b = spec.digests(values, start, n + spec.window - 1)
+    cut = {"anchor": anchor, "doc_id": doc_id[doc], "tag": tag[doc], "start": start - first[doc] + base[doc], "n": n.astype(np.int32)}
+    carry, stands, told = one_of_equal(a, b, cut["doc_id"], cut["tag"], cut["start"], many[doc], earliest)
+    lengths = unit_end[start[carry] + n[carry] + spec.window - 2] - unit_start[start[carry]]
+    text = data[ranges(unit_start[start[carry]], lengths)]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    texts = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(carry), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]
+    ).cast(pa.binary())
+    return cut, carry, stands, texts, told
+
+
 def _pieces(batches, spec: Windows, earliest: bool):
     for batch in chunked(batches):
-        data, values, unit_start, unit_end, first = spec.units(batch.column("text"))
-        anchor, start, n, doc = spec.runs(values, first)
+        units = spec.units(batch.column("text"))
+        run = spec.runs(units[1], units[-1])
         wanted, hot = (
             np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             for c in ("anchors", "hot")
         )
-        on = np.flatnonzero(np.isin(anchor, wanted))
+        on = np.flatnonzero(np.isin(run[0], wanted))
         if not len(on):
             continue
-        anchor, start, n, doc = anchor[on], start[on], n[on], doc[on]
-        doc_id = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-        tag = batch.column("tag").to_numpy(zero_copy_only=False)[doc]
-        a, b = spec.digests(values, start, n + spec.window - 1)
-        place = start - first[doc]
-        rows, new, sizes = first_of_equal(a, b, doc_id, tag, place)
-        # rows that repeat id and text are one place where the earliest counts
-        same = np.zeros(len(rows), bool)
-        if earliest and len(rows):
-            x = rows
-            same[1:] = ~new[1:] & (doc_id[x][1:] == doc_id[x][:-1]) & (tag[x][1:] == tag[x][:-1]) & (place[x][1:] == place[x][:-1])
-            told = ~new
-            # a repeat of the first row is no later place
-            group = np.cumsum(new) - 1
-            heads = rows[new][group]
-            told &= ~((doc_id[x] == doc_id[heads]) & (tag[x] == tag[heads]) & (place[x] == place[heads]))
-            told &= ~same
-        else:
-            told = sizes > 1
-        carry, told = rows[new], rows[told]
-        many = sizes[new] > 1
-        lengths = unit_end[start[carry] + n[carry] + spec.window - 2] - unit_start[start[carry]]
-        text = data[ranges(unit_start[start[carry]], lengths)]
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        sent = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(carry), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]
-        ).cast(pa.binary())
-        apart = np.isin(anchor, hot)
-        for chosen, many_of, answered, texts in (
-            (carry, many, False, sent),
+        doc_id, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
+        none = np.zeros(batch.num_rows, np.int64)
+        cut, carry, many, texts, told = _cut(spec, units, [x[on] for x in run], doc_id, tag, none, none > 0, earliest)
+        apart = np.isin(cut["anchor"], hot)
+        for chosen, many_of, answered, sent in (
+            (carry, many, False, texts),
             (told, np.ones(len(told), bool), True, pa.nulls(len(told), pa.binary())),
         ):
             if len(chosen):
+                c = {k: v[chosen] for k, v in cut.items()}
                 # what need not meet is dealt out by its place
-                dealt = mix(mix(doc_id[chosen].view(np.uint64)) + place[chosen].astype(np.uint64))
-                key = np.where(apart[chosen] | answered, dealt, anchor[chosen]).view(np.int64)
+                dealt = mix(mix(c["doc_id"].view(np.uint64)) + c["start"].astype(np.uint64))
+                key = np.where(apart[chosen] | answered, dealt, c["anchor"]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(key), pa.array(doc_id[chosen]), pa.array(tag[chosen]), pa.array(place[chosen]),
-                        pa.array(n[chosen].astype(np.int32)), pa.array(many_of), pa.array(np.full(len(chosen), answered)),
-                        pa.array(apart[chosen] & (not answered)), texts,
+                        pa.array(key), pa.array(c["doc_id"]), pa.array(c["tag"]), pa.array(c["start"]), pa.array(c["n"]),
+                        pa.array(many_of), pa.array(np.full(len(chosen), answered)), pa.array(apart[chosen] & (not answered)), sent,
                     ],
                     names=["anchor", "doc_id", "tag", "start", "n", "many", "answered", "hot", "text"],
                 )
 
 
 def _spans(doc_id, tag, start, end):
-    none = pa.nulls(len(doc_id), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc_id), pa.array(tag), pa.array(start), pa.array(end), none, none, pa.nulls(len(doc_id), pa.bool_())],
-        names=["doc_id", "tag", "start", "end", "a", "b", "many"],
-    )
+    columns = [pa.array(x) for x in (doc_id, tag, start, end)]
+    none = [pa.nulls(len(doc_id), t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.binary())]
+    return pa.RecordBatch.from_arrays([*columns, *none], names=["doc_id", "tag", "start", "end", "anchor", "n", "many", "text"])
 
 
 def _columns(batch):
     return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "doc_id", "tag", "start", "n", "many")}
 
 
-def _each_window(batch, spec: Windows):
-    """The windows of pieces, one row each with its hash, for Spark to count."""
+def _whole(c: dict, rows, spec: Windows):
+    """Spans of whole pieces."""
+    start = c["start"][rows]
+    return _spans(c["doc_id"][rows], c["tag"][rows], start, start + c["n"][rows] + spec.window - 1)
+
+
+def _cut_again(batch, spec: Windows, earliest: bool):
+    """Pieces of hot anchors, cut at longer ones for the next round."""
     c = _columns(batch)
-    _, values, _, _, first = spec.units(batch.column("text"))
-    n = c["n"].astype(np.int64)
-    piece, step = np.repeat(np.arange(len(n)), n), ranges(np.zeros(len(n), np.int64), n)
-    a, b = spec.digests(values, first[piece] + step, np.full(len(piece), spec.window))
-    at = c["start"][piece] + step
-    return pa.RecordBatch.from_arrays(
+    units = spec.units(batch.column("text"))
+    cut, carry, many, texts, told = _cut(spec, units, spec.runs(units[1], units[-1]), c["doc_id"], c["tag"], c["start"], c["many"], earliest)
+    if len(told):
+        yield _whole(cut, told, spec)
+    c = {k: v[carry] for k, v in cut.items()}
+    yield pa.RecordBatch.from_arrays(
         [
-            pa.array(c["doc_id"][piece]), pa.array(c["tag"][piece]), pa.array(at), pa.array(at + spec.window),
-            pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(c["many"][piece]),
+            pa.array(c["doc_id"]), pa.array(c["tag"]), pa.array(c["start"]), pa.array(c["start"] + c["n"] + spec.window - 1),
+            pa.array(c["anchor"].view(np.int64)), pa.array(c["n"]), pa.array(many), texts,
         ],
-        names=["doc_id", "tag", "start", "end", "a", "b", "many"],
+        names=["doc_id", "tag", "start", "end", "anchor", "n", "many", "text"],
     )
 
 
-def _met(batches, spec: Windows, method: Callable):
-    """Pieces come in order of anchor; whole anchors are handed to ``method``, hot ones taken apart."""
+def _met(batches, spec: Windows, method: Callable, earliest: bool, group: int):
+    """Pieces come in order of anchor; whole anchors are handed to ``method``, hot ones are cut again.
+
+    Where more than ``group`` pieces are held, of equal ones only the first stays.
+    """
     held: list[pa.RecordBatch] = []
+    finer, full = spec.finer(), group
+
+    def together():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def judged():
         if held:
-            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            table = together()
             out = method(table, _columns(table), spec)
             if out is not None and len(out[0]):
                 yield _spans(*out)
@@ -226,11 +256,11 @@ def _met(batches, spec: Windows, method: Callable):
     for whole in batches:
         answered, hot = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("answered", "hot"))
         if answered.any():
-            c = _columns(whole.filter(pa.array(answered)))
-            yield _spans(c["doc_id"], c["tag"], c["start"], c["start"] + c["n"] + spec.window - 1)
+            c = _columns(whole)
+            yield _whole(c, np.flatnonzero(answered), spec)
         if hot.any():
             for part in chunked([whole.filter(pa.array(hot))], "text", TOGETHER):
-                yield _each_window(part, spec)
+                yield from _cut_again(part, finer, earliest)
         for batch in chunked([whole.filter(pa.array(~(answered | hot)))], "text", TOGETHER):
             anchor = batch.column("anchor").to_numpy(zero_copy_only=False)
             last = int(np.searchsorted(anchor, anchor[-1]))
@@ -238,8 +268,19 @@ def _met(batches, spec: Windows, method: Callable):
                 if last:
                     held.append(batch.slice(0, last))
                 yield from judged()
-                held, batch = [], batch.slice(last)
+                held, batch, full = [], batch.slice(last), group
             held.append(batch)
+            if sum(x.num_rows for x in held) > full:
+                table = together()
+                c = _columns(table)
+                _, values, _, _, first = spec.units(table.column("text"))
+                a, b = spec.digests(values, first[:-1], c["n"].astype(np.int64) + spec.window - 1)
+                carry, many, told = one_of_equal(a, b, c["doc_id"], c["tag"], c["start"], c["many"], earliest)
+                if len(told):
+                    yield _whole(c, told, spec)
+                one = table.take(pa.array(carry))
+                held = [one.set_column(one.schema.get_field_index("many"), "many", pa.array(many))]
+                full = max(group, 2 * len(carry))
     yield from judged()
 
 
@@ -259,7 +300,7 @@ def repeated_spans(docs: DataFrame, spec: Windows, method: Callable, earliest: b
     With ``earliest`` a window counts unless it is the first of its kind by doc_id and
     start; else every window that occurs twice counts. ``method(batch, columns, spec)``
     gets whole anchors' pieces and returns (doc_id, tag, start, end) of what it finds;
-    anchors that occur more than ``group`` times are left to Spark, with the same result.
+    anchors that occur more than ``group`` times are cut at longer ones, round by round.
     """
     docs = _keyed(docs)
     anchors = written(docs.mapInArrow(lambda b: _anchors(b, spec), _ANCHORS), "anchors")
@@ -269,23 +310,30 @@ def repeated_spans(docs: DataFrame, spec: Windows, method: Callable, earliest: b
     )
     wanted = wanted_anchors(anchors, repeated)
     pieces = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "tag"]).mapInArrow(lambda b: _pieces(b, spec, earliest), _PIECES)
+    found = _round(pieces, spec, method, earliest, group)
+    spans = found.where("text is null").select("doc_id", "tag", "start", "end")
+    finer = spec
+    while (finer := finer.finer()) and not (again := found.where("text is not null")).isEmpty():
+        found = _round(_next_pieces(again, finer, group), finer, method, earliest, group)
+        spans = spans.unionByName(found.where("text is null").select("doc_id", "tag", "start", "end"))
+    return spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+
+def _round(pieces: DataFrame, spec: Windows, method: Callable, earliest: bool, group: int) -> DataFrame:
+    """Pieces meet by anchor; what is found in them, and the pieces of hot anchors cut again."""
     met = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    found = written(met.mapInArrow(lambda b: _met(b, spec, method), _FOUND), "repeats")
-    spans = found.where("a is null").select("doc_id", "tag", "start", "end")
-    wide = found.where("a is not null")
-    key = ["a", "b"]
-    if earliest:
-        place = F.struct("doc_id", "tag", "start")
-        first = written(wide.groupBy(key).agg(F.min(place).alias("first")), "first-windows")
-        more = wide.join(first, key).where(place > F.col("first"))
+    return written(met.mapInArrow(lambda b: _met(b, spec, method, earliest, group), _FOUND), "repeats")
+
+
+def _next_pieces(cut: DataFrame, spec: Windows, group: int) -> DataFrame:
+    """Pieces that were cut again, those of anchors that are still hot dealt out; whole windows are no longer cut."""
+    if spec.finer() is None:
+        cut = cut.withColumn("hot", F.lit(False))
     else:
-        n = F.sum(F.when(F.col("many"), 2).otherwise(1))
-        more = wide.join(written(wide.groupBy(key).agg(n.alias("n")).where("n > 1").select(key), "many-windows"), key, "left_semi")
-    return (
-        spans.unionByName(more.select("doc_id", "tag", "start", "end"))
-        .groupBy("doc_id", "tag")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    )
+        hot = cut.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > group).select("anchor", F.lit(True).alias("hot"))
+        cut = cut.join(written(hot, "hot"), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    key = F.when(F.col("hot"), F.xxhash64("doc_id", "tag", "start")).otherwise(F.col("anchor"))
+    return cut.select(key.alias("anchor"), "doc_id", "tag", "start", "n", "many", F.lit(False).alias("answered"), "hot", "text")
 
 
 def joined(spans) -> list[tuple[int, int]]:
