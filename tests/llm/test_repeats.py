@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from leaksieve.llm import repeats, substring_dedup, suffix_dedup
@@ -116,3 +117,52 @@ def test_odd_tables(spark):
     assert got == {(None, 120): 118, (None, 0): 0, (1, 1): 0, (2, 1): 0}
     for operator in (suffix_dedup.repeated_bytes, substring_dedup.repeated_words):
         assert operator(df.limit(0)).count() == 0
+
+
+def met_rows(spec, rows, group, hot=False, method=None, earliest=True):
+    """What one task makes of pieces ``(anchor, doc_id, start, text)`` that come in order of anchor, in small batches."""
+    size = lambda t: len(t.split()) - spec.window + 1
+    columns = {
+        "anchor": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "tag": [0] * len(rows), "start": [r[2] for r in rows],
+        "n": pa.array([size(r[3]) for r in rows], pa.int32()), "many": [False] * len(rows), "answered": [False] * len(rows),
+        "hot": [hot] * len(rows), "text": pa.array([r[3].encode() for r in rows], pa.binary()),
+    }
+    batch = pa.RecordBatch.from_pydict(columns)
+    batches = [batch.slice(a, 100) for a in range(0, len(rows), 100)]
+    return [r for b in repeats._met(iter(batches), spec, method, earliest, group) for r in b.to_pylist()]
+
+
+def test_hot_anchors_are_cut_at_longer_ones():
+    """A phrase of six words in 3,000 contexts: no anchor of twelve words has more than some of its pieces."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    phrase = " ".join(word() for _ in range(6))
+    rows = [(5, i, 0, " ".join([*(word() for _ in range(14)), phrase, *(word() for _ in range(14))])) for i in range(3000)]
+    spec = repeats.Windows(20, 6, words=True)
+    out = met_rows(spec, rows, 50_000, hot=True)
+    assert {r["doc_id"] for r in out} == set(range(3000))
+    assert sum(r["n"] for r in out) == 3000 * 15
+    windows = sorted((r["doc_id"], r["start"] + i) for r in out for i in range(r["n"]))
+    assert windows == [(d, i) for d in range(3000) for i in range(15)]
+    assert max(Counter(r["anchor"] for r in out).values()) == 1
+    chain = []
+    while spec:
+        chain.append(spec.gram)
+        spec = spec.finer()
+    assert chain == [6, 12, 20]
+
+
+@pytest.mark.parametrize("earliest", [True, False])
+def test_a_task_holds_one_of_equal_pieces(earliest):
+    """Thousands of copies at one anchor: those held stay few, and each copy is answered."""
+    copy = " ".join(f"c{i}" for i in range(25))
+    rows = [(9, i, 3, copy) for i in range(4000)]
+    held = []
+
+    def method(batch, columns, spec):
+        held.append(batch.num_rows)
+        return (substring_dedup._matched if earliest else suffix_dedup._sorted_out)(batch, columns, spec)
+
+    out = met_rows(repeats.Windows(20, 20, words=True), rows, 150, method=method, earliest=earliest)
+    assert held[0] <= 300
+    assert {(r["doc_id"], r["start"], r["end"]) for r in out} == {(i, 3, 28) for i in range(1 if earliest else 0, 4000)}
