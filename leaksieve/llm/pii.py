@@ -235,17 +235,21 @@ def decode(field: Field, text: str, start: int, end: int) -> list[tuple[int, int
 # --- over documents
 
 
-def _class(marked: list) -> int:
-    """0, 1 or more entities: a third of the training stretches each."""
-    return min(len(marked), 2)
+#: What fails a pattern for certain: without a break inside it holds no two entities that touch.
+_UNBROKEN = re.compile(r"[0-9.]+")
+
+
+def _class(marked: list, refused: bool) -> int:
+    """0, 1 or more entities; 3 where a pattern fails for certain."""
+    return 3 if refused else min(len(marked), 2)
 
 
 def _examples(batches, each: int):
-    """Stretches whose pattern matches are beyond doubt: none fails there, none crosses another.
+    """Stretches whose pattern matches are beyond doubt: none fails there but for certain, none crosses another.
 
     Of each class a task hands on the ``each`` different ones of smallest hash, with that hash.
     """
-    least: list[list] = [[] for _ in range(3)]
+    least: list[list] = [[] for _ in range(4)]
     held: set[str] = set()
     for batch in batches:
         for text in batch.column("text").to_pylist():
@@ -254,46 +258,52 @@ def _examples(batches, each: int):
             kept, failed = base_spans(text)
             for start, end in _stretches(text):
                 inside = [s for s in kept if start <= s[0] and s[2] <= end]
-                clean = all(a[2] <= b[0] for a, b in zip(inside, inside[1:])) and not any(a < end and start < b for a, b in failed)
+                refused = [text[a:b] for a, b in failed if a < end and start < b]
+                clean = all(a[2] <= b[0] for a, b in zip(inside, inside[1:])) and all(map(_UNBROKEN.fullmatch, refused))
                 if clean and len(inside) <= 8 and end - start <= 4 * TRAINING_UNITS:
                     part = text[start:end]
                     if part in held or len(_units(part, 0, len(part))) > TRAINING_UNITS:
                         continue
                     marked = [{"start": s - start, "kind": k, "end": e - start} for s, k, e in inside]
                     row = (-int.from_bytes(hashlib.blake2b(part.encode(), digest_size=7).digest()), part, marked)
-                    heap = least[_class(marked)]
+                    heap = least[_class(marked, bool(refused))]
                     if len(heap) < each:
                         heapq.heappush(heap, row)
                         held.add(part)
                     elif row[:2] > heap[0][:2]:
                         held.discard(heapq.heapreplace(heap, row)[1])
                         held.add(part)
-    rows = [r for heap in least for r in heap]
+    rows = [(*r, shape) for shape, heap in enumerate(least) for r in heap]
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([-r[0] for r in rows], pa.int64()),
             pa.array([r[1] for r in rows], pa.string()),
             pa.array([r[2] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))),
+            pa.array([r[3] for r in rows], pa.int32()),
         ],
-        names=["h", "part", "marked"],
+        names=["h", "part", "marked", "shape"],
     )
 
 
+_MADE = "h long, part string, marked array<struct<start:long,kind:long,end:long>>, shape int"
+
+
 def train(docs: DataFrame, limit: int = TRAINING) -> Field:
     """A field fitted on what the patterns mark in ``docs``.
 
     Bounded: ``limit`` different stretches, those of smallest hash, a third each with several
-    marks, with one and without, each of at most 80 units. Copies count once, however many
-    there are. The texts are read once; a task hands on no more than ``limit`` stretches.
-    Without any, the field marks nothing.
+    marks, with one and without, each of at most 80 units; and a third of ``limit`` more in which an
+    unbroken run fails its pattern, as a number of a card's length with a wrong check digit, so that
+    the field learns what to refuse. Copies count once, however many there are. The texts are read
+    once; a task hands on no more than those. Without any, the field marks nothing.
     """
     each = limit // 3
     found = (
         docs.select(F.col("text").alias("text"))
         .where(F.col("text").rlike("[0-9@]"))
-        .mapInArrow(lambda batches: _examples(batches, each), "h long, part string, marked array<struct<start:long,kind:long,end:long>>")
+        .mapInArrow(lambda batches: _examples(batches, each), _MADE)
     )
-    once = found.groupBy("h", "part").agg(F.min("marked").alias("marked")).withColumn("shape", F.least(F.size("marked"), F.lit(2)))
+    once = found.groupBy("h", "part").agg(F.min("marked").alias("marked"), F.min("shape").alias("shape"))
     rank = F.row_number().over(Window.partitionBy("shape").orderBy("h", "part"))
     rows = once.withColumn("rank", rank).where(F.col("rank") <= each).collect()
     return fit(sorted((r.part, [(m.start, m.kind, m.end) for m in r.marked]) for r in rows))

@@ -139,6 +139,25 @@ def test_field_splits_what_touches(spark):
     assert not any(got[i].base or got[i].added for i, _ in clean)
 
 
+def test_field_refuses_numbers_that_fail(spark):
+    """Numbers of a card's length with a wrong check digit, alone and beside a phone number, are no cards."""
+    rng = random.Random(5)
+    kinds = make(rng)
+
+    def wrong():
+        number = kinds[2]()
+        return number[:-1] + str((int(number[-1]) + rng.randrange(1, 10)) % 10)
+
+    rows = [(i, f"some words {kinds[i % 4]() if i % 6 < 4 else wrong() if i % 6 == 4 else f'page {i}'} and more") for i in range(500)]
+    field = pii.train(table(spark, rows))
+    bad = [(i, f"order {wrong()} came") for i in range(150)]
+    touching = [(1000 + i, f"call {kinds[3]()} {kinds[2]()} now") for i in range(60)]
+    got = {r.doc_id: r for r in pii.personal_data(table(spark, bad + touching), field).collect()}
+    assert sum(bool(got[i].base) for i, _ in bad) == 0
+    assert sum(bool(got[i].added) for i, _ in bad) <= 3
+    assert sum(len(got[i].base) + len(got[i].added) == 2 for i, _ in touching) >= 50
+
+
 def test_expected_counts_equal_enumeration():
     import itertools
 
