@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import handing_back
+
 #: Bytes that remembered pieces may take in a task, roughly; then it starts afresh.
 MEMORY = 16 << 20
 #: Neighbours remembered, some 70 bytes each.
@@ -414,8 +416,7 @@ class Coder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
         if self._held > MEMORY:
-            self._known.clear()
-            self._held = 0
+            self.forget()
         known = self._known
         self._learn(set().union(*cut).difference(known))
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
@@ -423,6 +424,10 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        """Drops the pieces it has seen; the vocabulary stays."""
+        self._known, self._held = {}, 0
+
 
 class Decoder:
     """Ids to bytes."""
@@ -455,6 +460,7 @@ def _encoded(batches: Iterable[pa.RecordBatch], coder: Coder):
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"]
             )
+    coder.forget()  # the coder outlives the task
 
 
 def _shared(spark, ranks_path: str, pattern: str):
@@ -472,7 +478,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     key, ranks = _shared(docs.sparkSession, ranks_path, pattern)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
-        lambda batches: _encoded(batches, _coder(key, ranks.value, pattern)), "doc_id long, ids binary"
+        lambda batches: handing_back(_encoded(batches, _coder(key, ranks.value, pattern))), "doc_id long, ids binary"
     )
 
 
@@ -491,7 +497,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """The bytes that ids stand for: adds ``decoded`` to ``doc_id, ids``; null ids give no bytes."""
     ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     return encoded.select("doc_id", "ids").mapInArrow(
-        lambda batches: _decoded(batches, Decoder(ranks.value)), "doc_id long, ids binary, decoded binary"
+        lambda batches: handing_back(_decoded(batches, Decoder(ranks.value))), "doc_id long, ids binary, decoded binary"
     )
 
 
@@ -503,7 +509,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """``encode`` and ``decode`` in one step, so that a task needs one Python worker: ``doc_id, ids, decoded``."""
     key, ranks = _shared(docs.sparkSession, ranks_path, pattern)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(
-        lambda batches: _round_trip(batches, _coder(key, ranks.value, pattern), Decoder(ranks.value)),
+        lambda batches: handing_back(_round_trip(batches, _coder(key, ranks.value, pattern), Decoder(ranks.value))),
         "doc_id long, ids binary, decoded binary",
     )
 

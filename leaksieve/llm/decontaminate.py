@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunked, flat, ranges, word_hashes, word_spans, written
+from .common import LOWER, chunked, flat, handing_back, ranges, word_hashes, word_spans, written
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -180,7 +180,7 @@ def benchmark_hits(
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.xxhash64("text").alias("tag"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text"))
-    distinct = items.mapInArrow(lambda batches: _windows(batches, window), _WINDOWS).groupBy("window").agg(F.collect_set("item").alias("items"))
+    distinct = items.mapInArrow(lambda batches: handing_back(_windows(batches, window)), _WINDOWS).groupBy("window").agg(F.collect_set("item").alias("items"))
     phrases = written(distinct, "benchmark-windows")
     size = phrases.agg(F.sum(F.octet_length("window"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
@@ -190,7 +190,7 @@ def benchmark_hits(
         return spark.sparkContext.broadcast(Phrases(table.column("window").combine_chunks(), table.column("items").combine_chunks(), window))
 
     def scanned(block) -> DataFrame:
-        return own.mapInArrow(lambda batches: _scan(batches, block.value), _OUT)
+        return own.mapInArrow(lambda batches: handing_back(_scan(batches, block.value)), _OUT)
 
     if n_blocks == 1:
         return scanned(sent(0)).drop(*([] if tagged else ["tag"]))
@@ -223,7 +223,7 @@ def benchmark_hits(
         ).otherwise(F.concat(done, F.array(s))),
     )
     merged = merged.withColumn("spans", joined)
-    rows = own.mapInArrow(_counted, "doc_id long, tag long, n_words long")
+    rows = own.mapInArrow(lambda batches: handing_back(_counted(batches)), "doc_id long, tag long, n_words long")
     every = rows.join(merged, (F.coalesce(rows["doc_id"], F.lit(0)) == merged["_id"]) & (rows["tag"] == merged["_tag"]), "left")
     return every.select(
         "doc_id",

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, LOWER, chunked, flat, word_spans
+from .common import CHUNK, LOWER, chunked, flat, handing_back, word_spans
 
 #: Numbers that byte trigrams are hashed to. Bounds the model: 384 KB for each language.
 GRAMS = 1 << 16
@@ -93,7 +93,7 @@ def train(docs: DataFrame) -> LanguageModel:
     65,536, so a label that few texts have takes little.
     """
     known = docs.select(F.col("lang").alias("lang"), F.col("text").alias("text")).where("lang is not null")
-    counts = known.mapInArrow(_counted, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(lambda batches: handing_back(_counted(batches)), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counts.toArrow()
     label = table.column("lang").combine_chunks().dictionary_encode()
     names = label.dictionary.to_pylist()
@@ -213,7 +213,7 @@ def identify(
         F.xxhash64("text").alias("tag"),
     )
     out = own.mapInArrow(
-        lambda batches: _identified(batches, sent.value, penalty, rounds),
+        lambda batches: handing_back(_identified(batches, sent.value, penalty, rounds)),
         "doc_id long, held_out boolean, languages array<struct<lang:string,share:double>>, score double, letters boolean, tag long",
     )
     ok = F.col("letters") & (F.size("languages") > 0)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunked, flat, written
+from .common import LOWER, chunked, flat, handing_back, written
 from .components import min_labels
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
     (null too) has fingerprint 0. Other columns are not looked at.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return own.mapInArrow(lambda batches: _prints(batches, shingle, seed), _PRINTS)
+    return own.mapInArrow(lambda batches: handing_back(_prints(batches, shingle, seed)), _PRINTS)
 
 
 # The parity check of a Hamming code over 31 bits: bit i stands for the number i + 1.
@@ -174,9 +174,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits > 3:
         raise ValueError("halves that meet within one bit stand for at most three bits in all")
     distinct = prints.select("fingerprint").distinct()
-    replicas = distinct.mapInArrow(_replicas, _REPLICAS)
+    replicas = distinct.mapInArrow(lambda batches: handing_back(_replicas(batches)), _REPLICAS)
     met = replicas.repartition("anchor").sortWithinPartitions("anchor")
-    return met.mapInArrow(lambda batches: _links(batches, max_bits), _LINKS).distinct()
+    return met.mapInArrow(lambda batches: handing_back(_links(batches, max_bits)), _LINKS).distinct()
 
 
 def _members(prints: DataFrame, order: Column, max_bits: int) -> DataFrame:
@@ -196,7 +196,7 @@ def first_rows(docs: DataFrame, row: Column, shingle: int = SHINGLE, max_bits: i
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), row.alias("row"), F.col("text").alias("text")
     )
-    keyed = own.mapInArrow(lambda batches: _prints(batches, shingle, SEED, ("doc_id", "tag", "row")), _KEYED_PRINTS)
+    keyed = own.mapInArrow(lambda batches: handing_back(_prints(batches, shingle, SEED, ("doc_id", "tag", "row"))), _KEYED_PRINTS)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "row")
     first = _members(written(keyed, "simhash-fingerprints"), order, max_bits).groupBy("label").agg(F.min("first").alias("first"))
     return first.select("first.doc_id", "first.tag", "first.row")
