@@ -21,60 +21,110 @@ from ..functions.constants import constant
 from ..rules import RULES, Rule
 from .columns import must_be_free, quoted, spare
 
-_FOUND = "array<struct<idx:int,places:array<struct<gap:int,size:int,taken:boolean>>>>"
 _MASKED = "masked string, places array<struct<start:int,end:int,idx:int>>"
+#: Stands for a match while the text between matches is cut out; texts that hold it are cut by the pattern.
+_MARK = "\x01"
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _places(text: Column, rule: Rule, profile: Profile) -> Column:
-    """Each match of a rule: characters since the match before, its own, and whether it is accepted."""
+    """Of each match of a rule its size (``-1 - size`` if rejected), and the characters from the match before to it.
+
+    Null where no match is accepted: there the pattern runs once. Splitting by a pattern
+    compiles it for each text, so the matches are replaced by a sign the text lacks, which is
+    then split by. ``gaps`` has an entry more, for what follows the last match.
+    """
     pattern, group = rule.compiled(profile)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    # zipped, so that each list is made once; a match stands at the end of what its pattern takes
-    rows = F.arrays_zip(whole.alias("whole"), match.alias("match"), between.alias("between"))
-    accepted = rule.check or (lambda value, profile: F.lit(True))
-    return F.transform(
-        F.filter(rows, lambda r: r["whole"].isNotNull()),
-        lambda r: F.struct(
-            (F.length(r["between"]) + F.length(r["whole"]) - F.length(r["match"])).alias("gap"),
-            F.length(r["match"]).alias("size"),
-            F.coalesce(accepted(r["match"], profile), F.lit(False)).alias("taken"),
-        ),
-    )
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit(_MARK))
+    between = F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(F.split(marked, _MARK, -1))
+
+    def gaps(sizes: Column) -> Column:
+        if not group:
+            return F.transform(between, F.length)
+        # a match stands at the end of what its pattern takes
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        taken = F.zip_with(whole, sizes, lambda w, n: F.length(w) - F.when(n < 0, -1 - n).otherwise(n))
+        return F.zip_with(between, taken, lambda b, more: F.length(b) + F.coalesce(more, F.lit(0)))
+
+    def size(match: Column) -> Column:
+        if rule.check is None:
+            return F.length(match)
+        return F.when(rule.check(match, profile), F.length(match)).otherwise(-1 - F.length(match))
+
+    def placed(sizes: Column) -> Column:
+        return F.when(F.exists(sizes, lambda n: n >= 0), F.struct(sizes.alias("sizes"), gaps(sizes).alias("gaps")))
+
+    return _bound(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), size), placed)
 
 
 def _stars(short: int):
-    """The Arrow function; it holds all it needs, so workers need not have this package."""
+    """The Arrow function; it holds all it needs, so workers need not have this package.
+
+    It goes through a batch in parts, the texts of each put one after the other.
+    """
+
+    def column(values, kind):
+        import numpy as np
+
+        return values.to_numpy(zero_copy_only=False).astype(kind, copy=False) if len(values) else np.zeros(0, kind)
+
+    def part(text, found):
+        import numpy as np
+        import pyarrow as pa
+
+        hit = np.flatnonzero(text.is_valid().to_numpy(zero_copy_only=False))
+        texts = text.drop_null().to_pylist()
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_at = lengths.cumsum() - lengths
+        code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).copy()
+        # lists of lists, flattened: the text of each rule found, the rule of each match
+        found = found.take(pa.array(hit))
+        rules = found.flatten()
+        text_of = np.repeat(np.arange(len(hit)), column(found.value_lengths(), np.int64))
+        places = rules.field("places")
+        sizes, gaps = places.field("sizes"), places.field("gaps")
+        many = column(sizes.value_lengths(), np.int64)
+        size = column(sizes.flatten(), np.int64)
+        rule_of = np.repeat(np.arange(len(rules)), many)
+        taken, size = size >= 0, np.where(size < 0, -1 - size, size)
+        # the last entry of each rule follows its last match
+        gap = np.delete(column(gaps.flatten(), np.int64), (many + 1).cumsum() - 1)
+        ends = (gap + size).cumsum()
+        ends -= np.concatenate([[0], ends])[many.cumsum() - many][rule_of]  # from the text's start
+        ends, size, rule_of = ends[taken], size[taken], rule_of[taken]
+        at, idx = text_of[rule_of], column(rules.field("idx"), np.int64)[rule_of]
+        starts = ends - size
+        shown = np.where(size <= short, 1, 2)
+        tail = np.where(size <= short, 0, 2)
+        edges = np.zeros(len(code) + 1, np.int64)
+        np.add.at(edges, text_at[at] + starts + shown, 1)
+        np.add.at(edges, text_at[at] + np.maximum(ends - tail, starts + shown), -1)
+        code[edges[:-1].cumsum() > 0] = ord("*")
+        whole = code.tobytes().decode("utf-32-le")
+        order = np.lexsort((idx, starts, at))
+        counts = np.zeros(len(text), np.int64)
+        counts[hit] = np.bincount(at, minlength=len(hit))
+        offsets = np.concatenate([[0], counts.cumsum()])
+        fields = [pa.array(x[order], pa.int32()) for x in (starts, ends, idx)]
+        out = [None] * len(text)
+        for row, a, n in zip(hit.tolist(), text_at.tolist(), lengths.tolist()):
+            out[row] = whole[a : a + n]
+        listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end", "idx"]))
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), listed], ["masked", "places"])
 
     def masked(text, found):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        out, places = [], []
-        for value, rules in zip(text.to_pylist(), found.to_pylist()):
-            if value is None or not rules:
-                out.append(None)
-                places.append(None)
-                continue
-            code = np.frombuffer(value.encode("utf-32-le"), np.uint32).copy()
-            edges = np.zeros(len(code) + 1, np.int64)
-            here = []
-            for rule in rules:
-                gap, size, taken = (np.array([p[c] for p in rule["places"]], np.int64) for c in ("gap", "size", "taken"))
-                ends = (gap + size).cumsum()
-                ends, size = ends[taken > 0], size[taken > 0]
-                starts = ends - size
-                shown = np.where(size <= short, 1, 2)
-                tail = np.where(size <= short, 0, 2)
-                np.add.at(edges, starts + shown, 1)
-                np.add.at(edges, np.maximum(ends - tail, starts + shown), -1)
-                here += zip(starts.tolist(), ends.tolist(), [rule["idx"]] * len(ends))
-            code[edges[:-1].cumsum() > 0] = ord("*")
-            out.append(code.tobytes().decode("utf-32-le"))
-            places.append([{"start": a, "end": b, "idx": i} for a, b, i in sorted(here, key=lambda x: (x[0], x[2]))])
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("idx", pa.int32())]))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(places, kind)], ["masked", "places"])
+        size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+        cuts = (np.flatnonzero(np.diff(size.cumsum() >> 20)) + 1).tolist()  # about a megabyte each
+        parts = [part(text.slice(a, b - a), found.slice(a, b - a)) for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        return pa.concat_arrays(parts)
 
     return masked
 
@@ -108,19 +158,24 @@ def mask(
         whole = F.when(F.col("status").eqNullSafe("ok"), whole)
     text_ = F.col(text_name)
 
+    hints = list(dict.fromkeys(h for r in rules for h in r.hints))
+    lower_name, *hint_names = spare([*keep, text_name], "lower", *[f"hint_{i}" for i in range(len(hints))])
+    hinted = {h: F.col(name) for h, name in zip(hints, hint_names)}
+
     def found_by(i: int, rule: Rule) -> Column:
         places = _places(text_, rule, profile)
         if rule.hints:
-            lower = F.lower(text_)
-            places = F.when(reduce(or_, [h.holds(text_, lower) for h in rule.hints]), places)
+            places = F.when(reduce(or_, [hinted[h] for h in rule.hints]), places)
         return F.struct(F.lit(i).alias("idx"), places.alias("places"))
 
     found = F.filter(
         F.array(*[found_by(i, r) for i, r in enumerate(rules)]),
-        lambda f: F.coalesce(F.exists(f["places"], lambda p: p["taken"]), F.lit(False)),
-    ).cast(_FOUND)
+        lambda f: f["places"].isNotNull(),
+    )
     # one row in, one row out: keeps the optimizer from copying the patterns, as in scan
-    prepared = df.select(*kept, whole.alias(text_name)).select(*kept, text_, F.explode(F.array(found)).alias(found_name))
+    prepared = df.select(*kept, whole.alias(text_name)).select(*kept, text_, F.lower(text_).alias(lower_name))
+    prepared = prepared.select(*kept, text_, *[h.holds(text_, F.col(lower_name)).alias(n) for h, n in zip(hints, hint_names)])
+    prepared = prepared.select(*kept, text_, F.explode(F.array(found)).alias(found_name))
     hit = F.size(found_name) > 0
     stars = F.arrow_udf(_stars(fv.REDACT_SHORT), _MASKED)
     done = prepared.select(*kept, text_, stars(F.when(hit, text_), F.when(hit, F.col(found_name))).alias(done_name))
