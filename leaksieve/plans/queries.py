@@ -673,27 +673,34 @@ def stream_sinks_errors(spark, sf_dir):
 
 
 def stream_once(spark, sf_dir):
-    """Every document delivered twice, minutes apart and in two batches; reported once."""
-    folder = shared_folder(spark, "stream-once")
+    """Every document delivered twice, minutes apart; reported once. The stream is stopped in between.
+
+    A delivery is worked off in batches of up to 1,000 files, not file by file: each batch writes
+    the state of every partition, whatever the number of its rows.
+    """
+    folder, out = shared_folder(spark, "stream-once"), shared_folder(spark, "stream-once-out")
     docs = texts(spark, sf_dir, "documents")
     arrived = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600)
     for minutes in (0, 5):
         again = docs.withColumn("arrived", arrived + F.make_dt_interval(mins=F.lit(minutes)))
         again.write.mode("append").parquet(f"{folder}/in")
-    schema = spark.read.parquet(f"{folder}/in").schema
-    arriving = read_stream(spark, f"{folder}/in", schema, files_per_batch=1)
-    single = once(arriving, ["doc_id"], "arrived", "2 hours")
-    return _worked_off(flat_report(assess(single, keep=list(keys_of("documents"))), keys_of("documents")), "stream-once-out")
+        single = once(read_stream(spark, f"{folder}/in", again.schema), ["doc_id"], "arrived", "2 hours")
+        results = flat_report(assess(single, keep=list(keys_of("documents"))), keys_of("documents"))
+        start_scan(results, f"{out}/rows", f"{out}/checkpoint", until_done=True).awaitTermination()
+    return spark.read.schema(results.schema).parquet(f"{out}/rows")
 
 
 def _stream_rollup(rollup: Callable[[DataFrame], DataFrame], by: tuple[str, ...], scored: bool) -> Query:
-    """A roll-up kept up to date by a stream that is stopped and started again in between."""
+    """A roll-up kept up to date by a stream that is stopped and started again in between.
+
+    Each half is written by as many tasks as the table is read by.
+    """
 
     def query(spark, sf_dir):
         folder = shared_folder(spark, "stream-rollup")
         docs = texts(spark, sf_dir, "documents")
         for part in (0, 1):
-            docs.where(F.col("doc_id") % 2 == part).coalesce(2).write.mode("append").parquet(f"{folder}/in")
+            docs.where(F.col("doc_id") % 2 == part).write.mode("append").parquet(f"{folder}/in")
             arriving = spread(read_stream(spark, f"{folder}/in", docs.schema), 2 * spark.sparkContext.defaultParallelism)
             scanned = scan(arriving, keep=["source"], samples=False)
             results = rollup(with_risk(scanned) if scored else scanned)
